@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow.operators import quality as Q
 from wardflow.operators import reports as R
-from wardflow.sources.tables import Tables, from_testdata
+from wardflow.sources.tables import Tables, from_testdata, merged_frame
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -38,5 +39,24 @@ for _name, _fn in [
     register(_name, _fn)
 
 
+for _name, _fn in [
+    ("q1_visits_without_billing", Q.q1_visits_without_billing),
+    ("q2_orphan_billing", Q.q2_orphan_billing),
+    ("q3_duplicate_patient_ids", Q.q3_duplicate_patient_ids),
+    ("q3_duplicate_bill_ids", Q.q3_duplicate_bill_ids),
+    ("q4_invalid_field_summary", Q.q4_invalid_field_summary),
+    ("q5_missing_insurance", Q.q5_missing_insurance),
+    ("q6_missing_value_summary", lambda t: Q.q6_missing_value_summary(merged_frame(t))),
+    ("q7_nulls_by_month", lambda t: Q.q7_nulls_by_month(merged_frame(t))),
+    ("q8_nulls_by_status", lambda t: Q.q8_nulls_by_status(merged_frame(t))),
+    ("q9_constraint_check", Q.q9_constraint_check),
+    ("q10_missing_values", lambda t: Q.q10_missing_values(merged_frame(t))),
+    ("q10_range_violations", lambda t: Q.q10_range_violations(merged_frame(t))),
+    ("q10_unseen_categories", lambda t: Q.q10_unseen_categories(merged_frame(t))),
+    ("q11_quality_status", lambda t: Q.q11_quality_status(merged_frame(t))),
+]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
