@@ -36,9 +36,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return round(v, 4)
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return round(float(v), 4)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
@@ -52,6 +52,36 @@ def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
 
+def _close(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool):
+        return math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9)
+    return a == b
+
+
+def _raw(v):
+    if isinstance(v, decimal.Decimal):
+        return float(v)
+    if isinstance(v, dt.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    return v
+
+
+def rows_close(sr, dr):
+    if len(sr) != len(dr):
+        return False
+    return all(len(a) == len(b) and all(_close(x, y) for x, y in zip(a, b)) for a, b in zip(sr, dr))
+
+
+def canon_raw(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    keyed = sorted(rows, key=lambda r: _key(tuple(_norm(r[i]) for i in order)))
+    return [tuple(_raw(r[i]) for i in order) for r in keyed]
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -84,7 +114,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         dc, dr = canon(dcols, drows)
         ok_cols = sc == dc
         ok_n = len(sr) == len(dr)
-        ok_v = sr == dr
+        ok_v = sr == dr or rows_close(canon_raw(scols, srows), canon_raw(dcols, drows))
         status = "OK" if (ok_cols and ok_n and ok_v) else "MISMATCH"
         results[name] = (status, len(srows), st)
         if verbose:

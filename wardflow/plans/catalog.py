@@ -10,15 +10,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow import constants as K
+from wardflow.operators import features as E
 from wardflow.operators import quality as Q
+from wardflow.operators import stats as A
 from wardflow.operators import reports as R
-from wardflow.sources.tables import Tables, from_testdata, merged_frame
+from wardflow.session import materialize
+from wardflow.sources.tables import Tables, from_testdata
+from wardflow.sources.tables import merged_frame as _merged_lazy
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, QueryFn] = {}
 
 
+def merged_frame(t: Tables):
+    """The merged frame, checkpointed once per query (it feeds several jobs)."""
+    return materialize(_merged_lazy(t))
+
+
 def register(name: str, fn: Callable[[Tables], DataFrame]) -> None:
     _REGISTRY[name] = lambda spark, sf_dir: fn(from_testdata(spark, sf_dir))
 
@@ -58,5 +68,63 @@ for _name, _fn in [
     register(_name, _fn)
 
 
+TESTDATA_SPLIT_DATE = "2000-01-01"
+IQR_COLS = ["billed_amount", "payment_days", "length_of_stay_hours"]
+CORR_COLS = ["age", "chronic_flag", "length_of_stay_hours", "billed_amount", "approved_amount", "payment_days"]
+DESCRIBE_COLS = ["age", "length_of_stay_hours", "billed_amount", "approved_amount", "payment_days"]
+ENGINEERED = ["visit_frequency", "avg_los_per_patient", "provider_rejection_rate",
+              "days_since_registration", "approval_ratio", "billed_amount_capped",
+              "payment_days_capped", "los_capped", "visit_month", "visit_dayofweek", "visit_quarter"]
+
+
+def _model_table(t: Tables):
+    return E.build_model_table(merged_frame(t), K.testdata_encoding_maps())
+
+
+def _features_n(t: Tables):
+    f = E.encode_alphabetical(E.engineer_features_n(merged_frame(t)))
+    return f.select("visit_id", "patient_id", "bill_id", "days_since_registration", "visit_month",
+                    "visit_day_of_week", "patient_visit_frequency", "avg_los_per_patient",
+                    "approved_amount", "payment_days", "approval_ratio",
+                    *[c + "_enc" for c in K.CATEGORY_FIELDS])
+
+
+def _time_split(t: Tables):
+    from pyspark.sql import functions as F
+
+    train, test = E.time_split(merged_frame(t), "visit_date", TESTDATA_SPLIT_DATE)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return E.split_summary(both)
+
+
+for _name, _fn in [
+    ("e7_model_table", _model_table),
+    ("e8_features_n", _features_n),
+    ("w2_positional_split", lambda t: E.split_summary(E.positional_split(merged_frame(t)))),
+    ("e10_time_split", _time_split),
+    ("a1_value_counts", lambda t: A.a1_value_counts(merged_frame(t), ["visit_type", "claim_status", "risk_score"])),
+    ("a2_crosstab_department_risk",
+     lambda t: A.a2_crosstab(merged_frame(t), "department", "risk_score", ["Low", "Medium", "High"])),
+    ("a3_rejection_rate_by_insurer", lambda t: A.a3_rejection_rate_by_insurer(merged_frame(t))),
+    ("a4_city_billing", lambda t: A.a4_city_billing(merged_frame(t))),
+    ("a5_histogram_billed", lambda t: A.a5_histogram(merged_frame(t), "billed_amount", 50)),
+    ("a6_box_billed_by_insurer",
+     lambda t: A.a6_box_summary(merged_frame(t), "insurance_provider", ["billed_amount"])),
+    ("a7_iqr_summary", lambda t: A.a7_iqr_summary(merged_frame(t), IQR_COLS)),
+    ("a8_zscore_summary", lambda t: A.a8_zscore_summary(merged_frame(t), IQR_COLS)),
+    ("a9_correlation_pairs", lambda t: A.a9_correlation_pairs(merged_frame(t), CORR_COLS)),
+    ("a10_overview", lambda t: A.a10_overview(merged_frame(t))),
+    ("a11_describe", lambda t: A.a11_describe(merged_frame(t), DESCRIBE_COLS)),
+    ("a12_rate_per_insurer",
+     lambda t: A.a12_first_per_group(E.engineer_features(merged_frame(t)), "insurance_provider",
+                                     "provider_rejection_rate")),
+    ("a13_feature_profile", lambda t: A.a13_feature_profile(_model_table(t), K.MODEL_FEATURES_U)),
+    ("a14_medians", lambda t: A.a14_medians(merged_frame(t))),
+    ("a17_engineered_profile",
+     lambda t: A.a17_engineered_profile(E.engineer_features(merged_frame(t)), ENGINEERED)),
+]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)

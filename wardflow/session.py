@@ -34,6 +34,7 @@ def build_session(
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -68,11 +69,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Reliable checkpoint into the shared checkpoint folder (never local).
+
+    Used where one derived frame feeds many jobs (the bill-grain merged
+    frame feeds every parameter job of the feature pipeline): the upstream
+    joins run once, later plans start from a file scan, and a lost executor
+    re-reads the checkpoint files instead of recomputing the joins.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+materialize = cut_lineage
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
