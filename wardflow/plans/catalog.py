@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardflow import constants as K
 from wardflow.operators import features as E
+from wardflow.operators import monitor as D
 from wardflow.operators import quality as Q
 from wardflow.operators import stats as A
 from wardflow.operators import reports as R
@@ -126,5 +127,30 @@ for _name, _fn in [
     register(_name, _fn)
 
 
+def _train_new(t: Tables):
+    mt = materialize(_model_table(t))
+    return E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
+
+
+def _d3(t: Tables):
+    tr, nw = _train_new(t)
+    return D.d3_feature_drift(tr, nw, K.DRIFT_FEATURES_N)
+
+
+def _d2(t: Tables):
+    tr, nw = _train_new(t)
+    return D.d2_feature_drift_notebook(tr, nw, K.DRIFT_FEATURES_N)
+
+
+def _d4(t: Tables):
+    tr, nw = _train_new(t)
+    return D.d4_prediction_drift(tr, nw, K.RISK_CLASSES, pred_col="risk_score_encoded")
+
+
+for _name, _fn in [("d3_feature_drift", _d3), ("d2_feature_drift_notebook", _d2),
+                   ("d4_prediction_drift", _d4)]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
