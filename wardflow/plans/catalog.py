@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardflow import constants as K
+from wardflow.operators import evaluate as V
 from wardflow.operators import features as E
+from wardflow.operators import models as M
 from wardflow.operators import monitor as D
 from wardflow.operators import quality as Q
 from wardflow.operators import stats as A
@@ -152,5 +154,41 @@ for _name, _fn in [("d3_feature_drift", _d3), ("d2_feature_drift_notebook", _d2)
     register(_name, _fn)
 
 
+CLAIM_CENTROID_FEATURES = ["approval_ratio", "payment_days_capped", "billed_amount_capped", "los_capped"]
+FAIRNESS_SEGMENTS = ["gender", "city", "insurance_provider"]
+
+
+def _claim_predictions(t: Tables):
+    """Baseline claim model fitted on the train dates, applied to both splits."""
+    from pyspark.sql import functions as F
+
+    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull()))
+    tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
+    model = M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES)
+    def pr(df):
+        return M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES) \
+            .withColumn("label", F.col("claim_status"))
+    return pr(tr), pr(te)
+
+
+def _v(fn):
+    return lambda t: fn(*_claim_predictions(t))
+
+
+CC, CRIT = K.CLAIM_CLASSES, K.REJECTED_CLASS
+for _name, _fn in [
+    ("v1_report_claim", _v(lambda tr, te: V.v1_classification_report(te, CC))),
+    ("v2_confusion_claim", _v(lambda tr, te: V.v2_confusion_matrix(te, CC))),
+    ("v3_business_claim", _v(lambda tr, te: V.v3_business_metrics(
+        te, CC, CRIT, amount_col="billed_amount_capped", recall_target=K.REJECTED_RECALL_TARGET))),
+    ("v4_overfit_claim", _v(lambda tr, te: V.v4_overfit_gap(tr, te, CC))),
+    ("v5_fairness_claim", _v(lambda tr, te: V.v5_fairness(te, FAIRNESS_SEGMENTS, CC, CRIT))),
+    ("v6_segments_claim", _v(lambda tr, te: V.v6_segment_performance(te, FAIRNESS_SEGMENTS, CC, CRIT))),
+    ("v7_auc_claim", _v(lambda tr, te: V.v7_roc_auc(te, CC))),
+    ("v7_roc_points_claim", _v(lambda tr, te: V.v7_roc_points(te, CC))),
+]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
