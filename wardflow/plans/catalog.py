@@ -18,6 +18,8 @@ from wardflow.operators import monitor as D
 from wardflow.operators import quality as Q
 from wardflow.operators import stats as A
 from wardflow.operators import reports as R
+from wardflow.operators import scoring as S
+from wardflow.sources import logs as L
 from wardflow.session import materialize
 from wardflow.sources.tables import Tables, from_testdata
 from wardflow.sources.tables import merged_frame as _merged_lazy
@@ -190,5 +192,184 @@ for _name, _fn in [
     register(_name, _fn)
 
 
+# ----------------------------------------------------------- scoring and logs
+def _requests(t: Tables):
+    """Claim requests derived from the tables: merged rows plus variant-N fields."""
+    return E.engineer_features_n(merged_frame(t))
+
+
+def _e9(t: Tables):
+    f = S.scoring_features(merged_frame(t), K.testdata_encoding_maps())
+    return f.select("visit_id", "bill_id", "visit_frequency", "avg_los_per_patient", "provider_rejection_rate",
+                    "days_since_registration", "approval_ratio", "billed_amount_capped", "payment_days_capped",
+                    "los_capped", "visit_month", "visit_dayofweek", "visit_quarter",
+                    *[c + "_encoded" for c in K.CATEGORY_FIELDS])
+
+
+def _q14(t: Tables):
+    v = S.validate_requests(_requests(t), S.CLAIM_REQUEST_BOUNDS, S.CLAIM_REQUEST_CATEGORIES,
+                            K.testdata_encoding_maps())
+    return S.validation_summary(v)
+
+
+_MODEL_CACHE: dict = {}
+
+
+def _claim_rf(t: Tables):
+    """Claim model (variant U features, balanced weights) fitted once per session and data set."""
+    from pyspark.sql import functions as F
+
+    key = ("rf", id(t.spark), t.visits.inputFiles()[0] if t.visits.inputFiles() else "")
+    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull()))
+    tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
+    if key not in _MODEL_CACHE:
+        w = E.balanced_class_weights(tr, "claim_status")
+        _MODEL_CACHE[key] = M.train_model(w, K.MODEL_FEATURES_U, "claim_status", K.CLAIM_CLASSES,
+                                          "random_forest", weight_col="weight")
+    return _MODEL_CACHE[key], tr, te
+
+
+HASH_FIELDS = ["visit_id", "patient_id", "age", "gender", "city", "chronic_flag", "department", "visit_type",
+               "insurance_provider", "length_of_stay_hours", "billed_amount", "approved_amount", "payment_days"]
+
+
+def _m6(t: Tables):
+    """Score the visits on or after the split date as claim requests (E9 -> model -> response)."""
+    from pyspark.sql import functions as F
+
+    model, _, _ = _claim_rf(t)
+    req = merged_frame(t).where((F.col("visit_date") >= F.lit(TESTDATA_SPLIT_DATE).cast("date"))
+                                & F.col("claim_status").isNotNull())
+    feats = S.scoring_features(req, K.testdata_encoding_maps())
+    return S.score_requests(model, feats, K.CLAIM_CLASSES, HASH_FIELDS, version="v1",
+                            clock=F.lit("2026-01-01 00:00:00").cast("timestamp"))
+
+
+def _m7(t: Tables):
+    model, _, _ = _claim_rf(t)
+    return M.feature_importances(model, K.MODEL_FEATURES_U)
+
+
+def _m9(t: Tables):
+    from pyspark.sql import functions as F
+
+    rf, tr, te = _claim_rf(t)
+    lr = M.train_model(E.balanced_class_weights(tr, "claim_status"), K.MODEL_FEATURES_U, "claim_status",
+                       K.CLAIM_CLASSES, "logistic_regression", weight_col="weight", max_iter=200)
+    rows = None
+    for name, m in [("logistic_regression", lr), ("random_forest", rf)]:
+        p = M.predict(m, te, K.CLAIM_CLASSES).select(
+            F.col("claim_status").alias("label"), F.col("predicted_class").alias("prediction"))
+        b = V.v3_business_metrics(p, K.CLAIM_CLASSES, K.REJECTED_CLASS).select(
+            F.lit(name).alias("model"), "overall_accuracy", "macro_f1", "weighted_f1", "critical_recall")
+        rows = b if rows is None else rows.unionByName(b)
+    return M.model_comparison(rows)
+
+
+def _m8(t: Tables):
+    """Leakage ablation: the same rows refit without the two leaking features."""
+    from pyspark.sql import functions as F
+
+    rf, tr, te = _claim_rf(t)
+    reduced = [f for f in K.MODEL_FEATURES_U if f not in ("approval_ratio", "payment_days_capped")]
+    ab = M.train_model(E.balanced_class_weights(tr, "claim_status"), reduced, "claim_status",
+                       K.CLAIM_CLASSES, "random_forest", weight_col="weight")
+    def acc(m, name):
+        p = M.predict(m, te, K.CLAIM_CLASSES)
+        return p.agg(F.avg((F.col("claim_status") == F.col("predicted_class")).cast("double")).alias("accuracy")) \
+            .select(F.lit(name).alias("variant"), "accuracy")
+    both = acc(rf, "all_features").unionByName(acc(ab, "without_leak_features"))
+    full = both.where(F.col("variant") == "all_features").select(F.col("accuracy").alias("_full"))
+    return both.crossJoin(full).withColumn("accuracy_drop", F.col("_full") - F.col("accuracy")).drop("_full")
+
+
+def _log_dir(t: Tables, name: str) -> str:
+    from wardflow.session import checkpoint_dir
+
+    return L.unique_path(checkpoint_dir(t.spark), name)
+
+
+def _a15(t: Tables):
+    path = _log_dir(t, "prediction-log")
+    L.append_prediction_log(_m6(t), "claim_rf", path)
+    return L.prediction_log_summary(L.load_prediction_log(t.spark, path))
+
+
+def _a16(t: Tables):
+    path = _log_dir(t, "service-log")
+    L.service_log_lines(_m6(t), "/predict/claim").write.mode("append").text(path)
+    return L.prediction_monitoring(L.read_service_log(t.spark, path))
+
+
+def _w5(t: Tables):
+    path = _log_dir(t, "prediction-log")
+    L.append_prediction_log(_m6(t), "claim_rf", path)
+    return L.recent_rows(L.load_prediction_log(t.spark, path), 10)
+
+
+def _t2(t: Tables):
+    from wardflow.streaming.scoring_stream import class_mix
+
+    events = t.spark.read.parquet(_events_path(t))
+    return class_mix(events, "ts", "event_type", "1 day")
+
+
+def _events_path(t: Tables) -> str:
+    files = t.visits.inputFiles()
+    return files[0].rsplit("/", 1)[0] + "/events.parquet"
+
+
+def _d5(t: Tables):
+    return D.d5_retraining_alert(_d3(t))
+
+
+def _q12(t: Tables):
+    tr, nw = _train_new(t)
+    schema = A.a13_feature_profile(tr, K.MODEL_FEATURES_U)
+    return Q.q12_validate_input_schema(nw, schema)
+
+
+def _q13(t: Tables):
+    from pyspark.sql import functions as F
+
+    tr, nw = _train_new(t)
+    schema = A.a13_feature_profile(tr, K.MODEL_FEATURES_U)
+    v = S.validate_against_schema(nw, schema, K.testdata_encoding_maps())
+    return v.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("valid").cast("int")).alias("n_valid"),
+                 F.sum(F.size("warnings")).alias("n_warnings"), F.sum(F.size("errors")).alias("n_errors"))
+
+
+def _s15(t: Tables):
+    return D.s15_drift_summary(_d3(t), _d4(t), report_date="2026-01-01")
+
+
+def _v10(t: Tables):
+    tr, te = _claim_predictions(t)
+    return V.v10_model_card("claim_centroid", V.v1_classification_report(te, CC),
+                            V.v3_business_metrics(te, CC, CRIT, amount_col="billed_amount_capped"),
+                            V.v5_fairness(te, FAIRNESS_SEGMENTS, CC, CRIT))
+
+
+for _name, _fn in [
+    ("e9_scoring_features", _e9),
+    ("q14_request_validation", _q14),
+    ("q15_null_cells_model_table", lambda t: Q.q15_null_cells(_model_table(t))),
+    ("t2_event_mix_daily", _t2),
+    ("d5_retraining_alert", _d5),
+    ("q12_validate_input_schema", _q12),
+    ("q13_validate_against_schema", _q13),
+    ("s15_drift_summary", _s15),
+    ("v10_model_card", _v10),
+    ("m6_score_test_visits", _m6),
+    ("m7_feature_importances", _m7),
+    ("m8_leakage_ablation", _m8),
+    ("m9_model_comparison", _m9),
+    ("a15_prediction_log_summary", _a15),
+    ("a16_prediction_monitoring", _a16),
+    ("w5_recent_predictions", _w5),
+]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
