@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.quantiles import exact_quantiles
 from wardflow.functions.scalar import count_if, map_lookup, pct
-from wardflow.operators.features import iqr_fences
 
 
 def _long(df: DataFrame, columns: list[str], ids: list[str] = ()) -> DataFrame:
@@ -93,21 +92,25 @@ def a6_box_summary(df: DataFrame, group_col: str, features: list[str]) -> DataFr
 
 
 def a7_iqr_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Q1, Q3, fences (lower >= 0), outliers and their pct of all rows (NULLs included)."""
-    fences = iqr_fences(df, columns)
-    long = _long(df.crossJoin(F.broadcast(fences)), columns,
-                 [f"{c}_{s}" for c in columns for s in ("lower", "upper")])
-    lo = F.coalesce(*[F.when(F.col("feature") == c, F.col(f"{c}_lower")) for c in columns])
-    hi = F.coalesce(*[F.when(F.col("feature") == c, F.col(f"{c}_upper")) for c in columns])
-    counts = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        count_if((F.col("value") < lo) | (F.col("value") > hi)).alias("n_outliers"),
-        F.first(lo).alias("lower_fence"), F.first(hi).alias("upper_fence"),
-    )
-    q = exact_quantiles(_long(df, columns), ["feature"], "value", [0.25, 0.75]).select(
+    """Q1, Q3, fences (lower >= 0), outliers and their pct of all rows (NULLs included).
+
+    One exact-quantile pass gives Q1/Q3 for every column; fences are a
+    per-feature table (bounded by the column count) broadcast to the rows.
+    """
+    long = _long(df, columns)
+    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75]).select(
         "feature", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
-    return q.join(counts, "feature").select(
-        "feature", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "lower_fence", "upper_fence",
+    iqr = F.col("q3") - F.col("q1")
+    fences = q.select("feature", "q1", "q3", iqr.alias("iqr"),
+                      F.greatest(F.lit(0.0), F.col("q1") - 1.5 * iqr).alias("lower_fence"),
+                      (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
+    counts = long.join(F.broadcast(fences.select("feature", "lower_fence", "upper_fence")), "feature", "left") \
+        .groupBy("feature").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            count_if((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
+            .alias("n_outliers"))
+    return fences.join(counts, "feature").select(
+        "feature", "q1", "q3", "iqr", "lower_fence", "upper_fence",
         "n_outliers", pct(F.col("n_outliers"), F.col("n_rows")).alias("outlier_pct"))
 
 

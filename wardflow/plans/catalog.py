@@ -168,8 +168,9 @@ def _claim_predictions(t: Tables):
     tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
     model = M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES)
     def pr(df):
-        return M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES) \
-            .withColumn("label", F.col("claim_status"))
+        # predictions feed several jobs (metrics, prefix sums): score once, reuse the files
+        return materialize(M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES)
+                           .withColumn("label", F.col("claim_status")))
     return pr(tr), pr(te)
 
 
@@ -220,7 +221,8 @@ def _claim_rf(t: Tables):
     from pyspark.sql import functions as F
 
     key = ("rf", id(t.spark), t.visits.inputFiles()[0] if t.visits.inputFiles() else "")
-    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull()))
+    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull())
+                     .withColumn("bill_key", F.monotonically_increasing_id()))
     tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
     if key not in _MODEL_CACHE:
         w = E.balanced_class_weights(tr, "claim_status")
@@ -371,5 +373,52 @@ for _name, _fn in [
     register(_name, _fn)
 
 
+def _e11(t: Tables):
+    """SMOTE on the claim training rows: per-class totals after oversampling."""
+    from pyspark.sql import functions as F
+
+    from wardflow.operators.smote import smote
+
+    _, tr, _ = _claim_rf(t)
+    out = smote(tr, K.MODEL_FEATURES_U, "claim_status", k=5)
+    return out.groupBy("claim_status").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("synthetic").cast("int")).cast("bigint").alias("n_synthetic"))
+
+
+def _shap(t: Tables):
+    from wardflow.operators import attribution as X
+
+    model, tr, te = _claim_rf(t)
+    rows = X.sample_rows(te, 300, "bill_key")
+    return X.shapley_values(model, rows, tr, K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "bill_key", n_perm=4)
+
+
+def _v8(t: Tables):
+    from wardflow.operators import attribution as X
+
+    return X.v8_mean_abs_attribution(_shap(t))
+
+
+def _v9(t: Tables):
+    from pyspark.sql import functions as F
+
+    from wardflow.operators import attribution as X
+
+    s = materialize(_shap(t))
+    first = s.agg(F.min("bill_key")).first()[0]  # one explained row (a parameter)
+    return X.v9_explain_row(s, "bill_key", first, K.REJECTED_CLASS)
+
+
+def _d7(t: Tables):
+    """Bootstrap of the new period's labels vs the training period (prediction drift)."""
+    tr, nw = _train_new(t)
+    return D.d4_prediction_drift(tr, D.d7_bootstrap(nw, seed=42), K.RISK_CLASSES, pred_col="risk_score_encoded")
+
+
+for _name, _fn in [("e11_smote_class_counts", _e11), ("v8_attribution_claim", _v8),
+                   ("v9_explain_one_claim", _v9), ("d7_bootstrap_prediction_drift", _d7)]:
+    register(_name, _fn)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
