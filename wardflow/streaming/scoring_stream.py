@@ -39,7 +39,9 @@ def t1_score_request_stream(spark: SparkSession, request_dir: str, model, classe
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         feats = scoring_features(df, maps)
-        checked = feats.withColumn("errors", request_errors(bounds, categories, maps))
+        # rules for fields the request carries or E9 derives; frozen defaults are not re-checked
+        present = {k: v for k, v in bounds.items() if k in feats.columns}
+        checked = feats.withColumn("errors", request_errors(present, categories, maps))
         valid = checked.where(F.size("errors") == 0)
         scored = predict(model, valid, classes).select(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
