@@ -37,3 +37,14 @@ def test_totals_before_brute_force(spark):
     for r in out:
         sel = vals[(np.arange(len(vals)) % 2) == r.k]
         assert r.c_before == int((sel < r.x).sum())
+
+
+def test_quantiles_refinement_rounds_skewed(spark):
+    """Tiny window bound forces several narrowing rounds on a heavy-tailed key."""
+    rng = np.random.default_rng(9)
+    xs = np.round(rng.lognormal(0, 2.0, 2000), 3)
+    df = spark.createDataFrame([("k", float(x)) for x in xs], "k string, v double")
+    probs = [0.01, 0.3, 0.5, 0.77, 0.999]
+    r = exact_quantiles(df, ["k"], "v", probs, buckets=4, max_window_rows=5).first()
+    assert np.allclose([r[f"q{i}"] for i in range(len(probs))], np.quantile(xs, probs), rtol=0, atol=1e-12)
+    assert r.n == 2000

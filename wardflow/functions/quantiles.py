@@ -5,15 +5,20 @@ group in one task's memory at the final merge, which does not hold when
 one group has a third of 100 TB.  This helper stays exact without that:
 
 1. collapse rows to (key, value, cnt) - hot values shrink to one row;
-2. cut every key's [min, max] range into ``buckets`` equal-width slices
-   (pure arithmetic, stays in generated code);
-3. count rows per (key, bucket) and prefix-sum those small counts;
-4. only the buckets that hold a wanted rank (two per probability) are
-   ordered by value (window per key and bucket) to find the exact values;
-5. interpolate ``v[lo] + (v[hi] - v[lo]) * frac`` with ``h = (n - 1) * p``
-   (the numpy / pandas / DuckDB ``quantile_cont`` definition).
-
-Only the tiny tables of steps 2-3 (keys x buckets rows) are broadcast.
+2. the wanted 0-based ranks are ``floor(h)`` and ``ceil(h)`` with
+   ``h = (n - 1) * p``; each starts with the key's [min, max] range;
+3. while a rank's range still holds more than ``max_window_rows`` distinct
+   values, the range is cut into ``buckets`` equal-width slices, slice
+   counts (a small keys x ranks x buckets table) are prefix-summed, and the
+   range shrinks to the exact [min, max] of the slice holding the rank;
+4. the remaining small ranges are ordered (one window per key and rank,
+   bounded by ``max_window_rows``) to read the exact values;
+5. ``v[lo] + (v[hi] - v[lo]) * frac`` (numpy / pandas / DuckDB
+   ``quantile_cont``).
+
+Every refinement round is a distributed scan of the collapsed values plus a
+small aggregate; the loop runs a bounded number of rounds and only
+decides whether to continue from a one-row count.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 
 from wardflow.session import cut_lineage
 
+MAX_ROUNDS = 12
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -32,11 +39,12 @@ def exact_quantiles(
     buckets: int = 1024,
     prefix: str = "q",
     materialize_input: bool = True,
+    max_window_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per key with columns ``{prefix}0 .. {prefix}{len(probs)-1}`` and ``n``.
 
-    NULL values are ignored (pandas ``quantile`` on ``dropna``).  Keys with
-    no non-NULL value are absent.
+    NULL / NaN values are ignored (pandas ``quantile`` on ``dropna``).  Keys
+    without values are absent.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -47,62 +55,53 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     if materialize_input:
-        # every later branch (edges, bucket counts, ranked buckets) reads dv
-        dv = cut_lineage(dv)
-    edges = dv.groupBy(*keys).agg(
-        F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_c").alias("n"),
-    )
-    width = (F.col("_mx") - F.col("_mn")) / F.lit(float(buckets))
-    dvb = dv.join(F.broadcast(edges), keys).withColumn(
-        "_b",
-        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / width),
-                                  F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"),
-    ).drop("_mn", "_mx", "n")
-
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bcount = (
-        dvb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bn"))
-        .withColumn("_boff", F.coalesce(F.sum("_bn").over(wk), F.lit(0)))
-    )
+        dv = cut_lineage(dv)  # every round and the final pass read dv
 
-    # wanted 0-based ranks per key and probability
-    targets = edges.select(
-        *keys, "n",
-        F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"),
+    stats = dv.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                  F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_nd"))
+    wanted = stats.select(
+        *keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"),
     ).withColumn("_h", (F.col("n") - 1) * F.col("_p"))
-    targets = targets.select(
-        *keys, "_pi", "_h",
-        F.explode(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_r"),
-    ).dropDuplicates([*keys, "_pi", "_r"])
-
-    hit = (
-        targets.join(F.broadcast(bcount), keys)
-        .where((F.col("_r") >= F.col("_boff")) & (F.col("_r") < F.col("_boff") + F.col("_bn")))
-        .select(*keys, "_pi", "_h", "_r", "_b", "_boff")
-    )
-    wanted_buckets = hit.select(*keys, "_b", "_boff").distinct()
-
-    wv = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        dvb.join(F.broadcast(wanted_buckets), [*keys, "_b"])
-        .withColumn("_lo", F.col("_boff") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
-        .withColumn("_hi", F.col("_lo") + F.col("_c"))
-    )
-    picked = (
-        ranked.join(F.broadcast(hit.drop("_boff")), [*keys, "_b"])
-        .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
-        .groupBy(*keys, "_pi")
-        .agg(
-            F.first("_h").alias("_h"),
-            F.min(F.struct("_r", "_v")).getField("_v").alias("_vlo"),
-            F.max(F.struct("_r", "_v")).getField("_v").alias("_vhi"),
-        )
-        .withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
+    ranks = wanted.select(
+        *keys, F.explode(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_r"),
+    ).distinct()
+    state = ranks.join(stats, keys).select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_nd")
+    state = cut_lineage(state)
+
+    for _ in range(MAX_ROUNDS):
+        big = state.where(F.col("_nd") > max_window_rows)
+        if big.limit(1).count() == 0:
+            break
+        w = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
+        cand = dv.join(F.broadcast(big.drop("_nd")), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cand = cand.withColumn("_b", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / w),
+                                                           F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
+        bc = cand.groupBy(*keys, "_r", "_off", "_b").agg(
+            F.sum("_c").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
+            F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+        wb = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        bc = bc.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
+        narrowed = bc.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bn"))) \
+            .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+                    F.col("_before").alias("_off"), F.col("_bd").alias("_nd"))
+        state = cut_lineage(state.where(F.col("_nd") <= max_window_rows).unionByName(narrowed))
+
+    wv = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    located = (
+        dv.join(F.broadcast(state.drop("_nd")), keys)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
+        .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
+        .select(*keys, "_r", "_v")
     )
-    wide = picked.groupBy(*keys).pivot("_pi", list(range(len(probs)))).agg(F.first("_q"))
-    for i in range(len(probs)):
-        wide = wide.withColumnRenamed(str(i), f"{prefix}{i}")
-    return wide.join(edges.select(*keys, "n"), keys)
+    vals = wanted.select(*keys, "n", "_pi", "_h").join(
+        located.withColumnRenamed("_r", "_rlo").withColumnRenamed("_v", "_vlo"),
+        [*keys], "left").where(F.col("_rlo") == F.floor("_h")).join(
+        located.withColumnRenamed("_r", "_rhi").withColumnRenamed("_v", "_vhi"), [*keys], "left").where(
+        F.col("_rhi") == F.ceil("_h"))
+    q = vals.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
+    agg = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
+    return q.groupBy(*keys, "n").agg(*agg)
 
 
 def exact_quantiles_row(df: DataFrame, columns: list[str], probs: list[float],
