@@ -48,3 +48,29 @@ def test_quantiles_refinement_rounds_skewed(spark):
     r = exact_quantiles(df, ["k"], "v", probs, buckets=4, max_window_rows=5).first()
     assert np.allclose([r[f"q{i}"] for i in range(len(probs))], np.quantile(xs, probs), rtol=0, atol=1e-12)
     assert r.n == 2000
+
+
+def test_row_numbers_and_totals_across_partitions(spark):
+    from wardflow.functions.prefix import row_numbers
+
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rng = np.random.default_rng(4)
+        keys = rng.integers(0, 40, 2000)  # many duplicate sort keys, one hot value
+        keys[:700] = 7
+        df = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "k long, i long")
+        rn = row_numbers(df, ["k"], "rn")
+        out = rn.collect()
+        assert sorted(r.rn for r in out) == list(range(2000))
+        ks = {r.rn: r.k for r in out}
+        assert [ks[i] for i in range(2000)] == sorted(keys.tolist())  # numbering follows the order
+        agg = df.groupBy((F.col("i") % 3).alias("g"), "k").agg(F.count(F.lit(1)).alias("c"))
+        tb = totals_before(agg, ["g"], "k", ["c"]).collect()
+        for r in tb:
+            sel = keys[np.arange(2000) % 3 == r.g]
+            assert r.c_before == int((sel < r.k).sum())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

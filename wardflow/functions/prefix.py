@@ -1,10 +1,17 @@
-"""Distributed running totals along an ordered column.
+"""Distributed ordering helpers: running totals and row numbers.
 
-A plain ``Window.partitionBy(key).orderBy(x)`` running sum puts every row
-of a key into one task.  Here rows are first cut into equal-width buckets
-of ``x`` per key; bucket totals (keys x buckets rows) are prefix-summed,
-and only then is each bucket ordered on its own, so one task holds one
-bucket, not one key.
+A plain ``Window.partitionBy(key).orderBy(x)`` puts every row of a key into
+one task.  Both helpers here sort with Spark's range partitioning instead
+(sampled bounds split a hot key's value range over many partitions), fix
+that order with a checkpoint, and combine
+
+* a small per-partition table (partitions x keys rows) prefix-summed to
+  give each partition its offset, and
+* the position / running sum inside each partition (bounded by partition
+  size, which range partitioning keeps even).
+
+``monotonically_increasing_id`` carries the partition index in its upper
+31 bits and the row's position inside the partition in the lower 33 bits.
 """
 
 from __future__ import annotations
@@ -12,25 +19,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardflow.session import cut_lineage
+
+_LOW33 = (1 << 33) - 1
+
+
+def _sorted_with_position(df: DataFrame, order_cols: list) -> DataFrame:
+    s = cut_lineage(df.orderBy(*order_cols)).withColumn("_mid", F.monotonically_increasing_id())
+    return s.withColumn("_pid", F.shiftright("_mid", 33).cast("int")) \
+        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))).drop("_mid")
+
+
+def row_numbers(df: DataFrame, order_cols: list, out: str = "row_number") -> DataFrame:
+    """0-based global row number in ``order_cols`` order (ties broken arbitrarily, exactly once)."""
+    s = _sorted_with_position(df, order_cols)
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_sz"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(w), F.lit(0))).drop("_sz")
+    return s.join(F.broadcast(offs), "_pid").withColumn(out, F.col("_off") + F.col("_pos")) \
+        .drop("_pid", "_pos", "_off")
+
 
 def totals_before(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
-                  buckets: int = 1024) -> DataFrame:
-    """Add ``{c}_before`` = sum of ``c`` over rows of the same key with a
-    strictly smaller ``order_col``.  ``df`` must hold one row per
-    (keys, order_col) value (pre-aggregate first)."""
+                  buckets: int | None = None) -> DataFrame:
+    """Add ``{c}_before`` = sum of ``c`` over rows of the same key with a strictly
+    smaller ``order_col``.  ``df`` must hold one row per (keys, order_col)."""
     keys = list(keys)
-    x = F.col(order_col).cast("double")
-    rng = df.groupBy(*keys).agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
-    width = (F.col("_mx") - F.col("_mn")) / F.lit(float(buckets))
-    b = df.join(F.broadcast(rng), keys).withColumn(
-        "_bk", F.when(width > 0, F.least(F.floor((x - F.col("_mn")) / width), F.lit(buckets - 1)))
-        .otherwise(F.lit(0)).cast("int")).drop("_mn", "_mx")
-    tot = b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_bt_{c}").over(wk), F.lit(0)).alias(f"_bo_{c}")
-                                     for c in sum_cols])
-    wb = Window.partitionBy(*keys, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(F.broadcast(tot), [*keys, "_bk"])
+    s = _sorted_with_position(df, [*keys, order_col])
+    part = s.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_ps_{c}") for c in sum_cols])
+    wk = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("_pid", *keys, *[F.coalesce(F.sum(f"_ps_{c}").over(wk), F.lit(0)).alias(f"_po_{c}")
+                                        for c in sum_cols])
+    wp = Window.partitionBy("_pid", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = s.join(part, ["_pid", *keys])
     for c in sum_cols:
-        out = out.withColumn(f"{c}_before", F.col(f"_bo_{c}") + F.coalesce(F.sum(c).over(wb), F.lit(0)))
-    return out.drop("_bk", *[f"_bo_{c}" for c in sum_cols])
+        out = out.withColumn(f"{c}_before", F.col(f"_po_{c}") + F.coalesce(F.sum(c).over(wp), F.lit(0)))
+    return out.drop("_pid", "_pos", *[f"_po_{c}" for c in sum_cols])

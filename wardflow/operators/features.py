@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
+from wardflow.functions.prefix import row_numbers
 from wardflow.functions.quantiles import exact_quantiles
 from wardflow.functions.scalar import clip, map_lookup, weekday_monday0
 
@@ -262,7 +263,8 @@ def positional_split(df: DataFrame, frac: float = 0.8, date_col: str = "visit_da
     """First ``floor(n * frac)`` rows in date order -> ``split = 'train'``.
 
     Daily counts (bounded by the calendar) are prefix-summed to find the
-    cutoff date; only rows *on* that date are ranked, by ``tie_cols``.
+    cutoff date; only rows *on* that date are ranked, by ``tie_cols``,
+    with distributed row numbers (no single-task window).
     Returns ``df`` with a ``split`` column ('train' / 'test').
     """
     days = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_day_n"))
@@ -278,10 +280,11 @@ def positional_split(df: DataFrame, frac: float = 0.8, date_col: str = "visit_da
         .select(F.col(date_col).alias("_cut"), (F.col("_k") - (F.col("_cum") - F.col("_day_n"))).alias("_take"))
     out = df.crossJoin(F.broadcast(cutoff))
     d = F.col(date_col)
-    on_cut = out.where(d == F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy(date_col).orderBy(*[F.asc_nulls_last(c) for c in tie_cols]))
+    # rows of the cutoff date are numbered by a range-partitioned sort, so a
+    # date holding a third of all rows is still spread over many tasks
+    on_cut = row_numbers(out.where(d == F.col("_cut")), [F.asc_nulls_last(c) for c in tie_cols], "_rn")
     on_cut = on_cut.withColumn(
-        "split", F.when(rank <= F.col("_take"), F.lit("train")).otherwise(F.lit("test")))
+        "split", F.when(F.col("_rn") < F.col("_take"), F.lit("train")).otherwise(F.lit("test"))).drop("_rn")
     rest = out.where((d != F.col("_cut")) | d.isNull()).withColumn(
         "split", F.when(d < F.col("_cut"), F.lit("train")).otherwise(F.lit("test")))
     return on_cut.unionByName(rest).drop("_cut", "_take")
