@@ -9,9 +9,11 @@ one group has a third of 100 TB.  This helper stays exact without that:
    ``h = (n - 1) * p``; each starts with the key's [min, max] range;
 3. while a rank's range still holds more than ``max_window_rows`` distinct
    values, the range is cut into ``buckets`` equal-width slices, slice
-   counts (a small keys x ranks x buckets table) are prefix-summed, and the
+   counts (a small ranges x buckets table) are prefix-summed, and the
    range shrinks to the exact [min, max] of the slice holding the rank;
-4. the remaining small ranges are ordered (one window per key and rank,
+   ranks that share a range (all ranks of a key in the first round) share
+   one scan and one slice count;
+4. the remaining small ranges are ordered (one window per distinct range,
    bounded by ``max_window_rows``) to read the exact values;
 5. ``v[lo] + (v[hi] - v[lo]) * frac`` (numpy / pandas / DuckDB
    ``quantile_cont``).
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.session import cut_lineage
+from wardflow.session import write_table
 
 MAX_ROUNDS = 12
 
@@ -36,15 +38,18 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probs: list[float],
-    buckets: int = 1024,
+    buckets: int = 4096,
     prefix: str = "q",
     materialize_input: bool = True,
-    max_window_rows: int = 1_000_000,
+    max_window_rows: int = 65_536,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per key with columns ``{prefix}0 .. {prefix}{len(probs)-1}`` and ``n``.
 
     NULL / NaN values are ignored (pandas ``quantile`` on ``dropna``).  Keys
-    without values are absent.
+    without values are absent.  The state table holds keys x ranks rows; it
+    is broadcast to the value scans only when its counted size is at most
+    ``broadcast_rows``, otherwise the planner shuffles it.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -55,7 +60,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     if materialize_input:
-        dv = cut_lineage(dv)  # every round and the final pass read dv
+        dv = write_table(dv)  # every round and the final pass read dv
 
     stats = dv.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                   F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_nd"))
@@ -66,39 +71,56 @@ def exact_quantiles(
         *keys, F.explode(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_r"),
     ).distinct()
     state = ranks.join(stats, keys).select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_nd")
-    state = cut_lineage(state)
+    state = write_table(state)
+    small = state.count() <= broadcast_rows  # size check before any broadcast of the state
 
+    def bcast(d: DataFrame) -> DataFrame:
+        return F.broadcast(d) if small else d
+
+    seg_cols = [*keys, "_lo", "_hi", "_off"]
     for _ in range(MAX_ROUNDS):
         big = state.where(F.col("_nd") > max_window_rows)
         if big.limit(1).count() == 0:
             break
+        # ranks sharing a range share one bucket count (all ranks of a key in round 1)
+        seg = big.select(*seg_cols).distinct()
         w = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-        cand = dv.join(F.broadcast(big.drop("_nd")), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cand = dv.join(bcast(seg), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         cand = cand.withColumn("_b", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / w),
                                                            F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-        bc = cand.groupBy(*keys, "_r", "_off", "_b").agg(
+        bc = cand.groupBy(*seg_cols, "_b").agg(
             F.sum("_c").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
             F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-        wb = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        wb = Window.partitionBy(*seg_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         bc = bc.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-        narrowed = bc.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bn"))) \
+        narrowed = (
+            big.select(*seg_cols, "_r").join(bc, seg_cols)
+            .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bn")))
             .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                     F.col("_before").alias("_off"), F.col("_bd").alias("_nd"))
-        state = cut_lineage(state.where(F.col("_nd") <= max_window_rows).unionByName(narrowed))
+        )
+        state = write_table(state.where(F.col("_nd") <= max_window_rows).unionByName(narrowed))
 
-    wv = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    located = (
-        dv.join(F.broadcast(state.drop("_nd")), keys)
+    # one ordered window per remaining range (at most max_window_rows distinct values)
+    wv = Window.partitionBy(*seg_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = (
+        dv.join(bcast(state.select(*seg_cols).distinct()), keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
+    )
+    located = (
+        state.select(*seg_cols, "_r").join(in_range, seg_cols)
         .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
         .select(*keys, "_r", "_v")
     )
-    vals = wanted.select(*keys, "n", "_pi", "_h").join(
-        located.withColumnRenamed("_r", "_rlo").withColumnRenamed("_v", "_vlo"),
-        [*keys], "left").where(F.col("_rlo") == F.floor("_h")).join(
-        located.withColumnRenamed("_r", "_rhi").withColumnRenamed("_v", "_vhi"), [*keys], "left").where(
-        F.col("_rhi") == F.ceil("_h"))
+    lo = located.select(*keys, F.col("_r").alias("_rlo"), F.col("_v").alias("_vlo"))
+    hi = located.select(*keys, F.col("_r").alias("_rhi"), F.col("_v").alias("_vhi"))
+    vals = (
+        wanted.select(*keys, "n", "_pi", "_h", F.floor("_h").cast("long").alias("_rlo"),
+                      F.ceil("_h").cast("long").alias("_rhi"))
+        .join(lo, [*keys, "_rlo"], "left")
+        .join(hi, [*keys, "_rhi"], "left")
+    )
     q = vals.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
     agg = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
     return q.groupBy(*keys, "n").agg(*agg)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,7 +81,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-materialize = cut_lineage
+def write_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    The cut used where row order does not matter: one job (a reliable
+    ``checkpoint`` runs its last stage twice, once to count and once to
+    write), a columnar copy that later scans prune, and file sizes the
+    planner and AQE use for their join choices.  A lost executor re-reads
+    the files instead of recomputing the upstream joins.
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+materialize = write_table
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
