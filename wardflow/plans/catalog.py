@@ -166,11 +166,13 @@ def _claim_predictions(t: Tables):
 
     mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull()))
     tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
-    model = M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES)
+    # the 1-row fitted model is the cut: scoring is a row-wise projection over the
+    # written model table, so a split that a metric never reads is never scored
+    model = materialize(M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES))
+
     def pr(df):
-        # predictions feed several jobs (metrics, prefix sums): score once, reuse the files
-        return materialize(M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES)
-                           .withColumn("label", F.col("claim_status")))
+        return (M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES)
+                .withColumn("label", F.col("claim_status")))
     return pr(tr), pr(te)
 
 
