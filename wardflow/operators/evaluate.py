@@ -9,7 +9,7 @@ position.  Zero division gives 0 (sklearn ``zero_division=0``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
@@ -26,17 +26,33 @@ def _safe(num, den):
 
 def per_class_metrics(df: DataFrame, classes: list[str], label: str = "label",
                       pred: str = "prediction", by: list[str] = ()) -> DataFrame:
-    """(by..., class_name, tp, support, predicted, precision, recall, f1)."""
+    """(by..., class_name, tp, support, predicted, precision, recall, f1).
+
+    One linear plan: the confusion cells (at most k x k per ``by`` group)
+    each explode into their support / predicted / tp contributions plus a
+    zero row for every listed class, and one small ``groupBy`` sums them.
+    No join, so the scored rows are scanned once.  Labels or predictions
+    outside ``classes`` (and NULL) are not reported, as with a class grid.
+    """
     by = list(by)
     cm = df.groupBy(*by, F.col(label).alias("_l"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    sup = cm.groupBy(*by, F.col("_l").alias("class_name")).agg(F.sum("_n").alias("support"))
-    prd = cm.groupBy(*by, F.col("_p").alias("class_name")).agg(F.sum("_n").alias("predicted"))
-    tp = cm.where(F.col("_l") == F.col("_p")).select(*by, F.col("_l").alias("class_name"), F.col("_n").alias("tp"))
-    cls = _classes(df.sparkSession, classes)
-    grid = cls if not by else df.select(*by).distinct().crossJoin(F.broadcast(cls))
+    zero = F.lit(0).cast("bigint")
+    parts = [
+        F.struct(F.col("_l").alias("class_name"), F.col("_n").alias("support"), zero.alias("predicted"),
+                 F.when(F.col("_l") == F.col("_p"), F.col("_n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("_p").alias("class_name"), zero.alias("support"), F.col("_n").alias("predicted"),
+                 zero.alias("tp")),
+        *[F.struct(F.lit(c).alias("class_name"), zero.alias("support"), zero.alias("predicted"), zero.alias("tp"))
+          for c in classes],
+    ]
+    cells = cm.select(*by, F.explode(F.array(*parts)).alias("_s")).select(*by, "_s.*")
+    if not by:  # an empty input still reports every class with zeros
+        cells = cells.unionByName(_classes(df.sparkSession, classes).select(
+            "class_name", zero.alias("support"), zero.alias("predicted"), zero.alias("tp")))
     m = (
-        grid.join(sup, [*by, "class_name"], "left").join(prd, [*by, "class_name"], "left")
-        .join(tp, [*by, "class_name"], "left").fillna(0, subset=["support", "predicted", "tp"])
+        cells.where(F.col("class_name").isin(list(classes)))
+        .groupBy(*by, "class_name")
+        .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
     )
     p = _safe(F.col("tp").cast("double"), F.col("predicted"))
     r = _safe(F.col("tp").cast("double"), F.col("support"))
@@ -46,39 +62,54 @@ def per_class_metrics(df: DataFrame, classes: list[str], label: str = "label",
 
 def v1_classification_report(df: DataFrame, classes: list[str], label: str = "label",
                              pred: str = "prediction") -> DataFrame:
-    """Per-class rows plus 'accuracy', 'macro avg', 'weighted avg' rows."""
+    """Per-class rows plus 'accuracy', 'macro avg', 'weighted avg' rows.
+
+    The k per-class rows are gathered into one array (k is the length of
+    the class list) next to the totals, then exploded with the three
+    summary rows: the metrics plan is read once.
+    """
     m = per_class_metrics(df, classes, label, pred)
-    tot = m.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp_all"),
-                F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    rows = m.select(F.col("class_name").alias("label"), "precision", "recall",
-                    F.col("f1").alias("f1_score"), F.col("support").cast("bigint").alias("support"))
+    one = m.agg(
+        F.collect_list(F.struct(F.col("class_name").alias("label"), "precision", "recall",
+                                F.col("f1").alias("f1_score"),
+                                F.col("support").cast("bigint").alias("support"))).alias("cs"),
+        F.sum("support").alias("n"), F.sum("tp").alias("tp_all"),
+        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
+        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
+        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
+        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
     acc = F.col("tp_all") / F.col("n")
-    summary = tot.select(F.explode(F.array(
+    n = F.col("n").cast("bigint")
+    summary = F.array(
         F.struct(F.lit("accuracy").alias("label"), acc.alias("precision"), acc.alias("recall"),
-                 acc.alias("f1_score"), F.col("n").cast("bigint").alias("support")),
+                 acc.alias("f1_score"), n.alias("support")),
         F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1_score"), F.col("n").cast("bigint").alias("support")),
+                 F.col("mf").alias("f1_score"), n.alias("support")),
         F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                 F.col("wf").alias("f1_score"), F.col("n").cast("bigint").alias("support")),
-    )).alias("s")).select("s.*")
-    return rows.unionByName(summary)
+                 F.col("wf").alias("f1_score"), n.alias("support")),
+    )
+    return one.select(F.explode(F.concat("cs", summary)).alias("s")).select("s.*")
 
 
 def v2_confusion_matrix(df: DataFrame, classes: list[str], label: str = "label",
                         pred: str = "prediction") -> DataFrame:
-    """Every (actual, predicted) cell incl. zeros, with row-normalised share."""
+    """Every (actual, predicted) cell incl. zeros, with row-normalised share.
+
+    Observed cells are unioned with the zero k x k grid and summed (no
+    join); row totals come from a window over the k x k result.
+    """
     cm = df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("count"))
     cls = _classes(df.sparkSession, classes)
     grid = cls.select(F.col("class_name").alias("actual")).crossJoin(
-        cls.select(F.col("class_name").alias("predicted")))
-    out = grid.join(cm, ["actual", "predicted"], "left").fillna(0, subset=["count"])
-    rows = out.groupBy("actual").agg(F.sum("count").alias("_row"))
-    return out.join(rows, "actual").select(
-        "actual", "predicted", "count", _safe(F.col("count").cast("double"), F.col("_row")).alias("row_share"))
+        cls.select(F.col("class_name").alias("predicted"))).select(
+        "actual", "predicted", F.lit(0).cast("bigint").alias("count"))
+    out = (
+        cm.where(F.col("actual").isin(list(classes)) & F.col("predicted").isin(list(classes)))
+        .unionByName(grid).groupBy("actual", "predicted").agg(F.sum("count").alias("count"))
+    )
+    row = F.sum("count").over(Window.partitionBy("actual"))  # k rows per window
+    return out.select("actual", "predicted", "count", _safe(F.col("count").cast("double"), row).alias("row_share"))
 
 
 def _summary_row(m: DataFrame, critical: str) -> DataFrame:
@@ -138,8 +169,9 @@ def v5_fairness(df: DataFrame, segments: list[str], classes: list[str], critical
         F.max(F.when(F.col("class_name") == critical, F.col("recall"))).alias("critical_recall"),
     ).where(F.col("n_records") > 0)
     lo, hi = K.FAIRNESS_BANDS
-    mean = agg.groupBy("segment_column").agg(F.avg("critical_recall").alias("segment_mean_recall"))
-    return agg.join(mean, "segment_column").withColumn(
+    # one window per segment column (its distinct values), no self-join of ``agg``
+    mean = F.avg("critical_recall").over(Window.partitionBy("segment_column"))
+    return agg.withColumn("segment_mean_recall", mean).withColumn(
         "band", F.when(F.col("critical_recall") < lo, F.lit("red"))
         .when(F.col("critical_recall") < hi, F.lit("amber")).otherwise(F.lit("green")))
 
