@@ -72,15 +72,22 @@ def exact_quantiles(
     ).distinct()
     state = ranks.join(stats, keys).select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_nd")
     state = write_table(state)
-    small = state.count() <= broadcast_rows  # size check before any broadcast of the state
+    # one small job: the state size (checked before any broadcast of it) and
+    # whether any range still needs narrowing
+    n_state, widest = state.agg(F.count(F.lit(1)), F.max("_nd")).first()
+    small = n_state <= broadcast_rows
 
     def bcast(d: DataFrame) -> DataFrame:
         return F.broadcast(d) if small else d
 
     seg_cols = [*keys, "_lo", "_hi", "_off"]
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS):
         big = state.where(F.col("_nd") > max_window_rows)
-        if big.limit(1).count() == 0:
+        if rnd == 0:
+            done = (widest or 0) <= max_window_rows
+        else:
+            done = big.limit(1).count() == 0
+        if done:
             break
         # ranks sharing a range share one bucket count (all ranks of a key in round 1)
         seg = big.select(*seg_cols).distinct()
