@@ -45,3 +45,22 @@ def test_auc_matches_pairwise_brute_force(spark):
         assert abs(got[c] - wins / (len(pos) * len(neg))) < 1e-12
     pts = V.v7_roc_points(_df(spark, rows), CL).where("class_name = 'a'").collect()
     assert max(p.tpr for p in pts) == 1.0 and min(p.fpr for p in pts) == 0.0
+
+
+def test_per_class_metrics_unlisted_null_and_empty(spark):
+    """Cells outside the class list or NULL count only where sklearn with
+    ``labels=`` would count them; an empty input still lists every class."""
+    rows = [("a", "a", "x", None), ("a", "z", "x", None), ("z", "a", "x", None),
+            (None, "b", "x", None), ("b", None, "x", None), ("b", "b", "x", None)]
+    m = {r.class_name: r for r in V.per_class_metrics(_df(spark, rows), CL).collect()}
+    assert set(m) == set(CL)
+    # 'a': support counts (a,a),(a,z); predicted counts (a,a),(z,a)
+    assert (m["a"].support, m["a"].predicted, m["a"].tp) == (2, 2, 1)
+    # 'b': support (b,None),(b,b); predicted (None,b),(b,b)
+    assert (m["b"].support, m["b"].predicted, m["b"].tp) == (2, 2, 1)
+    assert (m["c"].support, m["c"].predicted, m["c"].tp) == (0, 0, 0)
+    empty = _df(spark, rows).where("false")
+    rep = {r.label: r for r in V.v1_classification_report(empty, CL).collect()}
+    assert {c for c in CL} <= set(rep) and rep["a"].support == 0
+    cm = V.v2_confusion_matrix(_df(spark, rows), CL).collect()
+    assert len(cm) == 9 and sum(r["count"] for r in cm) == 2

@@ -75,10 +75,10 @@ def v1_classification_report(df: DataFrame, classes: list[str], label: str = "la
                                 F.col("support").cast("bigint").alias("support"))).alias("cs"),
         F.sum("support").alias("n"), F.sum("tp").alias("tp_all"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    acc = F.col("tp_all") / F.col("n")
+        _safe(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+        _safe(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+        _safe(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
+    acc = _safe(F.col("tp_all").cast("double"), F.col("n"))
     n = F.col("n").cast("bigint")
     summary = F.array(
         F.struct(F.lit("accuracy").alias("label"), acc.alias("precision"), acc.alias("recall"),
@@ -114,9 +114,9 @@ def v2_confusion_matrix(df: DataFrame, classes: list[str], label: str = "label",
 
 def _summary_row(m: DataFrame, critical: str) -> DataFrame:
     return m.agg(
-        (F.sum("tp") / F.sum("support")).alias("overall_accuracy"),
+        _safe(F.sum("tp").cast("double"), F.sum("support")).alias("overall_accuracy"),
         F.avg("f1").alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+        _safe(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
         F.max(F.when(F.col("class_name") == critical, F.col("recall"))).alias("critical_recall"),
         F.max(F.when(F.col("class_name") == critical, F.col("precision"))).alias("critical_precision"),
         F.max(F.when(F.col("class_name") == critical, F.col("f1"))).alias("critical_f1"),
@@ -145,7 +145,7 @@ def v4_overfit_gap(train_pred: DataFrame, test_pred: DataFrame, classes: list[st
     """Train - test accuracy and macro F1, flagged above ``flag``."""
     def one(df, name):
         m = per_class_metrics(df, classes, label, pred)
-        return m.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1")) \
+        return m.agg(_safe(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1")) \
             .unpivot([], ["accuracy", "macro_f1"], "metric", name)
     out = one(train_pred, "train").join(one(test_pred, "test"), "metric")
     gap = F.col("train") - F.col("test")
@@ -164,7 +164,7 @@ def v5_fairness(df: DataFrame, segments: list[str], classes: list[str], critical
     present = (F.col("support") > 0) | (F.col("predicted") > 0)
     agg = m.groupBy("segment_column", "segment_value").agg(
         F.sum("support").cast("bigint").alias("n_records"),
-        (F.sum("tp") / F.sum("support")).alias("overall_acc"),
+        _safe(F.sum("tp").cast("double"), F.sum("support")).alias("overall_acc"),
         F.avg(F.when(present, F.col("f1"))).alias("macro_f1"),
         F.max(F.when(F.col("class_name") == critical, F.col("recall"))).alias("critical_recall"),
     ).where(F.col("n_records") > 0)
