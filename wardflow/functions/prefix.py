@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from wardflow.session import cut_lineage
 
@@ -25,7 +26,14 @@ _LOW33 = (1 << 33) - 1
 
 
 def _sorted_with_position(df: DataFrame, order_cols: list) -> DataFrame:
-    s = cut_lineage(df.orderBy(*order_cols)).withColumn("_mid", F.monotonically_increasing_id())
+    # the eager checkpoint counts, then writes: keep the sorted partitions (memory,
+    # spilling to disk) between the two so the sort stage runs once
+    ordered = df.orderBy(*order_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fixed = cut_lineage(ordered)
+    finally:
+        ordered.unpersist()
+    s = fixed.withColumn("_mid", F.monotonically_increasing_id())
     return s.withColumn("_pid", F.shiftright("_mid", 33).cast("int")) \
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))).drop("_mid")
 
