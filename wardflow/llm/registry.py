@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as qr
-from . import simhash
+from . import simhash, suffix_dedup
 from .common import read_table
 
 
@@ -60,12 +60,19 @@ def _op10_sql() -> str:
     return OP10_SQL.format(w=qr.WINDOW, stop=stop, verdict=_verdict_sql())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs, min_len=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
     return comp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
