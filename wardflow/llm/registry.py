@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as qr
-from . import simhash, suffix_dedup
+from . import decontaminate, packing, simhash, suffix_dedup
 from .common import read_table
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(read_table(spark, sf_dir, "documents"), str(tokenizer_path))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,6 +68,32 @@ def _op10_sql() -> str:
     return OP10_SQL.format(w=qr.WINDOW, stop=stop, verdict=_verdict_sql())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contaminated(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared",
+                        "containment").distinct()
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark),
+sizes AS (SELECT DISTINCT least(5, len(w)) AS k FROM words WHERE side = 1 AND len(w) > 0),
+items AS (SELECT id AS item_id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(
+    range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS s
+  FROM words WHERE side = 1 AND len(w) > 0),
+docs AS (SELECT DISTINCT id AS doc_id, unnest(list_transform(
+    range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM words, sizes WHERE side = 0 AND len(w) >= k),
+n AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8::DOUBLE * n_shingles
+"""
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, min_len=200)
@@ -72,8 +106,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -83,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _op10_sql()}
+    return {"op2_decontaminate": OP2_SQL, "op10_quality_rules": _op10_sql()}

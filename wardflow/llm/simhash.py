@@ -262,9 +262,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_bits: int = 2) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; columns unchanged.
 
-    Rows with a null id are kept; rows with the same id count as one document
-    and stay or go together.
+    Rows with a null id are kept.  Of rows that repeat a kept id, the one with
+    the smallest text stays.
     """
-    comp = simhash_components(docs, id_col, text_col, shingle_words, max_bits)
+    comp = write_table(simhash_components(docs, id_col, text_col, shingle_words, max_bits))
     gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = comp.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").drop("count")
+    if not repeated.head(1):
+        return kept
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col), F.lit("")))
+    again = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(row.alias("__row")).select("__row.*")
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(again)
