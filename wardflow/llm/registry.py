@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as qr
-from . import chat, decontaminate, packing, simhash, suffix_dedup, warc
+from . import chat, decontaminate, html_extract, langid, packing, pu_quality, simhash, suffix_dedup, warc
 from .common import read_table
 
 
@@ -55,6 +55,14 @@ SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     if tokenizer_path is None:
         import public_tokenizers
@@ -149,6 +157,10 @@ FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8::DOUBLE * n_shingles
 """
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, min_len=200)
@@ -163,9 +175,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html": op3_html,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_langid": op7_langid,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
