@@ -160,6 +160,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if "application/http" in f.get("content-type", ""):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = len(payload)
+                    if kind == "request":
+                        payload = block
                     if kind == "revisit":
                         size = int(_fields(head).get("content-length") or 0)
                 elif "warc-fields" in f.get("content-type", ""):
