@@ -122,11 +122,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, batch: int = 1024, rate: float = 0.01,
-             decay: float = 1e-4, seed: int = 7) -> Scorer:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, total_steps: int = 2000, batch: int = 1024,
+             rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Scorer:
     """Minimise the non-negative risk of the logistic loss by mini-batches."""
     r, net = np.random.default_rng(seed), Scorer(pos.shape[1])
     steps = max(1, math.ceil(len(unl) / batch))
+    epochs = math.ceil(total_steps / steps)
     for epoch in range(epochs):
         order_u, order_p = r.permutation(len(unl)), r.permutation(len(pos))
         for i in range(steps):
@@ -142,7 +143,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, b
                 slope = np.concatenate(((prior * (sp - 1) - prior * sp) / len(p), su / len(u)))
             else:
                 slope = np.concatenate((prior * sp / len(p), -su / len(u)))
-            net.step(x, slope, rate / (1 + epoch / 20), decay)
+            net.step(x, slope, rate / (1 + 3 * epoch / epochs), decay)
     return net
 
 
