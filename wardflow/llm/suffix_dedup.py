@@ -204,14 +204,25 @@ def maximal_repeats(
                 yield left, depth, members
 
 
-def _scan(min_len: int):
-    """Rows (h, left, right, doc, th, anchor) sorted by (h, right) -> groups with all occurrences."""
+def _scan(min_len: int, spans_only: bool):
+    """Rows (h, left, right, doc, th, anchor) sorted by (h, right) -> groups with all occurrences.
+
+    With ``spans_only`` an occurrence that several groups hold is returned once,
+    with the union of its spans (each contains the anchor, so that is one span).
+    """
 
     def groups(rows: list[tuple]) -> Iterator[tuple]:
         rights, lefts = [r[2] for r in rows], [r[1] for r in rows]
+        reach: dict[int, tuple[int, int]] = {}
         for g, (left, right, members) in enumerate(maximal_repeats(rights, lefts, min_len)):
             for x in members:
-                yield rows[x][0], g, rows[x][3], rows[x][4], rows[x][5] - left, left + right
+                if spans_only:
+                    a, b = reach.get(x, (0, 0))
+                    reach[x] = max(a, left), max(b, right)
+                else:
+                    yield rows[x][0], g, rows[x][3], rows[x][4], rows[x][5] - left, left + right
+        for x, (left, right) in reach.items():
+            yield rows[x][0], 0, rows[x][3], rows[x][4], rows[x][5] - left, left + right
 
     names = ["h", "part", "doc", "th", "start", "length"]
 
@@ -271,7 +282,7 @@ def _windows(min_len: int):
     return run
 
 
-def _groups(source: DataFrame, min_len: int, max_group: int) -> DataFrame:
+def _groups(source: DataFrame, min_len: int, max_group: int, spans_only: bool = False) -> DataFrame:
     """(h, c, part, doc, th, start, length): occurrences of repeat groups; (h, c, part) names the group."""
     shared = (
         _anchors(source, min_len)
@@ -305,7 +316,7 @@ def _groups(source: DataFrame, min_len: int, max_group: int) -> DataFrame:
 
     scanned = (
         regions(f"regions <= {max_group}").repartition("h").sortWithinPartitions("h", "right")
-        .mapInArrow(_scan(min_len), "h long, part long, doc long, th long, start long, length long")
+        .mapInArrow(_scan(min_len, spans_only), "h long, part long, doc long, th long, start long, length long")
         .select("h", F.lit(0).cast("long").alias("c"), (F.col("part") + 1).alias("part"),
                 "doc", "th", "start", "length")
     )
@@ -396,7 +407,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
     docs = docs.drop(*added)
-    groups = repeat_groups(docs, id_col, text_col, min_len, max_group)
+    groups = _groups(_source(docs, id_col, text_col), min_len, max_group, spans_only=True)
     d, t, spans = (temp_name(docs, x) for x in ("doc", "th", "spans"))
     body = temp_name(docs, "body")
     by_row = groups.groupBy(F.col("doc").alias(d), F.col("th").alias(t)).agg(
