@@ -284,7 +284,8 @@ def _windows(min_len: int):
 
 def _groups(source: DataFrame, min_len: int, max_group: int, spans_only: bool = False) -> DataFrame:
     """(h, c, part, doc, th, start, length): occurrences of repeat groups; (h, c, part) names the group."""
-    shared = (
+    # written, so that both sides of the join below are plain exchanges whose hot partitions can be split
+    shared = write_table(
         _anchors(source, min_len)
         .groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
         .where("n > 1").select("h", F.expr("low < high").alias("mixed"))
