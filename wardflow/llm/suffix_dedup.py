@@ -370,12 +370,12 @@ def _whole_characters(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tupl
     return starts, np.maximum(starts, ends)
 
 
-def _cut(n_cols: int, schema_names: list[str]):
+def _cut(text_at: int, n_cols: int, schema_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, kept_text, counts = [], [], []
-            for body, spans in zip(b.column(n_cols), b.column(n_cols + 1), strict=True):
-                text = body.as_py()
+            for body, spans in zip(b.column(text_at).cast(pa.binary()), b.column(n_cols), strict=True):
+                text = body.as_py() or b""
                 if not spans.is_valid:
                     kept.append(text)
                     kept_text.append(None)
@@ -410,18 +410,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop(*added)
     groups = _groups(_source(docs, id_col, text_col), min_len, max_group, spans_only=True)
     d, t, spans = (temp_name(docs, x) for x in ("doc", "th", "spans"))
-    body = temp_name(docs, "body")
     by_row = groups.groupBy(F.col("doc").alias(d), F.col("th").alias(t)).agg(
         F.collect_set(F.struct("start", "length")).alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = docs.columns
-    keyed = docs.withColumn(body, text.cast("binary"))
-    joined = keyed.join(
+    joined = docs.join(
         by_row, F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left"
-    ).select(*[F.col(f"`{c}`") for c in names], body, spans)
+    ).select(*[F.col(f"`{c}`") for c in names], spans)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(
-        _cut(len(names), [*names, *added]),
+        _cut(names.index(text_col), len(names), [*names, *added]),
         f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string",
     )
 
