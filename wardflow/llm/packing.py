@@ -18,6 +18,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,35 +41,52 @@ class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, through a cache of words.
 
     The tokenizer never joins across white space, so the ids of a text are those
-    of its words.  A plain ASCII word is looked up in lower case and apart from
-    the marks after it, which the tokenizer splits off and lower-cases alike.
+    of its words; it also ends a run of letters at an ASCII mark, so a word may
+    be cut there.  A text is lower-cased (ASCII letters, as the tokenizer does)
+    unless it may hold a special token or a combining mark after a capital.  New
+    words of Latin-1 letters go straight to the tokenizer's merge model, in its
+    byte alphabet; all others through the whole tokenizer.
     """
 
-    plain = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+    after_letter = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[!-/:-@\[-`{-~])")
+    capital_mark = re.compile(rb"[A-Z][\xcc-\xf4]")
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.cache: dict[bytes, bytes] = {}
+        # the byte alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def _encode(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, done, strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+    def words(self, text: bytes) -> list[bytes]:
+        """The text cut into words that can be looked up one by one."""
+        if b"<|" in text or self.capital_mark.search(text):
+            return text.split()
+        return self.after_letter.sub(rb"\1 ", text.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that every word is in the cache."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        split = {w: (m[1].lower(), m[2]) for w in new if (m := self.plain.fullmatch(w))}
-        parts = {x for pair in split.values() for x in pair if x}
-        self._encode(sorted({x for x in parts if x not in self.cache} | {w for w in new if w not in split}))
-        for w, (core, marks) in split.items():
-            self.cache[w] = self.cache[core] + (self.cache[marks] if marks else b"")
+        merge, others = self.tokenizer.model.tokenize, []
+        for w in words.difference(self.cache):
+            text = w.decode()
+            if text.isalpha() and max(text) < "\u0100":
+                if not w.isascii():
+                    text = text.lower().encode().decode("latin-1").translate(self.alphabet)
+                elif not w.islower():
+                    text = text.lower()
+                ids = [t.id for t in merge(text)]
+                self.cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(w)
+        for at in range(0, len(others), 1024):
+            part = others[at:at + 1024]
+            done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
 
 
 def _pieces(tokenizer, window: int, end_id: int):
@@ -79,8 +97,8 @@ def _pieces(tokenizer, window: int, end_id: int):
         task, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             docs, ids = b.column(0), b.column(1)
-            for at in range(0, b.num_rows, 256):
-                split = [(x.as_py() or b"").split() for x in ids.slice(at, 256)]
+            for at in range(0, b.num_rows, 64):
+                split = [encoder.words(x.as_py() or b"") for x in ids.slice(at, 64)]
                 encoder.learn(set().union(*split))
                 rows = []
                 for i, words in enumerate(split):
