@@ -65,10 +65,16 @@ def test_links_the_other_way_and_orphans(spark):
     records = spark.createDataFrame([
         make("r1", "response", "q1"), make("q1", "request", None), make("m1", "metadata", "q1"),
         make("q2", "request", "gone"), make("r3", "response", None)], fields)
-    got = {r.capture_id: (r.response is not None, len(r.requests), len(r.metadata)) for r in warc.assemble(records).collect()}
+    got = {r.capture_id: (r.response.record_id is not None, len(r.requests), len(r.metadata)) for r in warc.assemble(records).collect()}
     assert got == {"r1": (True, 1, 1), "gone": (False, 1, 0), "r3": (True, 0, 0)}
 
 
+def test_unused_payload_is_not_shuffled(spark):
+    records = spark.createDataFrame([], warc._RECORD)
+    plan = warc.assemble(records).select("response.payload_digest")._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload_digest" in plan and "payload#" not in plan.split("LogicalRDD")[0]
+
+
 def test_empty_table(spark):
     path = warc.archive_folder(spark)
     warc.write_captures(frame(spark).limit(0), path)

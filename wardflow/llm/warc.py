@@ -187,7 +187,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: ``capture_id``, ``response``, and the arrays ``requests`` and ``metadata``.
 
-    ``response`` is null where no response, revisit or resource record was found.
+    ``response.record_id`` is null where no response, revisit or resource record
+    was found.  Fields that a query does not select, such as the payload, are not
+    shuffled.
     """
     main = F.col("record_type").isin(*PRINCIPAL)
     others = records.where(~main | F.col("record_type").isNull())
@@ -210,8 +212,7 @@ def assemble(records: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(kind == "request", small))).alias("requests"),
         F.sort_array(F.collect_list(F.when(~main & (kind != "request"), extra))).alias("metadata"),
     )
-    return out.select(F.col("anchor").alias("capture_id"),
-                      F.when(F.col("record_id").isNotNull(), F.struct(*picked)).alias("response"), "requests", "metadata")
+    return out.select(F.col("anchor").alias("capture_id"), F.struct(*picked).alias("response"), "requests", "metadata")
 
 
 def archive_folder(spark: SparkSession) -> str:
