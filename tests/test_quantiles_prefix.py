@@ -74,3 +74,33 @@ def test_row_numbers_and_totals_across_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("buckets,bound", [(4, 5), (64, 3)])
+def test_quantiles_over_many_decades_infinities_and_hot_values(spark, buckets, bound):
+    """Ranges over hundreds of decades, a value that holds a third of the rows, and signs narrow for certain."""
+    rng = np.random.default_rng(2)
+    xs = np.concatenate((10.0 ** rng.uniform(-300, 300, 300), -(10.0 ** rng.uniform(-200, 200, 100)),
+                         np.full(200, 7.5), np.zeros(20), [np.inf, -np.inf, 5e-324, 1.7e308, -1.7e308]))
+    df = spark.createDataFrame([("k", float(x)) for x in xs], "k string, v double")
+    probs = [0.0, 0.1, 0.4, 0.5, 0.8, 1.0]
+    n = len(xs)
+    exact = [i / (n - 1) for i in (0, 60, 250, 312, 500, n - 1)]  # whole ranks: no interpolation
+    r = exact_quantiles(df, ["k"], "v", exact, buckets=buckets, max_window_rows=bound).first()
+    assert [r[f"q{i}"] for i in range(len(probs))] == [float(np.sort(xs)[round(p * (n - 1))]) for p in exact]
+
+
+def test_quantile_rounds_carry_no_values(spark):
+    """Before the last scan only slice counts are shuffled: no exchange holds a row per value."""
+    from wardflow.functions import quantiles as Q
+
+    seen = []
+    write = Q.write_table
+    Q.write_table = lambda d: (seen.append(d), write(d))[1]
+    try:
+        df = spark.range(30_000).select(F.lit("k").alias("k"), (F.col("id") * 1.37).alias("v"))
+        r = exact_quantiles(df, ["k"], "v", [0.5], buckets=512, max_window_rows=200).first()
+    finally:
+        Q.write_table = write
+    assert abs(r.q0 - 1.37 * 29999 / 2) < 1e-9
+    assert all(d.count() <= 600 for d in seen)

@@ -2,35 +2,57 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a
 group in one task's memory at the final merge, which does not hold when
-one group has a third of 100 TB.  This helper stays exact without that:
+one group has a third of 100 TB.  This helper stays exact without that,
+and no exchange carries the values themselves until few are left:
 
-1. collapse rows to (key, value, cnt) - hot values shrink to one row;
+1. one partial aggregate gives each key's count, minimum and maximum;
 2. the wanted 0-based ranks are ``floor(h)`` and ``ceil(h)`` with
    ``h = (n - 1) * p``; each starts with the key's [min, max] range;
-3. while a rank's range still holds more than ``max_window_rows`` distinct
-   values, the range is cut into ``buckets`` equal-width slices, slice
-   counts (a small ranges x buckets table) are prefix-summed, and the
-   range shrinks to the exact [min, max] of the slice holding the rank;
-   ranks that share a range (all ranks of a key in the first round) share
-   one scan and one slice count;
-4. the remaining small ranges are ordered (one window per distinct range,
-   bounded by ``max_window_rows``) to read the exact values;
+3. while a rank's range still holds more than ``max_window_rows`` rows and
+   more than one value, the rows are counted into ``buckets`` slices of the
+   range (partial aggregation: a ranges x buckets table is all that is
+   shuffled), slice counts are prefix-summed, and the range shrinks to the
+   exact [min, max] of the slice holding the rank.  Slices are equal in
+   width and, in every second round, equal in ratio, so a range over many
+   decades narrows as surely as a dense one.  Ranks that share a range share
+   one slice count;
+4. the rows of the small ranges are collapsed and ordered (one window per
+   range, at most ``max_window_rows`` rows) to read the exact values; a
+   range of one value needs no rows;
 5. ``v[lo] + (v[hi] - v[lo]) * frac`` (numpy / pandas / DuckDB
    ``quantile_cont``).
 
-Every refinement round is a distributed scan of the collapsed values plus a
-small aggregate; the loop runs a bounded number of rounds and only
-decides whether to continue from a one-row count.
+The input is scanned once for the statistics, once a round (one round for
+up to ``buckets * max_window_rows`` evenly spread rows) and once at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.session import write_table
 
-MAX_ROUNDS = 12
+#: Far above what 64-bit floats can need (12 bits a round); more is an error.
+MAX_ROUNDS = 32
+_LARGEST = 1.7976931348623157e308
+
+
+def _finite(x: Column) -> Column:
+    """Half of ``x`` with infinities pulled in, so differences stay finite."""
+    return F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST)) / 2
+
+
+def _ratio_scale(x: Column) -> Column:
+    """A monotone scale on which equal steps are equal ratios."""
+    size = F.abs(_finite(x))
+    return F.when(size <= 1e-300, 0.0).otherwise(F.signum(x) * (F.log(size) + 700.0))
+
+
+def _slice(v: Column, lo: Column, hi: Column, buckets: int, scale) -> Column:
+    width = scale(hi) - scale(lo)
+    at = F.floor((scale(v) - scale(lo)) / width * buckets)
+    return F.when(width > 0, F.greatest(F.least(at, F.lit(buckets - 1)), F.lit(0))).otherwise(F.lit(0)).cast("int")
 
 
 def exact_quantiles(
@@ -40,85 +62,69 @@ def exact_quantiles(
     probs: list[float],
     buckets: int = 4096,
     prefix: str = "q",
-    materialize_input: bool = True,
     max_window_rows: int = 65_536,
-    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per key with columns ``{prefix}0 .. {prefix}{len(probs)-1}`` and ``n``.
 
     NULL / NaN values are ignored (pandas ``quantile`` on ``dropna``).  Keys
-    without values are absent.  The state table holds keys x ranks rows; it
-    is broadcast to the value scans only when its counted size is at most
-    ``broadcast_rows``, otherwise the planner shuffles it.
+    without values are absent.  ``df`` is scanned a few times: pass a written
+    table or a cheap projection.  Joins with the keys x ranks state table are
+    left to the planner, which knows its written size.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    dv = (
-        df.select(*keys, v.alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    if materialize_input:
-        dv = write_table(dv)  # every round and the final pass read dv
-
-    stats = dv.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                  F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_nd"))
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    stats = write_table(rows.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n")))
     wanted = stats.select(
         *keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"),
     ).withColumn("_h", (F.col("n") - 1) * F.col("_p"))
     ranks = wanted.select(
         *keys, F.explode(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_r"),
     ).distinct()
-    state = ranks.join(stats, keys).select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_nd")
-    state = write_table(state)
-    # one small job: the state size (checked before any broadcast of it) and
-    # whether any range still needs narrowing
-    n_state, widest = state.agg(F.count(F.lit(1)), F.max("_nd")).first()
-    small = n_state <= broadcast_rows
-
-    def bcast(d: DataFrame) -> DataFrame:
-        return F.broadcast(d) if small else d
+    state = write_table(ranks.join(stats, keys).select(
+        *keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_off"), F.col("n").alias("_rows")))
 
     seg_cols = [*keys, "_lo", "_hi", "_off"]
-    for rnd in range(MAX_ROUNDS):
-        big = state.where(F.col("_nd") > max_window_rows)
-        if rnd == 0:
-            done = (widest or 0) <= max_window_rows
-        else:
-            done = big.limit(1).count() == 0
-        if done:
+    is_open = (F.col("_rows") > max_window_rows) & (F.col("_lo") < F.col("_hi"))
+    for rnd in range(MAX_ROUNDS + 1):
+        if not state.where(is_open).head(1):
             break
-        # ranks sharing a range share one bucket count (all ranks of a key in round 1)
-        seg = big.select(*seg_cols).distinct()
-        w = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-        cand = dv.join(bcast(seg), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        cand = cand.withColumn("_b", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / w),
-                                                           F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-        bc = cand.groupBy(*seg_cols, "_b").agg(
-            F.sum("_c").alias("_bn"), F.count(F.lit(1)).alias("_bd"),
-            F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+        if rnd == MAX_ROUNDS:
+            raise RuntimeError(f"quantile ranges did not narrow in {MAX_ROUNDS} rounds")
+        # ranks sharing a range share one slice count (all ranks of a key in round 1)
+        seg = state.where(is_open).select(*seg_cols).distinct()
+        scale = _ratio_scale if rnd % 2 else _finite
+        bc = (
+            rows.join(seg, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            .withColumn("_b", _slice(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets, scale))
+            .groupBy(*seg_cols, "_b").agg(
+                F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+        )
         wb = Window.partitionBy(*seg_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         bc = bc.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
         narrowed = (
-            big.select(*seg_cols, "_r").join(bc, seg_cols)
+            state.where(is_open).select(*seg_cols, "_r").join(bc, seg_cols)
             .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bn")))
             .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                    F.col("_before").alias("_off"), F.col("_bd").alias("_nd"))
+                    F.col("_before").alias("_off"), F.col("_bn").alias("_rows"))
         )
-        state = write_table(state.where(F.col("_nd") <= max_window_rows).unionByName(narrowed))
+        state = write_table(state.where(~is_open).unionByName(narrowed))
 
-    # one ordered window per remaining range (at most max_window_rows distinct values)
+    # one ordered window per remaining range of several values (at most max_window_rows rows)
+    several = F.col("_lo") < F.col("_hi")
     wv = Window.partitionBy(*seg_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     in_range = (
-        dv.join(bcast(state.select(*seg_cols).distinct()), keys)
+        rows.join(state.where(several).select(*seg_cols).distinct(), keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*seg_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
     )
-    located = (
-        state.select(*seg_cols, "_r").join(in_range, seg_cols)
+    located = write_table(
+        state.where(several).select(*seg_cols, "_r").join(in_range, seg_cols)
         .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
         .select(*keys, "_r", "_v")
+        .unionByName(state.where(~several).select(*keys, "_r", F.col("_lo").alias("_v")))
     )
     lo = located.select(*keys, F.col("_r").alias("_rlo"), F.col("_v").alias("_vlo"))
     hi = located.select(*keys, F.col("_r").alias("_rhi"), F.col("_v").alias("_vhi"))
@@ -128,21 +134,8 @@ def exact_quantiles(
         .join(lo, [*keys, "_rlo"], "left")
         .join(hi, [*keys, "_rhi"], "left")
     )
-    q = vals.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
+    frac = F.col("_h") - F.floor("_h")
+    q = vals.withColumn("_q", F.when(frac == 0, F.col("_vlo")).otherwise(
+        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac))
     agg = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
     return q.groupBy(*keys, "n").agg(*agg)
-
-
-def exact_quantiles_row(df: DataFrame, columns: list[str], probs: list[float],
-                        buckets: int = 1024) -> DataFrame:
-    """Quantiles of several columns as a long frame (feature, q0.., n)."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value")
-    return exact_quantiles(long, ["feature"], "value", probs, buckets)
-
-
-def median_of(df: DataFrame, column: str) -> DataFrame:
-    """1-row frame with the exact median of ``column`` (NULL if no values)."""
-    q = exact_quantiles(df.select(F.lit(1).alias("_k"), column), ["_k"], column, [0.5])
-    one = df.sparkSession.range(1).select(F.lit(1).alias("_k"))
-    return one.join(q, "_k", "left").select(F.col("q0").alias("median"))

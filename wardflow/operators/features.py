@@ -12,9 +12,12 @@ Two diverging pipelines are kept as named variants:
 
 Scale notes: patient aggregates (W1) are a ``groupBy`` joined back on the
 key instead of an unordered window, so a patient holding a third of all
-rows is pre-aggregated map-side and its join is split by AQE skew
-handling; fences and medians come from the distributed exact quantile
-helper as 1-row parameter frames cross-joined (broadcast) to the rows.
+rows is pre-aggregated map-side.  The aggregate is written before the join:
+AQE splits a hot partition only where both sides of a join come straight
+from an exchange.  Insurer rates (E4) are written too, so the planner knows
+that they are a few rows and does not shuffle the frame on five keys.
+Fences and medians come from the distributed exact quantile helper as 1-row
+parameter frames cross-joined (broadcast) to the rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from wardflow import constants as K
 from wardflow.functions.prefix import row_numbers
 from wardflow.functions.quantiles import exact_quantiles
 from wardflow.functions.scalar import clip, map_lookup, weekday_monday0
+from wardflow.session import write_table
 
 CAP_COLUMNS = {
     "billed_amount": "billed_amount_capped",
@@ -43,8 +47,8 @@ def patient_aggregates(df: DataFrame, count_col: str = "visit_frequency",
     original); ``distinct_visits=True`` counts distinct visits instead.
     """
     cnt = F.count_distinct("visit_id") if distinct_visits else F.count("visit_id")
-    agg = df.groupBy("patient_id").agg(
-        cnt.alias(count_col), F.avg("length_of_stay_hours").alias(avg_col))
+    agg = write_table(df.groupBy("patient_id").agg(
+        cnt.alias(count_col), F.avg("length_of_stay_hours").alias(avg_col)))
     return df.join(agg, "patient_id", "left")
 
 
@@ -74,36 +78,7 @@ def iqr_cap(df: DataFrame, columns: dict[str, str] | list[str]) -> DataFrame:
     return out.drop(*[f"{c}_{s}" for c in mapping for s in ("lower", "upper")])
 
 
-# ---------------------------------------------------------------- E3 / E4
-def approval_ratio_status_aware(df: DataFrame) -> DataFrame:
-    """Approved / billed, then Rejected -> 0, Pending -> median of Pending
-    ratios (0.5 if none), Paid -> 1 where the ratio is NULL.
-
-    Division by zero gives NULL here (pandas gives inf); NULL is imputed.
-    """
-    raw = F.try_divide(F.col("approved_amount"), F.col("billed_amount"))
-    df = df.withColumn("approval_ratio", raw)
-    pending = df.where(F.col("claim_status") == "Pending").select(
-        F.lit(1).alias("_k"), "approval_ratio")
-    med = exact_quantiles(pending, ["_k"], "approval_ratio", [0.5]).select(
-        F.col("q0").alias("_pending_median"))
-    one = df.sparkSession.range(1).select(F.lit(0.5).alias("_dflt"))
-    param = one.join(med, F.lit(True), "left").select(
-        F.coalesce(F.col("_pending_median"), F.col("_dflt")).alias("_pm"))
-    ratio, status = F.col("approval_ratio"), F.col("claim_status")
-    return (
-        df.crossJoin(F.broadcast(param))
-        .withColumn(
-            "approval_ratio",
-            F.when(ratio.isNull() & (status == "Rejected"), F.lit(0.0))
-            .when(ratio.isNull() & (status == "Pending"), F.col("_pm"))
-            .when(ratio.isNull() & (status == "Paid"), F.lit(1.0))
-            .otherwise(ratio),
-        )
-        .drop("_pm")
-    )
-
-
+# -------------------------------------------------------------------- E4
 def rejection_rates_from_data(df: DataFrame) -> DataFrame:
     """A3 as a lookup table: share of Rejected bills per insurer."""
     return df.groupBy("insurance_provider").agg(
@@ -119,6 +94,8 @@ def provider_rejection_rate(df: DataFrame, rates: dict | DataFrame | None = None
     """
     if rates is None:
         rates = rejection_rates_from_data(df)
+    if not isinstance(rates, dict):
+        rates = write_table(rates)
     if isinstance(rates, dict):
         default = round(sum(rates.values()) / len(rates), 6)
         return df.withColumn(
@@ -135,11 +112,11 @@ def provider_rejection_rate(df: DataFrame, rates: dict | DataFrame | None = None
 
 # --------------------------------------------------------------------- E2
 def feature_parameters(df: DataFrame) -> DataFrame:
-    """1-row frame of every data-derived scalar variant U needs, in ONE pass.
+    """1-row frame of every data-derived scalar variant U needs, by one exact-quantile job.
 
     IQR fences of the three capped columns and the median approval ratio of
-    Pending bills (0.5 when there is none) come from a single exact-quantile
-    job over a long (feature, value) frame of the *input* rows.
+    Pending bills (0.5 when there is none) come from a long (feature, value)
+    frame of the *input* rows.
     """
     ratio = F.try_divide(F.col("approved_amount"), F.col("billed_amount"))
     long = df.select(*[F.col(c).cast("double").alias(c) for c in CAP_COLUMNS]).unpivot(
