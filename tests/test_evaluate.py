@@ -64,3 +64,12 @@ def test_per_class_metrics_unlisted_null_and_empty(spark):
     assert {c for c in CL} <= set(rep) and rep["a"].support == 0
     cm = V.v2_confusion_matrix(_df(spark, rows), CL).collect()
     assert len(cm) == 9 and sum(r["count"] for r in cm) == 2
+
+
+def test_accuracy_is_over_all_rows(spark):
+    rows = [("a", "a", "x", None), ("a", "a", "x", None), ("z", "a", "x", None), (None, "a", "x", None)]
+    rep = {r.label: r for r in V.v1_classification_report(_df(spark, rows), CL).collect()}
+    assert (rep["accuracy"].precision, rep["accuracy"].support) == (0.5, 4)
+    assert V.v3_business_metrics(_df(spark, rows), CL, "a").first().overall_accuracy == 0.5
+    f = V.v5_fairness(_df(spark, rows), ["seg"], CL, "a").first()
+    assert (f.n_records, f.overall_acc) == (4, 0.5)

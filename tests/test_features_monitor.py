@@ -93,6 +93,63 @@ def test_prediction_drift_and_alert(spark):
     assert out["A"].shift_pct == 20.0 and out["A"].alert
     assert out["C"].baseline_pct == 0.0 and not out["C"].alert
     drift = spark.createDataFrame([("a", 0.3), ("b", 0.3), ("c", 0.26), ("d", 0.12)], "feature string, psi double")
-    al = D.d5_retraining_alert(drift, current_macro_f1=0.0, baseline_macro_f1=0.5).first()
+    f1 = spark.createDataFrame([(0.0, 0.5)], "current_macro_f1 double, baseline_macro_f1 double")
+    al = D.d5_retraining_alert(drift, f1).first()
     assert al.retrain_recommended and al.severe_drift_count == 3 and al.moderate_drift_count == 1
     assert len(al.reasons) == 2  # F1 of 0 is a value, not "absent"
+    assert [(r.code, r.value, r.threshold) for r in al.reasons if r.code == "macro_f1_drop"] == [("macro_f1_drop", 0.5, 0.05)]
+    assert al.timestamp is not None and al.macro_f1_drop == 0.5
+    assert all(r.code != "macro_f1_drop" for r in D.d5_retraining_alert(drift).first().reasons)
+
+
+def test_drift_label_is_of_the_unrounded_psi(spark, monkeypatch):
+    monkeypatch.setattr(D, "psi_table", lambda *a, **k: spark.createDataFrame(
+        [("a", 0.09996), ("b", 0.3)], "feature string, psi double"))
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    rows = D.d3_feature_drift(df, df, ["a", "b"]).collect()
+    assert [(r.feature, r.psi, r.status) for r in rows] == [("b", 0.3, "Significant Drift"), ("a", 0.1, "Stable")]
+
+
+def test_bootstrap_draws_follow_the_key(spark):
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    a = sorted(r.k for r in D.d7_bootstrap(df.repartition(7), "k").collect())
+    b = sorted(r.k for r in D.d7_bootstrap(df, "k").collect())
+    assert a == b and abs(len(a) - 4000) < 300 and abs(len(set(a)) / 4000 - 0.632) < 0.04
+
+
+def test_smote_partners_are_k_ranks(spark):
+    from wardflow.operators.smote import smote
+
+    rows = [("big", float(i), 0.0) for i in range(60)] + [("small", float(i), 1.0) for i in range(12)] + [("one", 5.0, 5.0)]
+    out = smote(spark.createDataFrame(rows, "y string, a double, b double"), ["a", "b"], "y", k=5)
+    n = {r.y: (r.n, r.s) for r in out.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.col("synthetic").cast("int")).alias("s")).collect()}
+    assert n == {"big": (60, 0), "small": (60, 48), "one": (60, 59)}
+    made = [r.a for r in out.where("synthetic and y = 'small'").collect()]
+    assert all(0 <= a <= 11 for a in made)
+    assert out.where("synthetic and y = 'one' and a = 5.0").count() == 59  # a class of one row is repeated
+
+
+def test_hot_patient_is_split(spark):
+    """W1's join has both sides straight from exchanges, so AQE splits a patient with a third of the rows."""
+    from wardflow.operators.features import patient_aggregates
+
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("patient_id"),
+                               F.col("id").alias("visit_id"), F.rand(1).alias("length_of_stay_hours"),
+                               F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = patient_aggregates(df)
+        assert out.where("patient_id = 0").count() == n // 3
+        out.write.format("noop").mode("overwrite").save()
+        joined = out.select("*")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -97,3 +97,16 @@ def test_t2_stream_matches_batch(spark, scratch):
     batch = {(str(r.window_start), r.class_name): r.n for r in class_mix(ev, "ts", "event_type").collect()}
     # windows closed by the watermark are emitted; the last day stays open
     assert got and all(batch[k] == v for k, v in got.items())
+
+
+def test_schema_validation_null_category_and_empty_feature(spark):
+    schema = spark.createDataFrame([("age", 20.0, 60.0), ("blank", None, None), ("gone", 1.0, 2.0)],
+                                   "feature string, min double, max double")
+    df = spark.createDataFrame([(30, None, "ICU"), (200, 3.0, None), (None, None, "Space")],
+                               "age int, blank double, department string")
+    rows = S.validate_against_schema(df, schema, K.HOSPITAL_ENCODING_MAPS, ["department"]).collect()
+    found = [(sorted((w.code, w.field) for w in r.warnings), [(e.code, e.value) for e in r.errors], r.valid) for r in rows]
+    missing = ("missing_feature", "gone")
+    assert found == [([missing], [], True),
+                     ([missing, ("out_of_range", "age")], [("unseen_category", None)], False),
+                     ([missing], [("unseen_category", "Space")], False)]

@@ -2,6 +2,7 @@ import json
 import os
 
 from fixtures import hand_tables
+import pytest
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
@@ -9,7 +10,7 @@ from wardflow.operators import models as M
 from wardflow.operators import scoring as S
 from wardflow.sources import logs as L
 from wardflow.sources import tables as TB
-from wardflow.streaming.scoring_stream import CLAIM_REQUEST_SCHEMA, t1_score_request_stream
+from wardflow.streaming.scoring_stream import CLAIM_FEED_BOUNDS, CLAIM_REQUEST_SCHEMA, t1_score_request_stream
 
 
 def test_csv_scan_nulls_not_nan_and_views(spark, scratch):
@@ -79,7 +80,7 @@ def test_t1_request_stream(spark, scratch):
         for r in reqs:
             fh.write(json.dumps(r) + "\n")
     q = t1_score_request_stream(spark, inbox, model, K.CLAIM_CLASSES, K.HOSPITAL_ENCODING_MAPS,
-                                S.CLAIM_REQUEST_BOUNDS, ["department", "visit_type", "gender", "insurance_provider"],
+                                CLAIM_FEED_BOUNDS, ["department", "visit_type", "gender", "insurance_provider"],
                                 os.path.join(scratch, "log"), os.path.join(scratch, "ck"), "claim", "v1")
     q.awaitTermination(180)
     scored = spark.read.json(os.path.join(scratch, "log", "predictions"))
@@ -87,3 +88,10 @@ def test_t1_request_stream(spark, scratch):
     # approval_ratio / patient fields absent from raw requests are derived; range rules still apply
     assert scored.count() + quarantine.count() == 60
     assert quarantine.where(F.array_contains("errors", "department: not allowed value Space")).count() == 1
+    assert scored.select("visit_id").distinct().count() == scored.count() and "epoch" in scored.columns
+    batch = S.scoring_features(spark.read.schema(CLAIM_REQUEST_SCHEMA).json(inbox), K.HOSPITAL_ENCODING_MAPS)
+    hashes = batch.select(S.input_hash(batch, CLAIM_REQUEST_SCHEMA.fieldNames()).alias("input_hash"))
+    assert scored.join(hashes, "input_hash", "left_anti").count() == 0  # the batch hash of the same request
+    with pytest.raises(ValueError):
+        t1_score_request_stream(spark, inbox, model, K.CLAIM_CLASSES, K.HOSPITAL_ENCODING_MAPS,
+                                S.CLAIM_REQUEST_BOUNDS, [], os.path.join(scratch, "l2"), os.path.join(scratch, "c2"))

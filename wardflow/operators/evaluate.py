@@ -32,7 +32,8 @@ def per_class_metrics(df: DataFrame, classes: list[str], label: str = "label",
     each explode into their support / predicted / tp contributions plus a
     zero row for every listed class, and one small ``groupBy`` sums them.
     No join, so the scored rows are scanned once.  Labels or predictions
-    outside ``classes`` (and NULL) are not reported, as with a class grid.
+    outside ``classes`` (and NULL) get no row, as with a class grid, but
+    ``n_rows`` counts every row given, and accuracies are shares of it.
     """
     by = list(by)
     cm = df.groupBy(*by, F.col(label).alias("_l"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
@@ -49,10 +50,13 @@ def per_class_metrics(df: DataFrame, classes: list[str], label: str = "label",
     if not by:  # an empty input still reports every class with zeros
         cells = cells.unionByName(_classes(df.sparkSession, classes).select(
             "class_name", zero.alias("support"), zero.alias("predicted"), zero.alias("tp")))
+    # every unlisted label counts as one class, so that n_rows is over all rows given
+    listed = F.when(F.col("class_name").isin(list(classes)), F.col("class_name"))
     m = (
-        cells.where(F.col("class_name").isin(list(classes)))
-        .groupBy(*by, "class_name")
+        cells.groupBy(*by, listed.alias("class_name"))
         .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
+        .withColumn("n_rows", F.sum("support").over(Window.partitionBy(*(by or [F.lit(1)]))))  # k + 1 rows a window
+        .where(F.col("class_name").isNotNull())
     )
     p = _safe(F.col("tp").cast("double"), F.col("predicted"))
     r = _safe(F.col("tp").cast("double"), F.col("support"))
@@ -73,16 +77,16 @@ def v1_classification_report(df: DataFrame, classes: list[str], label: str = "la
         F.collect_list(F.struct(F.col("class_name").alias("label"), "precision", "recall",
                                 F.col("f1").alias("f1_score"),
                                 F.col("support").cast("bigint").alias("support"))).alias("cs"),
-        F.sum("support").alias("n"), F.sum("tp").alias("tp_all"),
+        F.sum("support").alias("n"), F.max("n_rows").alias("n_rows"), F.sum("tp").alias("tp_all"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         _safe(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
         _safe(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
         _safe(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
-    acc = _safe(F.col("tp_all").cast("double"), F.col("n"))
-    n = F.col("n").cast("bigint")
+    acc = _safe(F.col("tp_all").cast("double"), F.col("n_rows"))
+    n, n_rows = F.col("n").cast("bigint"), F.col("n_rows").cast("bigint")
     summary = F.array(
         F.struct(F.lit("accuracy").alias("label"), acc.alias("precision"), acc.alias("recall"),
-                 acc.alias("f1_score"), n.alias("support")),
+                 acc.alias("f1_score"), n_rows.alias("support")),
         F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
                  F.col("mf").alias("f1_score"), n.alias("support")),
         F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
@@ -114,7 +118,7 @@ def v2_confusion_matrix(df: DataFrame, classes: list[str], label: str = "label",
 
 def _summary_row(m: DataFrame, critical: str) -> DataFrame:
     return m.agg(
-        _safe(F.sum("tp").cast("double"), F.sum("support")).alias("overall_accuracy"),
+        _safe(F.sum("tp").cast("double"), F.max("n_rows")).alias("overall_accuracy"),
         F.avg("f1").alias("macro_f1"),
         _safe(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
         F.max(F.when(F.col("class_name") == critical, F.col("recall"))).alias("critical_recall"),
@@ -145,7 +149,7 @@ def v4_overfit_gap(train_pred: DataFrame, test_pred: DataFrame, classes: list[st
     """Train - test accuracy and macro F1, flagged above ``flag``."""
     def one(df, name):
         m = per_class_metrics(df, classes, label, pred)
-        return m.agg(_safe(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1")) \
+        return m.agg(_safe(F.sum("tp").cast("double"), F.max("n_rows")).alias("accuracy"), F.avg("f1").alias("macro_f1")) \
             .unpivot([], ["accuracy", "macro_f1"], "metric", name)
     out = one(train_pred, "train").join(one(test_pred, "test"), "metric")
     gap = F.col("train") - F.col("test")
@@ -163,8 +167,8 @@ def v5_fairness(df: DataFrame, segments: list[str], classes: list[str], critical
     m = per_class_metrics(long, classes, "_lab", "_prd", by=["segment_column", "segment_value"])
     present = (F.col("support") > 0) | (F.col("predicted") > 0)
     agg = m.groupBy("segment_column", "segment_value").agg(
-        F.sum("support").cast("bigint").alias("n_records"),
-        _safe(F.sum("tp").cast("double"), F.sum("support")).alias("overall_acc"),
+        F.max("n_rows").cast("bigint").alias("n_records"),
+        _safe(F.sum("tp").cast("double"), F.max("n_rows")).alias("overall_acc"),
         F.avg(F.when(present, F.col("f1"))).alias("macro_f1"),
         F.max(F.when(F.col("class_name") == critical, F.col("recall"))).alias("critical_recall"),
     ).where(F.col("n_records") > 0)

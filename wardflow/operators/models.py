@@ -103,8 +103,10 @@ def predict(model: PipelineModel, df: DataFrame, classes: list[str]) -> DataFram
     out = model.transform(df)
     if "probability" in out.columns:
         probs = vector_to_array("probability")
-    else:  # OneVsRest has no probabilities: one-hot of the prediction
-        probs = F.array(*[F.when(F.col("prediction") == i, 1.0).otherwise(0.0) for i in range(len(classes))])
+    else:  # OneVsRest: each class's own binary model gives a margin, whose logistic shares sum to 1
+        raw = vector_to_array("rawPrediction")
+        one = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        probs = F.transform(one, lambda p: p / F.aggregate(one, F.lit(0.0), lambda a, x: a + x))
     out = out.withColumn("probs", probs)
     lab, conf = argmax_label(F.col("probs"), classes)
     keep = [c for c in df.columns]
@@ -151,18 +153,38 @@ def stratified_folds(df: DataFrame, label: str, k: int = 3, seed: int = 42) -> D
         .withColumn("fold", (F.col("_n_before") % k).cast("int")).drop("_h", "_n_before")
 
 
+#: The tuned parameters of each model type (C is the inverse regularisation).
+TUNING_GRIDS = {
+    "random_forest": {"numTrees": [100, 200], "maxDepth": [8, 10, 15], "minInstancesPerNode": [3, 5]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
+}
+
+
 def tune_model(train: DataFrame, features: list[str], label: str, classes: list[str],
-               grid: dict | None = None, folds: int = 3, seed: int = 42, parallelism: int = 2):
-    """M5: random-forest grid search, stratified folds, macro-F1 scoring."""
+               grid: dict | None = None, folds: int = 3, seed: int = 42, parallelism: int = 2,
+               model_type: str = "random_forest"):
+    """M5: grid search with balanced class weights, stratified folds, macro-F1 scoring."""
+    from wardflow.operators.features import balanced_class_weights
+
     data = stratified_folds(label_index(train, label, classes).where(F.col("label_idx").isNotNull()),
                             label, folds, seed)
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", seed=seed)
-    grid = grid or {"numTrees": [50, 100], "maxDepth": [5, 10]}
+    data = balanced_class_weights(data, label, "_weight")
+    grid = dict(grid or TUNING_GRIDS[model_type])
+    if model_type == "random_forest":
+        stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")]
+        est = RandomForestClassifier(featuresCol="features", labelCol="label_idx", weightCol="_weight", seed=seed)
+    else:
+        stages = [VectorAssembler(inputCols=features, outputCol="features_raw", handleInvalid="keep"),
+                  StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True)]
+        est = LogisticRegression(featuresCol="features", labelCol="label_idx", weightCol="_weight",
+                                 family="multinomial", maxIter=1000, standardization=False)
+        if "C" in grid:  # balanced weights sum to the number of rows
+            n = data.count()
+            grid["regParam"] = [1.0 / (c * n) for c in grid.pop("C")]
     builder = ParamGridBuilder()
     for k, vals in grid.items():
-        builder = builder.addGrid(getattr(rf, k), vals)
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=builder.build(),
+        builder = builder.addGrid(getattr(est, k), vals)
+    cv = CrossValidator(estimator=Pipeline(stages=[*stages, est]), estimatorParamMaps=builder.build(),
                         evaluator=MacroF1Evaluator(len(classes)), foldCol="fold",
                         parallelism=parallelism, seed=seed)
     return cv.fit(data)
@@ -187,15 +209,28 @@ def model_comparison(metric_rows: DataFrame) -> DataFrame:
     return metric_rows.crossJoin(best).withColumn("is_winner", F.col("model") == F.col("winner")).drop("winner")
 
 
-def model_metadata(name: str, version: str, features: list[str], classes: list[str], target: str) -> DataFrame:
-    """Metadata as one row per (model, key, value)."""
-    from pyspark.sql import SparkSession
+def model_metadata(model: PipelineModel, name: str, version: str, features: list[str], classes: list[str],
+                   target: str, train: DataFrame) -> DataFrame:
+    """Metadata of a fitted pipeline as one row per (model, key, value).
 
-    ss = SparkSession.getActiveSession()
-    rows = [(name, "version", version), (name, "target", target),
-            (name, "n_features", str(len(features))), (name, "features", ",".join(features)),
-            (name, "classes", ",".join(classes))]
-    return ss.createDataFrame(rows, "model string, key string, value string")
+    The parameters are those of the fitted last stage; rows and label counts
+    are counted on the training frame.
+    """
+    last = model.stages[-1]
+    rows = [("version", version), ("target", target), ("algorithm", type(last).__name__),
+            ("n_features", str(len(features))), ("features", ",".join(features)), ("classes", ",".join(classes))]
+    for param in ("numTrees", "maxDepth", "minInstancesPerNode", "maxIter", "regParam", "seed"):
+        if last.hasParam(param) and last.isDefined(param):
+            rows.append((param, str(last.getOrDefault(param))))
+    if hasattr(last, "totalNumNodes"):
+        rows.append(("total_nodes", str(last.totalNumNodes)))
+    fixed = train.sparkSession.createDataFrame([(name, k, v) for k, v in rows], "model string, key string, value string")
+    counted = train.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(name).alias("model"), F.concat(F.lit("training_rows_"), F.col(target)).alias("key"),
+        F.col("_n").cast("string").alias("value"))
+    total = train.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+        F.lit(name).alias("model"), F.lit("training_rows").alias("key"), "value")
+    return fixed.unionByName(total).unionByName(counted)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

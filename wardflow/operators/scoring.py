@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow import constants as K
+from wardflow.session import write_table
 from wardflow.functions.scalar import clip, iso_timestamp, map_lookup, model_version, weekday_monday0
 
 # ---------------------------------------------------------------------------
@@ -101,34 +102,49 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- Q13
 def validate_against_schema(df: DataFrame, schema_df: DataFrame, maps: dict,
                             categories: list[str] = tuple(K.CATEGORY_FIELDS)) -> DataFrame:
-    """Q13: ``warnings`` / ``errors`` arrays and ``valid`` per request row.
+    """Q13: ``warnings`` / ``errors`` arrays of (code, field, value, low, high) and ``valid`` per request row.
 
     The feature schema (one row per feature) is a small parameter frame
     collected once to build the column expressions.
     """
     rows = schema_df.select("feature", "min", "max").collect()  # bounded by #features
-    warns = []
+
+    def finding(code: str, field: str, value: Column, low=None, high=None) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), value.cast("string").alias("value"),
+                        F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
+
+    none = F.lit(None)
+    warns, errs = [], []
     for r in rows:
-        f = r["feature"]
+        f, low, high = r["feature"], r["min"], r["max"]
         if f not in df.columns:
-            warns.append(F.lit(f"Feature '{f}' missing from input - will be imputed."))
-            continue
-        v = F.col(f).cast("double")
-        warns.append(F.when(v.isNotNull() & ((v < F.lit(r["min"] * 0.5)) | (v > F.lit(r["max"] * 1.5))),
-                            F.format_string(f"'{f}' value %.2f is outside expected range "
-                                            f"[{r['min']:.2f}, {r['max']:.2f}]", v)))
-    errs = [F.when(~F.col(c).isin(*list(maps[c])),
-                   F.concat(F.lit("Unseen category '"), F.col(c), F.lit(f"' in field '{c}'")))
-            for c in categories if c in df.columns]
-    w = F.filter(F.array(*warns), lambda x: x.isNotNull()) if warns else F.array().cast("array<string>")
-    e = F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast("array<string>")
+            warns.append(finding("missing_feature", f, none, low, high))
+        elif low is not None and high is not None:  # a feature without training values has no range
+            v = F.col(f).cast("double")
+            warns.append(F.when((v < F.lit(low * 0.5)) | (v > F.lit(high * 1.5)), finding("out_of_range", f, v, low, high)))
+    for c in categories:
+        if c in df.columns:  # NULL is not a known category
+            errs.append(F.when(F.col(c).isNull() | ~F.col(c).isin(*list(maps[c])), finding("unseen_category", c, F.col(c))))
+    kind = "array<struct<code:string,field:string,value:string,low:double,high:double>>"
+    w = F.filter(F.array(*warns), lambda x: x.isNotNull()) if warns else F.array().cast(kind)
+    e = F.filter(F.array(*errs), lambda x: x.isNotNull()) if errs else F.array().cast(kind)
     return df.withColumn("warnings", w).withColumn("errors", e).withColumn("valid", F.size("errors") == 0)
 
 
 # ---------------------------------------------------------------------- E9
-def scoring_features(req: DataFrame, maps: dict, rates: dict | None = None) -> DataFrame:
-    """Request rows -> model features with frozen defaults and caps."""
-    rates = rates if rates is not None else {}
+def scoring_features(req: DataFrame, maps: dict, rates: dict | DataFrame | None = None) -> DataFrame:
+    """Request rows -> model features with frozen defaults and caps.
+
+    ``rates`` maps the insurer to its rejection rate, as a dict or as an
+    (insurance_provider, rate) frame of one row an insurer; others get the default.
+    """
+    if isinstance(rates, DataFrame):
+        table = write_table(rates.where("insurance_provider is not null").select(
+            F.col("insurance_provider").alias("_insurer"), F.col("rate").alias("_rate")))
+        req = req.join(table, F.col("insurance_provider") == F.col("_insurer"), "left").drop("_insurer")
+        known = F.col("_rate")
+    else:
+        known = map_lookup(rates, F.col("insurance_provider")) if rates else F.lit(None)
     approved, billed = F.col("approved_amount"), F.col("billed_amount")
     pdays = F.col("payment_days") if "payment_days" in req.columns else F.lit(None).cast("double")
     out = (
@@ -137,8 +153,8 @@ def scoring_features(req: DataFrame, maps: dict, rates: dict | None = None) -> D
         .withColumn("visit_frequency", F.lit(K.SCORING_VISIT_FREQUENCY))
         .withColumn("avg_los_per_patient", F.lit(K.SCORING_AVG_LOS))
         .withColumn("provider_rejection_rate",
-                    F.coalesce(map_lookup(rates, F.col("insurance_provider")) if rates else F.lit(None),
-                               F.lit(K.SCORING_DEFAULT_REJECTION_RATE)).cast("double"))
+                    F.coalesce(known, F.lit(K.SCORING_DEFAULT_REJECTION_RATE)).cast("double"))
+        .drop("_rate")
         .withColumn("days_since_registration",
                     clip(F.datediff("visit_date", "registration_date").cast("double"), lower=0.0).cast("int"))
         .withColumn("approval_ratio",
@@ -196,7 +212,22 @@ def score_requests(model, req_features: DataFrame, classes: list[str], hash_fiel
     from wardflow.operators.models import predict
 
     with_hash = req_features.withColumn("input_hash", input_hash(req_features, hash_fields))
-    scored = predict(model, with_hash, classes)
+    return _responses(predict(model, with_hash, classes), version, clock)
+
+
+def score_with_centroids(model: DataFrame, req_features: DataFrame, features: list[str], classes: list[str],
+                         hash_fields: list[str], version: str | None = None, clock: Column | None = None) -> DataFrame:
+    """M6 by the baseline centroid model (a 1-row frame): the same response rows."""
+    from wardflow.operators.models import centroid_predict
+
+    with_hash = req_features.withColumn("input_hash", input_hash(req_features, hash_fields))
+    scored = centroid_predict(with_hash, model, features, classes).withColumnRenamed("prediction", "predicted_class")
+    names = F.array(*[F.lit(c) for c in classes])
+    return _responses(scored.withColumn("probabilities", F.map_from_arrays(
+        names, F.transform("probs", lambda p: F.round(p, 4)))), version, clock)
+
+
+def _responses(scored: DataFrame, version: str | None, clock: Column | None) -> DataFrame:
     ver = F.lit(version) if version else model_version()
     return scored.select(
         "visit_id", "predicted_class", "confidence", "probabilities",

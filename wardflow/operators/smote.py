@@ -9,8 +9,9 @@ projection instead (a locality-preserving 1-D order):
 2. distinct projection values get a dense rank per class from the
    distributed prefix-sum helper (no class-wide window);
 3. each rank keeps one representative row, and every row is joined to the
-   representatives at ranks r-k/2 .. r+k/2 (equi-join on class and rank):
-   at most k partners per row, whatever the class size or duplication;
+   representatives at the k nearest ranks r+1, r-1, r+2, ... (equi-join on
+   class and rank): at most k partners per row, whatever the class size or
+   duplication (a row with no partner is repeated as it is);
 4. a row makes ``floor(need / n) (+1 for the first need mod n rows in hash
    order)`` synthetic rows, so per-class totals are exact; the partner and
    the gap are drawn from ``xxhash64`` of (row id, draw, seed).
@@ -65,8 +66,7 @@ def smote(df: DataFrame, features: list[str], label: str, k: int = 5, seed: int
                                                                  F.col("_one_before").alias("_rank"))
     ranked = minority.join(reps.select(label, "_p", "_rank"), [label, "_p"])
 
-    half = max(1, k // 2)
-    offsets = [o for o in range(-half, half + 1) if o != 0]
+    offsets = [(i // 2 + 1) * (1 if i % 2 == 0 else -1) for i in range(k)]  # +1, -1, +2, ... : k partners
     partners = (
         ranked.select(label, "_rid", "_rank", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
         .withColumn("_prank", F.col("_rank") + F.col("_o"))

@@ -189,9 +189,15 @@ def prediction_monitoring(service_log: DataFrame) -> DataFrame:
 
 
 def recent_rows(log: DataFrame, n: int = 10, cap: int = 100) -> DataFrame:
-    """The last min(n, cap) rows by timestamp (a top-k report)."""
+    """The last min(n, cap) rows by timestamp (a top-k report), with the totals of the log.
+
+    Ties go to the larger visit, then to the class in text order, then to the larger hash.  Every row carries
+    ``total_logged`` (rows of the log) and ``returned`` (rows of the report).
+    """
     k = max(0, min(int(n), cap))
-    return log.orderBy(F.desc("timestamp"), F.desc("input_hash")).limit(k)
+    total = log.agg(F.count(F.lit(1)).alias("total_logged"))
+    last = log.orderBy(F.desc("timestamp"), F.desc("visit_id"), "predicted_class", F.desc("input_hash")).limit(k)
+    return last.crossJoin(F.broadcast(total)).withColumn("returned", F.least(F.col("total_logged"), F.lit(k)))
 
 
 def unique_path(base: str, name: str) -> str:

@@ -1,8 +1,9 @@
 """Structured Streaming re-aims of the per-request service.
 
 T1: request files arriving in a folder are validated, featurized, scored
-and appended to the prediction log; the checkpoint folder makes the sink
-exactly-once across restarts and lost executors.
+and written to the prediction log.  Each micro-batch overwrites its own
+``epoch=N`` folder of the log and of the quarantine, so a batch that is
+replayed after a failure replaces its rows instead of repeating them.
 T2: class mix per event-time window with a watermark, so late rows inside
 the watermark still count and state for old windows is dropped.
 """
@@ -15,7 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardflow.operators.models import predict
-from wardflow.operators.scoring import request_errors, scoring_features
+from wardflow.operators.scoring import CLAIM_REQUEST_BOUNDS, input_hash, request_errors, scoring_features
+
+#: The claim rules on the fields that this feed carries or E9 derives (frozen defaults are not checked).
+CLAIM_FEED_BOUNDS = {k: v for k, v in CLAIM_REQUEST_BOUNDS.items() if k != "patient_visit_frequency"}
 
 CLAIM_REQUEST_SCHEMA = T.StructType([
     T.StructField("visit_id", T.LongType()), T.StructField("patient_id", T.LongType()),
@@ -34,24 +38,27 @@ def t1_score_request_stream(spark: SparkSession, request_dir: str, model, classe
                             checkpoint: str, model_name: str = "model", version: str = "v1",
                             schema: T.StructType = CLAIM_REQUEST_SCHEMA,
                             available_now: bool = True) -> StreamingQuery:
-    """Score request JSON files as they land; append valid scores and quarantine the rest."""
+    """Score request JSON files as they land; log valid scores and quarantine the rest.
+
+    A rule on a field that the feed neither carries nor derives is an error.
+    """
+    known = scoring_features(spark.createDataFrame([], schema), maps).columns
+    if unknown := sorted((set(bounds) | set(categories)) - set(known)):
+        raise ValueError(f"rules on fields that the feed does not have: {unknown}")
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(request_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         feats = scoring_features(df, maps)
-        # rules for fields the request carries or E9 derives; frozen defaults are not re-checked
-        present = {k: v for k, v in bounds.items() if k in feats.columns}
-        checked = feats.withColumn("errors", request_errors(present, categories, maps))
+        checked = feats.withColumn("errors", request_errors(bounds, categories, maps))
+        checked = checked.withColumn("input_hash", input_hash(checked, schema.fieldNames()))
         valid = checked.where(F.size("errors") == 0)
         scored = predict(model, valid, classes).select(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
             F.lit(model_name).alias("model"), F.col("visit_id").cast("long"), "predicted_class",
-            "confidence", F.lit(version).alias("model_version"),
-            F.sha2(F.to_json(F.struct(*[F.col(c) for c in schema.fieldNames()])), 256).substr(1, 16)
-            .alias("input_hash"), F.lit(epoch_id).alias("epoch"))
-        scored.write.mode("append").json(f"{log_dir}/predictions")
-        checked.where(F.size("errors") > 0).select("visit_id", "errors", F.lit(epoch_id).alias("epoch")) \
-            .write.mode("append").json(f"{log_dir}/quarantine")
+            "confidence", F.lit(version).alias("model_version"), "input_hash")
+        scored.write.mode("overwrite").json(f"{log_dir}/predictions/epoch={epoch_id}")
+        checked.where(F.size("errors") > 0).select("visit_id", "errors") \
+            .write.mode("overwrite").json(f"{log_dir}/quarantine/epoch={epoch_id}")
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -70,10 +77,17 @@ def class_mix(df: DataFrame, ts_col: str, class_col: str, window: str = "1 day")
 
 def t2_class_mix_stream(stream: DataFrame, ts_col: str, class_col: str, window: str = "1 day",
                         watermark: str = "1 day") -> DataFrame:
-    """Streaming T2: windowed class counts under a watermark (append mode)."""
-    return (
+    """Streaming T2: class counts and shares per closed window (append mode).
+
+    A window's counts are kept as a map from class to count (bounded by the
+    classes), so the share needs no second aggregation of the stream.
+    """
+    per_class = (
         stream.withWatermark(ts_col, watermark)
         .groupBy(F.window(ts_col, window).alias("w"), F.col(class_col).alias("class_name"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "class_name", "n")
     )
+    totals = per_class.groupBy("w").agg(F.collect_list(F.struct("class_name", "n")).alias("c"), F.sum("n").alias("t"))
+    return totals.select("w", "t", F.explode("c").alias("c")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "c.class_name", "c.n",
+        F.round(F.col("c.n") * 100.0 / F.col("t"), 2).alias("share_pct"))
