@@ -20,18 +20,24 @@ from wardflow.operators import stats as A
 from wardflow.operators import reports as R
 from wardflow.operators import scoring as S
 from wardflow.sources import logs as L
+from wardflow.functions.scalar import map_lookup
 from wardflow.session import materialize
 from wardflow.sources.tables import Tables, from_testdata
-from wardflow.sources.tables import merged_frame as _merged_lazy
+from wardflow.sources.tables import merged_frame
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, QueryFn] = {}
 
 
-def merged_frame(t: Tables):
-    """The merged frame, checkpointed once per query (it feeds several jobs)."""
-    return materialize(_merged_lazy(t))
+def merged_table(t: Tables, columns: list[str] | None = None):
+    """The merged frame (or some of its columns) written once, for queries that scan it several times.
+
+    Queries of one pass take the lazy ``merged_frame``, so their columns and
+    filters reach the scans of the source tables.
+    """
+    m = merged_frame(t)
+    return materialize(m.select(*columns) if columns else m)
 
 
 def register(name: str, fn: Callable[[Tables], DataFrame]) -> None:
@@ -83,11 +89,11 @@ ENGINEERED = ["visit_frequency", "avg_los_per_patient", "provider_rejection_rate
 
 
 def _model_table(t: Tables):
-    return E.build_model_table(merged_frame(t), K.testdata_encoding_maps())
+    return E.build_model_table(merged_table(t), K.testdata_encoding_maps())
 
 
 def _features_n(t: Tables):
-    f = E.encode_alphabetical(E.engineer_features_n(merged_frame(t)))
+    f = E.encode_alphabetical(E.engineer_features_n(merged_table(t)))
     return f.select("visit_id", "patient_id", "bill_id", "days_since_registration", "visit_month",
                     "visit_day_of_week", "patient_visit_frequency", "avg_los_per_patient",
                     "approved_amount", "payment_days", "approval_ratio",
@@ -105,7 +111,8 @@ def _time_split(t: Tables):
 for _name, _fn in [
     ("e7_model_table", _model_table),
     ("e8_features_n", _features_n),
-    ("w2_positional_split", lambda t: E.split_summary(E.positional_split(merged_frame(t)))),
+    ("w2_positional_split", lambda t: E.split_summary(E.positional_split(
+        merged_table(t, ["visit_date", "visit_id", "bill_id"])))),
     ("e10_time_split", _time_split),
     ("a1_value_counts", lambda t: A.a1_value_counts(merged_frame(t), ["visit_type", "claim_status", "risk_score"])),
     ("a2_crosstab_department_risk",
@@ -114,19 +121,20 @@ for _name, _fn in [
     ("a4_city_billing", lambda t: A.a4_city_billing(merged_frame(t))),
     ("a5_histogram_billed", lambda t: A.a5_histogram(merged_frame(t), "billed_amount", 50)),
     ("a6_box_billed_by_insurer",
-     lambda t: A.a6_box_summary(merged_frame(t), "insurance_provider", ["billed_amount"])),
-    ("a7_iqr_summary", lambda t: A.a7_iqr_summary(merged_frame(t), IQR_COLS)),
+     lambda t: A.a6_box_summary(merged_table(t, ["insurance_provider", "billed_amount"]), "insurance_provider",
+                                ["billed_amount"])),
+    ("a7_iqr_summary", lambda t: A.a7_iqr_summary(merged_table(t, IQR_COLS), IQR_COLS)),
     ("a8_zscore_summary", lambda t: A.a8_zscore_summary(merged_frame(t), IQR_COLS)),
     ("a9_correlation_pairs", lambda t: A.a9_correlation_pairs(merged_frame(t), CORR_COLS)),
     ("a10_overview", lambda t: A.a10_overview(merged_frame(t))),
-    ("a11_describe", lambda t: A.a11_describe(merged_frame(t), DESCRIBE_COLS)),
+    ("a11_describe", lambda t: A.a11_describe(merged_table(t, DESCRIBE_COLS), DESCRIBE_COLS)),
     ("a12_rate_per_insurer",
-     lambda t: A.a12_first_per_group(E.engineer_features(merged_frame(t)), "insurance_provider",
-                                     "provider_rejection_rate")),
+     lambda t: A.a12_first_per_group(E.provider_rejection_rate(
+         merged_table(t, ["insurance_provider", "claim_status"])), "insurance_provider", "provider_rejection_rate")),
     ("a13_feature_profile", lambda t: A.a13_feature_profile(_model_table(t), K.MODEL_FEATURES_U)),
-    ("a14_medians", lambda t: A.a14_medians(merged_frame(t))),
+    ("a14_medians", lambda t: A.a14_medians(merged_table(t))),
     ("a17_engineered_profile",
-     lambda t: A.a17_engineered_profile(E.engineer_features(merged_frame(t)), ENGINEERED)),
+     lambda t: A.a17_engineered_profile(E.engineer_features(merged_table(t)), ENGINEERED)),
 ]:
     register(_name, _fn)
 
@@ -198,11 +206,12 @@ for _name, _fn in [
 # ----------------------------------------------------------- scoring and logs
 def _requests(t: Tables):
     """Claim requests derived from the tables: merged rows plus variant-N fields."""
-    return E.engineer_features_n(merged_frame(t))
+    return E.engineer_features_n(merged_table(t))
 
 
 def _e9(t: Tables):
-    f = S.scoring_features(merged_frame(t), K.testdata_encoding_maps())
+    m = merged_table(t)
+    f = S.scoring_features(m, K.testdata_encoding_maps(), E.rejection_rates_from_data(m))
     return f.select("visit_id", "bill_id", "visit_frequency", "avg_los_per_patient", "provider_rejection_rate",
                     "days_since_registration", "approval_ratio", "billed_amount_capped", "payment_days_capped",
                     "los_capped", "visit_month", "visit_dayofweek", "visit_quarter",
@@ -215,22 +224,21 @@ def _q14(t: Tables):
     return S.validation_summary(v)
 
 
-_MODEL_CACHE: dict = {}
+def _claim_split(t: Tables):
+    """Labelled model-table rows before and from the split date; ``row_key`` hashes the row's columns."""
+    from pyspark.sql import functions as F
 
+    mt = _model_table(t).where(F.col("claim_status").isNotNull())
+    mt = materialize(mt.withColumn("row_key", F.xxhash64(*mt.columns)))
+    return E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
 
-def _claim_rf(t: Tables):
-    """Claim model (variant U features, balanced weights) fitted once per session and data set."""
-    from pyspark.sql import functions as F
 
-    key = ("rf", id(t.spark), t.visits.inputFiles()[0] if t.visits.inputFiles() else "")
-    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull())
-                     .withColumn("bill_key", F.monotonically_increasing_id()))
-    tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
-    if key not in _MODEL_CACHE:
-        w = E.balanced_class_weights(tr, "claim_status")
-        _MODEL_CACHE[key] = M.train_model(w, K.MODEL_FEATURES_U, "claim_status", K.CLAIM_CLASSES,
-                                          "random_forest", weight_col="weight")
-    return _MODEL_CACHE[key], tr, te
+def _claim_rf(t: Tables):
+    """Claim model (variant U features, balanced weights) and the rows on either side of the split."""
+    tr, te = _claim_split(t)
+    w = E.balanced_class_weights(tr, "claim_status")
+    model = M.train_model(w, K.MODEL_FEATURES_U, "claim_status", K.CLAIM_CLASSES, "random_forest", weight_col="weight")
+    return model, tr, te
 
 
 HASH_FIELDS = ["visit_id", "patient_id", "age", "gender", "city", "chronic_flag", "department", "visit_type",
@@ -238,13 +246,12 @@ HASH_FIELDS = ["visit_id", "patient_id", "age", "gender", "city", "chronic_flag"
 
 
 def _m6(t: Tables):
-    """Score the visits on or after the split date as claim requests (E9 -> model -> response)."""
+    """Score every row as a claim request, decided or not (E9 -> model -> response)."""
     from pyspark.sql import functions as F
 
     model, _, _ = _claim_rf(t)
-    req = merged_frame(t).where((F.col("visit_date") >= F.lit(TESTDATA_SPLIT_DATE).cast("date"))
-                                & F.col("claim_status").isNotNull())
-    feats = S.scoring_features(req, K.testdata_encoding_maps())
+    req = merged_table(t)
+    feats = S.scoring_features(req, K.testdata_encoding_maps(), E.rejection_rates_from_data(req))
     return S.score_requests(model, feats, K.CLAIM_CLASSES, HASH_FIELDS, version="v1",
                             clock=F.lit("2026-01-01 00:00:00").cast("timestamp"))
 
@@ -259,7 +266,7 @@ def _m9(t: Tables):
 
     rf, tr, te = _claim_rf(t)
     lr = M.train_model(E.balanced_class_weights(tr, "claim_status"), K.MODEL_FEATURES_U, "claim_status",
-                       K.CLAIM_CLASSES, "logistic_regression", weight_col="weight", max_iter=200)
+                       K.CLAIM_CLASSES, "logistic_regression", weight_col="weight")
     rows = None
     for name, m in [("logistic_regression", lr), ("random_forest", rf)]:
         p = M.predict(m, te, K.CLAIM_CLASSES).select(
@@ -271,13 +278,19 @@ def _m9(t: Tables):
 
 
 def _m8(t: Tables):
-    """Leakage ablation: the same rows refit without the two leaking features."""
+    """Leakage ablation: the variant-N claim rows refit without the two leaking features."""
     from pyspark.sql import functions as F
 
-    rf, tr, te = _claim_rf(t)
-    reduced = [f for f in K.MODEL_FEATURES_U if f not in ("approval_ratio", "payment_days_capped")]
-    ab = M.train_model(E.balanced_class_weights(tr, "claim_status"), reduced, "claim_status",
-                       K.CLAIM_CLASSES, "random_forest", weight_col="weight")
+    rows = E.encode_alphabetical(E.engineer_features_n(merged_table(t))).where(F.col("claim_status").isNotNull())
+    tr, te = E.time_split(materialize(rows.select("visit_date", "claim_status", *K.CLAIM_FEATURES_N)),
+                          "visit_date", TESTDATA_SPLIT_DATE)
+
+    def fit(features):
+        return M.train_model(tr, features, "claim_status", K.CLAIM_CLASSES, "random_forest", max_depth=12)
+
+    rf = fit(K.CLAIM_FEATURES_N)
+    ab = fit([f for f in K.CLAIM_FEATURES_N if f not in ("approval_ratio", "approved_amount")])
+
     def acc(m, name):
         p = M.predict(m, te, K.CLAIM_CLASSES)
         return p.agg(F.avg((F.col("claim_status") == F.col("predicted_class")).cast("double")).alias("accuracy")) \
@@ -293,22 +306,43 @@ def _log_dir(t: Tables, name: str) -> str:
     return L.unique_path(checkpoint_dir(t.spark), name)
 
 
+def _baseline_responses(t: Tables):
+    """Every row scored by the baseline claim model, which SQL can replay."""
+    from pyspark.sql import functions as F
+
+    tr, _ = _claim_split(t)
+    model = materialize(M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES))
+    req = merged_table(t)
+    feats = S.scoring_features(req, K.testdata_encoding_maps(), E.rejection_rates_from_data(req))
+    feats = feats.where(F.col("billed_amount").isNotNull() & F.col("length_of_stay_hours").isNotNull())
+    return S.score_with_centroids(model, feats, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES, HASH_FIELDS, version="v1",
+                                  clock=F.col("visit_date").cast("timestamp"))
+
+
+def _m6_baseline(t: Tables):
+    from pyspark.sql import functions as F
+
+    return _baseline_responses(t).select(
+        "visit_id", "predicted_class", "confidence", F.col("probabilities")[K.REJECTED_CLASS].alias("rejected_probability"))
+
+
 def _a15(t: Tables):
     path = _log_dir(t, "prediction-log")
-    L.append_prediction_log(_m6(t), "claim_rf", path)
+    L.append_prediction_log(_baseline_responses(t), "claim_centroid", path)
     return L.prediction_log_summary(L.load_prediction_log(t.spark, path))
 
 
 def _a16(t: Tables):
     path = _log_dir(t, "service-log")
-    L.service_log_lines(_m6(t), "/predict/claim").write.mode("append").text(path)
+    L.service_log_lines(_baseline_responses(t), "/predict/claim").write.mode("append").text(path)
     return L.prediction_monitoring(L.read_service_log(t.spark, path))
 
 
 def _w5(t: Tables):
     path = _log_dir(t, "prediction-log")
-    L.append_prediction_log(_m6(t), "claim_rf", path)
-    return L.recent_rows(L.load_prediction_log(t.spark, path), 10)
+    L.append_prediction_log(_baseline_responses(t), "claim_centroid", path)
+    return L.recent_rows(L.load_prediction_log(t.spark, path), 10).select(
+        "timestamp", "model", "visit_id", "predicted_class", "model_version", "total_logged", "returned")
 
 
 def _t2(t: Tables):
@@ -324,7 +358,13 @@ def _events_path(t: Tables) -> str:
 
 
 def _d5(t: Tables):
-    return D.d5_retraining_alert(_d3(t))
+    """Drift and macro-F1 rules together; the baseline F1 is that of the training rows."""
+    from pyspark.sql import functions as F
+
+    f1 = V.v4_overfit_gap(*_claim_predictions(t), CC).where("metric = 'macro_f1'").select(
+        F.col("test").alias("current_macro_f1"), F.col("train").alias("baseline_macro_f1"))
+    alert = D.d5_retraining_alert(_d3(t), f1, clock=F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return alert.withColumn("reasons", F.transform("reasons", lambda r: r["code"]))
 
 
 def _q12(t: Tables):
@@ -365,6 +405,7 @@ for _name, _fn in [
     ("s15_drift_summary", _s15),
     ("v10_model_card", _v10),
     ("m6_score_test_visits", _m6),
+    ("m6_score_baseline", _m6_baseline),
     ("m7_feature_importances", _m7),
     ("m8_leakage_ablation", _m8),
     ("m9_model_comparison", _m9),
@@ -381,40 +422,43 @@ def _e11(t: Tables):
 
     from wardflow.operators.smote import smote
 
-    _, tr, _ = _claim_rf(t)
+    tr, _ = _claim_split(t)
     out = smote(tr, K.MODEL_FEATURES_U, "claim_status", k=5)
     return out.groupBy("claim_status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("synthetic").cast("int")).cast("bigint").alias("n_synthetic"))
 
 
-def _shap(t: Tables):
-    from wardflow.operators import attribution as X
-
-    model, tr, te = _claim_rf(t)
-    rows = X.sample_rows(te, 300, "bill_key")
-    return X.shapley_values(model, rows, tr, K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "bill_key", n_perm=4)
-
-
 def _v8(t: Tables):
     from wardflow.operators import attribution as X
 
-    return X.v8_mean_abs_attribution(_shap(t))
+    model, tr, te = _claim_rf(t)
+    rows = X.sample_rows(te, 300, "row_key")
+    return X.v8_mean_abs_attribution(
+        X.shapley_values(model, rows, tr, K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "row_key"))
 
 
 def _v9(t: Tables):
+    """Attribution of one row, the one with the smallest key."""
     from pyspark.sql import functions as F
 
     from wardflow.operators import attribution as X
 
-    s = materialize(_shap(t))
-    first = s.agg(F.min("bill_key")).first()[0]  # one explained row (a parameter)
-    return X.v9_explain_row(s, "bill_key", first, K.REJECTED_CLASS)
+    model, tr, te = _claim_rf(t)
+    first = te.agg(F.min("row_key")).first()[0]
+    rows = te.where(F.col("row_key") == F.lit(first)).limit(1)
+    s = X.shapley_values(model, rows, tr, K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "row_key")
+    return X.v9_explain_row(s, "row_key", first, K.REJECTED_CLASS)
 
 
 def _d7(t: Tables):
-    """Bootstrap of the new period's labels vs the training period (prediction drift)."""
-    tr, nw = _train_new(t)
-    return D.d4_prediction_drift(tr, D.d7_bootstrap(nw, seed=42), K.RISK_CLASSES, pred_col="risk_score_encoded")
+    """The new period's risk labels against a bootstrap of the same labels."""
+    from pyspark.sql import functions as F
+
+    risk = materialize(merged_frame(t).where(F.col("visit_date") >= F.lit(TESTDATA_SPLIT_DATE).cast("date")).select(
+        F.expr("concat(visit_id, '-', coalesce(cast(bill_id as string), ''))").alias("row_name"),
+        map_lookup({c: i for i, c in enumerate(K.RISK_CLASSES)}, F.col("risk_score"), "int").alias("code"),
+    ).where("code is not null"))
+    return D.d4_prediction_drift(risk, D.d7_bootstrap(risk, "row_name", seed=42), K.RISK_CLASSES, pred_col="code")
 
 
 for _name, _fn in [("e11_smote_class_counts", _e11), ("v8_attribution_claim", _v8),
@@ -443,12 +487,12 @@ def _s5(t: Tables):
 
 
 def _f18(t: Tables):
-    return S.rejection_action_rows(_m6(t)).groupBy("recommended_action").count()
+    return S.rejection_action_rows(_baseline_responses(t)).groupBy("recommended_action").count()
 
 
 def _m10(t: Tables):
-    return M.model_metadata("claim_rf", "v1", K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "claim_status_encoded") \
-        .unionByName(M.model_metadata("claim_rows", "v1", [], [], str(_m6(t).count())))
+    model, tr, _ = _claim_rf(t)
+    return M.model_metadata(model, "claim_rf", "v1", K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "claim_status", tr)
 
 
 def _d6(t: Tables):
@@ -465,7 +509,7 @@ def _d6(t: Tables):
 for _name, _fn in [
     ("s3_hospital_master", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).hospital_master(t)),
     ("s4_visits_patients", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).visits_patients(t)),
-    ("j2_merged_frame", lambda t: _merged_lazy(t)),
+    ("j2_merged_frame", merged_frame),
     ("s5_sql_fin02", _s5),
     ("f18_rejection_actions", _f18),
     ("m10_model_metadata", _m10),
