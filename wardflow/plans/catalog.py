@@ -168,39 +168,73 @@ CLAIM_CENTROID_FEATURES = ["approval_ratio", "payment_days_capped", "billed_amou
 FAIRNESS_SEGMENTS = ["gender", "city", "insurance_provider"]
 
 
-def _claim_predictions(t: Tables):
-    """Baseline claim model fitted on the train dates, applied to both splits."""
+RISK_CENTROID_FEATURES = ["age", "los_capped", "avg_los_per_patient", "visit_frequency"]
+CC, CRIT = K.CLAIM_CLASSES, K.REJECTED_CLASS
+#: model name -> (features, label, classes, critical class, recall target)
+BASELINES = {
+    "claim": (CLAIM_CENTROID_FEATURES, "claim_status", CC, CRIT, K.REJECTED_RECALL_TARGET),
+    "risk": (RISK_CENTROID_FEATURES, "risk_score", K.RISK_CLASSES, "High", K.HIGH_RISK_RECALL_TARGET),
+}
+
+
+def _predictions(t: Tables, name: str, feature_sets=None):
+    """Baseline models fitted on the train dates, applied to both splits: one pair a feature set."""
     from pyspark.sql import functions as F
 
-    mt = materialize(_model_table(t).where(F.col("claim_status").isNotNull()))
+    features, label, classes, _, _ = BASELINES[name]
+    mt = materialize(_model_table(t).where(F.col(label).isNotNull()))
     tr, te = E.time_split(mt, "visit_date", TESTDATA_SPLIT_DATE)
-    # the 1-row fitted model is the cut: scoring is a row-wise projection over the
-    # written model table, so a split that a metric never reads is never scored
-    model = materialize(M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES))
+    out = []
+    for feats in feature_sets or [features]:
+        # the 1-row fitted model is the cut: scoring is a row-wise projection over the
+        # written model table, so a split that a metric never reads is never scored
+        model = materialize(M.centroid_fit(tr, feats, label, classes))
+        out.append(tuple(M.centroid_predict(df, model, feats, classes).withColumn("label", F.col(label))
+                         for df in (tr, te)))
+    return out
 
-    def pr(df):
-        return (M.centroid_predict(df, model, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES)
-                .withColumn("label", F.col("claim_status")))
-    return pr(tr), pr(te)
 
+def _claim_predictions(t: Tables):
+    return _predictions(t, "claim")[0]
 
-def _v(fn):
-    return lambda t: fn(*_claim_predictions(t))
 
+def _v3(te, name: str):
+    _, _, classes, critical, target = BASELINES[name]
+    return V.v3_business_metrics(te, classes, critical, amount_col="billed_amount_capped", recall_target=target)
 
-CC, CRIT = K.CLAIM_CLASSES, K.REJECTED_CLASS
-for _name, _fn in [
-    ("v1_report_claim", _v(lambda tr, te: V.v1_classification_report(te, CC))),
-    ("v2_confusion_claim", _v(lambda tr, te: V.v2_confusion_matrix(te, CC))),
-    ("v3_business_claim", _v(lambda tr, te: V.v3_business_metrics(
-        te, CC, CRIT, amount_col="billed_amount_capped", recall_target=K.REJECTED_RECALL_TARGET))),
-    ("v4_overfit_claim", _v(lambda tr, te: V.v4_overfit_gap(tr, te, CC))),
-    ("v5_fairness_claim", _v(lambda tr, te: V.v5_fairness(te, FAIRNESS_SEGMENTS, CC, CRIT))),
-    ("v6_segments_claim", _v(lambda tr, te: V.v6_segment_performance(te, FAIRNESS_SEGMENTS, CC, CRIT))),
-    ("v7_auc_claim", _v(lambda tr, te: V.v7_roc_auc(te, CC))),
-    ("v7_roc_points_claim", _v(lambda tr, te: V.v7_roc_points(te, CC))),
-]:
-    register(_name, _fn)
+
+def _v3b(t: Tables, name: str):
+    """Critical recall and caught rows of a two-feature and the full baseline model, side by side."""
+    from pyspark.sql import functions as F
+
+    features = BASELINES[name][0]
+    rows = None
+    for model, (_, te) in zip(("two_features", "all_features"), _predictions(t, name, [features[:2], features]), strict=True):
+        one = _v3(te, name).select(
+            F.lit(model).alias("model"), "critical_recall",
+            (F.col("critical_support") - F.col("critical_missed")).alias("critical_caught"), "critical_support", "below_target")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _register_evaluation(name: str) -> None:
+    _, _, classes, critical, _ = BASELINES[name]
+    for query, fn in {
+        "v1_report": lambda tr, te: V.v1_classification_report(te, classes),
+        "v2_confusion": lambda tr, te: V.v2_confusion_matrix(te, classes),
+        "v3_business": lambda tr, te: _v3(te, name),
+        "v4_overfit": lambda tr, te: V.v4_overfit_gap(tr, te, classes),
+        "v5_fairness": lambda tr, te: V.v5_fairness(te, FAIRNESS_SEGMENTS, classes, critical),
+        "v6_segments": lambda tr, te: V.v6_segment_performance(te, FAIRNESS_SEGMENTS, classes, critical),
+        "v7_auc": lambda tr, te: V.v7_roc_auc(te, classes),
+        "v7_roc_points": lambda tr, te: V.v7_roc_points(te, classes),
+    }.items():
+        register(f"{query}_{name}", lambda t, fn=fn: fn(*_predictions(t, name)[0]))
+    register(f"v3b_critical_recall_{name}", lambda t: _v3b(t, name))
+
+
+for _name in BASELINES:
+    _register_evaluation(_name)
 
 
 # ----------------------------------------------------------- scoring and logs
@@ -218,6 +252,11 @@ def _e9(t: Tables):
                     *[c + "_encoded" for c in K.CATEGORY_FIELDS])
 
 
+def _q14_risk(t: Tables):
+    v = S.validate_requests(_requests(t), S.RISK_REQUEST_BOUNDS, S.RISK_REQUEST_CATEGORIES, K.testdata_encoding_maps())
+    return S.validation_summary(v)
+
+
 def _q14(t: Tables):
     v = S.validate_requests(_requests(t), S.CLAIM_REQUEST_BOUNDS, S.CLAIM_REQUEST_CATEGORIES,
                             K.testdata_encoding_maps())
@@ -397,6 +436,7 @@ def _v10(t: Tables):
 for _name, _fn in [
     ("e9_scoring_features", _e9),
     ("q14_request_validation", _q14),
+    ("q14_risk_request_validation", _q14_risk),
     ("q15_null_cells_model_table", lambda t: Q.q15_null_cells(_model_table(t))),
     ("t2_event_mix_daily", _t2),
     ("d5_retraining_alert", _d5),
@@ -498,12 +538,14 @@ def _m10(t: Tables):
 def _d6(t: Tables):
     from pyspark.sql import functions as F
 
-    tr, te = _claim_predictions(t)
-    crit = V.v3_business_metrics(te, CC, CRIT)
-    psi = _d3(t).agg(F.max("psi").alias("max_psi"))
-    m = crit.crossJoin(psi).select(F.lit("claim").alias("model"), "macro_f1",
-                                   F.col("critical_recall").alias("rejected_recall"), "max_psi")
-    return D.d6_retrain_rules(m)
+    psi = materialize(_d3(t).agg(F.max("psi").alias("max_psi")))
+    rows = None
+    for name in BASELINES:
+        recall = F.col("critical_recall") if name == "claim" else F.lit(None).cast("double")
+        one = _v3(_predictions(t, name)[0][1], name).crossJoin(psi).select(
+            F.lit(name).alias("model"), "macro_f1", recall.alias("rejected_recall"), "max_psi")
+        rows = one if rows is None else rows.unionByName(one)
+    return D.d6_retrain_rules(rows)
 
 
 for _name, _fn in [
