@@ -245,11 +245,13 @@ def q10_unseen_categories(df: DataFrame, maps: dict | None = None) -> DataFrame:
 
 
 def q11_quality_status(df: DataFrame, ranges: dict | None = None) -> DataFrame:
-    """Overall PASS / WARNING / FAIL from total missing and range violations."""
-    miss = q10_missing_values(df).agg(F.sum("missing_count").cast("bigint").alias("total_missing"))
-    viol = q10_range_violations(df, ranges).agg(
-        F.coalesce(F.sum("violation_count"), F.lit(0)).cast("bigint").alias("total_violations"))
-    return miss.crossJoin(viol).withColumn(
+    """Overall PASS / WARNING / FAIL from total missing and range violations, in one scan."""
+    ranges = ranges or K.MONITOR_NUMERIC_RANGES
+    outside = [(F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi)) for c, (lo, hi) in ranges.items() if c in df.columns]
+    total = lambda tests: sum((count_if(x) for x in tests), F.lit(0)).cast("bigint")
+    return df.agg(  # one scan for both totals
+        total([F.col(c).isNull() for c in df.columns]).alias("total_missing"), total(outside).alias("total_violations"),
+    ).withColumn(
         "status",
         F.when((F.col("total_missing") == 0) & (F.col("total_violations") == 0), F.lit("PASS"))
         .when(F.col("total_violations") == 0, F.lit("WARNING"))
@@ -258,15 +260,14 @@ def q11_quality_status(df: DataFrame, ranges: dict | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------- Q12
-def q12_validate_input_schema(new_df: DataFrame, schema_df: DataFrame, n_baseline_rows: int | None = None,
-                              maps: dict | None = None) -> DataFrame:
+def q12_validate_input_schema(new_df: DataFrame, schema_df: DataFrame, maps: dict | None = None) -> DataFrame:
     """Check new data against a feature schema (feature, min, max, nulls ...).
 
-    Rows: (feature, check_name, status, n_values, pct) with check_name in
-    MISSING / NULLS / RANGE / OK / UNSEEN_CATEGORY and status OK / WARN /
-    ERROR.  The schema is a small per-feature frame (bounded by the number
-    of features), joined by broadcast.  ``n_baseline_rows`` replaces the
-    fixed baseline row count of the original when reporting training NULLs.
+    Rows: (feature, check_name, status, n_values, pct, detail) with check_name
+    in MISSING / NULLS / RANGE / OK / UNSEEN_CATEGORY and status OK / WARN /
+    ERROR; ``detail`` lists the values of an unseen category in text order.
+    The schema is a small per-feature frame (bounded by the number of
+    features), joined by broadcast.
     """
     maps = maps or K.testdata_encoding_maps()
     spark = new_df.sparkSession
@@ -299,15 +300,17 @@ def q12_validate_input_schema(new_df: DataFrame, schema_df: DataFrame, n_baselin
         F.lit(0).cast("bigint").alias("n_values"), F.lit(0.0).alias("pct"))
     unseen = (
         q10_unseen_categories(new_df, {k: v for k, v in maps.items() if k in K.CATEGORY_FIELDS})
-        .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_values"))
+        .groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("n_values"),
+            F.array_join(F.sort_array(F.collect_list("unseen_value")), ", ").alias("detail"))
         .select(F.col("column_name").alias("feature"), F.lit("UNSEEN_CATEGORY").alias("check_name"),
-                F.lit("ERROR").alias("status"), "n_values", F.lit(None).cast("double").alias("pct"))
+                F.lit("ERROR").alias("status"), "n_values", F.lit(None).cast("double").alias("pct"), "detail")
     )
-    out = nulls.unionByName(rng).unionByName(ok).unionByName(unseen)
+    out = nulls.unionByName(rng).unionByName(ok).unionByName(unseen, allowMissingColumns=True)
     if missing:
         out = out.unionByName(spark.createDataFrame(
-            [(f, "MISSING", "ERROR", 0, None) for f in missing],
-            "feature string, check_name string, status string, n_values bigint, pct double"))
+            [(f, "MISSING", "ERROR", 0, None, None) for f in missing],
+            "feature string, check_name string, status string, n_values bigint, pct double, detail string"))
     return out
 
 

@@ -1,7 +1,7 @@
 """Distribution and summary statistics.
 
-Wide-to-long: several columns are profiled in one scan by unpivoting to
-(feature, value) and grouping by feature, so one shuffle serves them all.
+Several columns are profiled by one wide aggregate that is turned into one
+row a column afterwards; only quantiles unpivot to (feature, value).
 Quantiles are exact (distributed rank selection, see functions.quantiles).
 """
 
@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.quantiles import exact_quantiles
 from wardflow.functions.scalar import count_if, map_lookup, pct
+from wardflow.session import write_table
+
+
+def per_column(df: DataFrame, columns: list[str], aggregates) -> DataFrame:
+    """One row a column from one wide aggregate (rows are not multiplied by the columns).
+
+    ``aggregates(name, value)`` gives the aliased aggregates of a column's values as double.
+    """
+    rows = [F.struct(F.lit(c).alias("feature"), *aggregates(c, F.col(c).cast("double"))) for c in columns]
+    return df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
 
 
 def _long(df: DataFrame, columns: list[str], ids: list[str] = ()) -> DataFrame:
@@ -74,12 +84,13 @@ def a6_box_summary(df: DataFrame, group_col: str, features: list[str]) -> DataFr
     """Box-plot numbers per group and feature: quartiles and 1.5 IQR whiskers."""
     long = _long(df, features, [group_col]).withColumnRenamed(group_col, "group_value")
     q = exact_quantiles(long, ["group_value", "feature"], "value", [0.25, 0.5, 0.75])
-    q = q.select("group_value", "feature", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-                 F.col("q2").alias("q3"))
+    # written: its size grows with the groups, and the planner decides on broadcasting it
+    q = write_table(q.select("group_value", "feature", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                             F.col("q2").alias("q3")))
     iqr = F.col("q3") - F.col("q1")
     whisk = (
         long.where(F.col("value").isNotNull())
-        .join(F.broadcast(q.select("group_value", "feature", "q1", "q3")), ["group_value", "feature"])
+        .join(q.select("group_value", "feature", "q1", "q3"), ["group_value", "feature"])
         .groupBy("group_value", "feature")
         .agg(
             F.min(F.when(F.col("value") >= F.col("q1") - 1.5 * iqr, F.col("value"))).alias("whisker_low"),
@@ -94,21 +105,21 @@ def a6_box_summary(df: DataFrame, group_col: str, features: list[str]) -> DataFr
 def a7_iqr_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q1, Q3, fences (lower >= 0), outliers and their pct of all rows (NULLs included).
 
-    One exact-quantile pass gives Q1/Q3 for every column; fences are a
-    per-feature table (bounded by the column count) broadcast to the rows.
+    One exact-quantile job gives Q1/Q3 for every column; the fences of all
+    columns are one row, and one wide aggregate counts against it.
     """
     long = _long(df, columns)
     q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75]).select(
         "feature", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select("feature", "q1", "q3", iqr.alias("iqr"),
-                      F.greatest(F.lit(0.0), F.col("q1") - 1.5 * iqr).alias("lower_fence"),
-                      (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
-    counts = long.join(F.broadcast(fences.select("feature", "lower_fence", "upper_fence")), "feature", "left") \
-        .groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            count_if((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
-            .alias("n_outliers"))
+    fences = write_table(q.select("feature", "q1", "q3", iqr.alias("iqr"),
+                                  F.greatest(F.lit(0.0), F.col("q1") - 1.5 * iqr).alias("lower_fence"),
+                                  (F.col("q3") + 1.5 * iqr).alias("upper_fence")))
+    by_feature = fences.agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("lower_fence", "upper_fence")))).alias("_f"))  # one row, an entry a column
+    counts = per_column(df.crossJoin(F.broadcast(by_feature)), columns, lambda c, v: [
+        F.count(F.lit(1)).alias("n_rows"),
+        count_if((v < F.col("_f")[c]["lower_fence"]) | (v > F.col("_f")[c]["upper_fence"])).alias("n_outliers")])
     return fences.join(counts, "feature").select(
         "feature", "q1", "q3", "iqr", "lower_fence", "upper_fence",
         "n_outliers", pct(F.col("n_outliers"), F.col("n_rows")).alias("outlier_pct"))
@@ -116,13 +127,13 @@ def a7_iqr_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def a8_zscore_summary(df: DataFrame, columns: list[str], threshold: float = 3.0) -> DataFrame:
     """Count of |z| > threshold with population std over non-NULL values; pct over all rows."""
-    long = _long(df, columns)
-    st = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"),
-        F.count(F.lit(1)).alias("n_rows"))
-    z = F.abs(F.col("value") - F.col("mean")) / F.col("std_pop")
-    out = long.join(F.broadcast(st), "feature").groupBy("feature", "mean", "std_pop", "n_rows").agg(
-        count_if(z > F.lit(threshold)).alias("n_outliers"))
+    st = write_table(per_column(df, columns, lambda c, v: [
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.count(F.lit(1)).alias("n_rows")]))
+    by_feature = st.agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("mean", "std_pop")))).alias("_f"))  # one row, an entry a column
+    counts = per_column(df.crossJoin(F.broadcast(by_feature)), columns, lambda c, v: [
+        count_if(F.abs(v - F.col("_f")[c]["mean"]) / F.col("_f")[c]["std_pop"] > F.lit(threshold)).alias("n_outliers")])
+    out = st.join(counts, "feature")
     return out.select("feature", "mean", "std_pop", "n_outliers",
                       pct(F.col("n_outliers"), F.col("n_rows")).alias("outlier_pct"))
 
@@ -154,9 +165,9 @@ def a10_overview(df: DataFrame) -> DataFrame:
 def a11_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column."""
     long = _long(df, columns)
-    basic = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    basic = per_column(df, columns, lambda c, v: [
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max")])
     q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75]).select(
         "feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     return basic.join(q, "feature", "left").select(
@@ -171,11 +182,9 @@ def a12_first_per_group(df: DataFrame, group_col: str, value_col: str, digits: i
 def a13_feature_profile(df: DataFrame, features: list[str]) -> DataFrame:
     """Feature schema rows: dtype, min, max, mean, sample std, NULL count."""
     dtypes = dict(df.dtypes)
-    long = _long(df, features)
-    return long.groupBy("feature").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), count_if(F.col("value").isNull()).alias("nulls"),
-    ).select("feature", map_lookup(dtypes, F.col("feature")).alias("dtype"),
+    return per_column(df, features, lambda c, v: [
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        count_if(v.isNull()).alias("nulls")]).select("feature", map_lookup(dtypes, F.col("feature")).alias("dtype"),
              "min", "max", "mean", "std", "nulls")
 
 
