@@ -95,3 +95,16 @@ def test_t1_request_stream(spark, scratch):
     with pytest.raises(ValueError):
         t1_score_request_stream(spark, inbox, model, K.CLAIM_CLASSES, K.HOSPITAL_ENCODING_MAPS,
                                 S.CLAIM_REQUEST_BOUNDS, [], os.path.join(scratch, "l2"), os.path.join(scratch, "c2"))
+
+
+def test_cuts_are_deleted_with_their_block(spark):
+    from wardflow import session
+
+    with session.cuts(spark):
+        kept = session.write_table(spark.range(5))
+        folder = session._written[-1]
+        with session.cuts(spark):
+            assert session.write_table(spark.range(3)).count() == 3
+        assert kept.count() == 5
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,13 +94,32 @@ def write_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 materialize = write_table
 
+#: Paths of the tables written so far that no ``cuts`` block has deleted.
+_written: list[str] = []
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+
+@contextmanager
+def cuts(spark: SparkSession) -> Iterator[None]:
+    """Owner of the intermediate tables that are written inside the block.
+
+    They are deleted when it ends, so consume the results inside::
+
+        with cuts(spark):
+            query(spark, folder).write.parquet(target)
+    """
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written[mark:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _written[mark:]
