@@ -122,7 +122,7 @@ def _op10_sql() -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_captures(read_table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
-    captures = warc.assemble(warc.read_records(spark, path))
+    captures = warc.assemble(warc.without_payloads(warc.read_records(spark, path)))
     page = F.regexp_extract(F.element_at("metadata", 1)["warc_fields"], r"pageId: (-?\d+)", 1)
     origin = F.regexp_extract("response.refers_to", r"urn:capture:(-?\d*):", 1)
     number = lambda c: F.when(c != "", c).cast("long")

@@ -184,12 +184,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(_parse, _RECORD)
 
 
+def without_payloads(records: DataFrame) -> DataFrame:
+    """The records written once with null payloads of responses; size and digest stay.
+
+    For callers that do not return payloads: the archives are parsed once, and
+    the capture join shuffles headers only.
+    """
+    return write_table(records.withColumn("payload", F.when(~F.col("record_type").isin(*PRINCIPAL), F.col("payload"))))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: ``capture_id``, ``response``, and the arrays ``requests`` and ``metadata``.
 
     ``response.record_id`` is null where no response, revisit or resource record
-    was found.  Fields that a query does not select, such as the payload, are not
-    shuffled.
+    was found.
     """
     main = F.col("record_type").isin(*PRINCIPAL)
     others = records.where(~main | F.col("record_type").isNull())
