@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
-from wardflow.functions.scalar import count_if, flag_sum, is_blank, map_lookup, pct
+from wardflow.functions.scalar import count_if, flag_sum, is_blank, map_lookup, pct, year_month
 from wardflow.sources.tables import Tables
 
 
@@ -114,7 +114,7 @@ def q7_nulls_by_month(df: DataFrame, columns: list[str] = ("approved_amount", "p
                       date_col: str = "billing_date") -> DataFrame:
     """NULL counts per 'yyyy-MM' of a date column, long (month, column_name, null_count)."""
     cols = list(columns)
-    wide = df.groupBy(F.date_format(date_col, "yyyy-MM").alias("month")).agg(
+    wide = df.groupBy(year_month(F.col(date_col)).alias("month")).agg(
         *[count_if(F.col(c).isNull()).alias(c) for c in cols]
     )
     return wide.unpivot("month", cols, "column_name", "null_count")

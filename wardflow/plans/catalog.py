@@ -20,7 +20,7 @@ from wardflow.operators import stats as A
 from wardflow.operators import reports as R
 from wardflow.operators import scoring as S
 from wardflow.sources import logs as L
-from wardflow.functions.scalar import map_lookup
+from wardflow.functions.scalar import decode, map_lookup
 from wardflow.session import materialize
 from wardflow.sources.tables import Tables, from_testdata
 from wardflow.sources.tables import merged_frame
@@ -518,6 +518,50 @@ JOIN billing b ON v.visit_id = b.visit_id
 GROUP BY p.insurance_provider"""
 
 
+def _csv_tables(t: Tables):
+    """S7 then S1: the tables written as header CSV and read back with the declared schemas."""
+    from wardflow.sources.tables import read_csv_tables
+
+    paths = [_log_dir(t, name) for name in ("patients-csv", "visits-csv", "billing-csv")]
+    for df, path in zip((t.patients, t.visits, t.billing), paths, strict=True):
+        L.write_csv(df, path)
+    return read_csv_tables(t.spark, *paths)
+
+
+def _s9(t: Tables):
+    """S8 then S9: the feature schema of the training rows as JSON and back."""
+    path = _log_dir(t, "feature-schema")
+    tr, _ = _train_new(t)
+    L.write_json(A.a13_feature_profile(tr, K.MODEL_FEATURES_U), path)
+    return L.read_json(t.spark, path, L.FEATURE_SCHEMA_SCHEMA)
+
+
+def _s13(t: Tables):
+    """Audit log: one row a prediction and one drift event, then its summary."""
+    path = _log_dir(t, "audit-log")
+    L.append_audit_predictions(_baseline_responses(t), "claim_centroid", path)
+    L.append_audit_event(t.spark, path, "drift_alert", "feature drift", timestamp="1990-01-01T00:00:00.000000")
+    return L.audit_log_summary(L.load_audit_log(t.spark, path))
+
+
+def _f11(t: Tables):
+    """Every category encoded and decoded again, counted by its label."""
+    from pyspark.sql import functions as F
+
+    maps = K.testdata_encoding_maps()
+    cols = [decode(maps[c], map_lookup(maps[c], F.col(c), "int")).alias(c) for c in K.CATEGORY_FIELDS]
+    return A.a1_value_counts(merged_frame(t).select(*cols), K.CATEGORY_FIELDS).select("column_name", "value", "count")
+
+
+def _e12(t: Tables):
+    """Balanced class weights as they stand on the rows."""
+    from pyspark.sql import functions as F
+
+    rows = merged_frame(t).where("claim_status is not null").select("claim_status")
+    return E.balanced_class_weights(rows, "claim_status").groupBy("claim_status").agg(
+        F.min("weight").alias("weight"), F.sum("weight").alias("total_weight"))
+
+
 def _s5(t: Tables):
     """S2 + S5: register the tables and views, run a report given as SQL text."""
     from wardflow.sources.tables import register_views, run_query
@@ -552,7 +596,12 @@ for _name, _fn in [
     ("s3_hospital_master", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).hospital_master(t)),
     ("s4_visits_patients", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).visits_patients(t)),
     ("j2_merged_frame", merged_frame),
+    ("s1_csv_kpi_snapshot", lambda t: R.r11_kpi_snapshot(_csv_tables(t))),
     ("s5_sql_fin02", _s5),
+    ("s9_feature_schema_json", _s9),
+    ("s13_audit_summary", _s13),
+    ("f11_decoded_categories", _f11),
+    ("e12_class_weights", _e12),
     ("f18_rejection_actions", _f18),
     ("m10_model_metadata", _m10),
     ("d6_retrain_rules", _d6),

@@ -101,16 +101,6 @@ def read_csv_tables(
     )
 
 
-def read_parquet_tables(spark: SparkSession, patients_path: str, visits_path: str,
-                        billing_path: str) -> Tables:
-    """Same three tables stored as parquet (projected to the declared columns)."""
-    return Tables(
-        patients=spark.read.parquet(patients_path).select(*PATIENT_COLUMNS),
-        visits=spark.read.parquet(visits_path).select(*VISIT_COLUMNS),
-        billing=spark.read.parquet(billing_path).select(*BILLING_COLUMNS),
-    )
-
-
 # ------------------------------------------------------------ test-data adapter
 def _mod(c: Column, n: int) -> Column:
     return c % F.lit(n)
