@@ -1,6 +1,6 @@
 """Run registered Spark queries and their DuckDB oracles side by side.
 
-Usage: python tests/oracle_harness.py [sf_dir] [name-substring ...]
+Usage: python tests/oracle_harness.py [sf_dir] [name-prefix ...]
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
     con = duck(sf_dir)
     results = {}
     for name, fn in qs.items():
-        if names and not any(n in name for n in names):
+        if names and not any(name.startswith(n) for n in names):
             continue
         t0 = time.time()
         df = fn(spark, sf_dir)
