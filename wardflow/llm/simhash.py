@@ -267,7 +267,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     comp = write_table(simhash_components(docs, id_col, text_col, shingle_words, max_bits))
     gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    # one plan at every size: the ids that go are not bounded, so they are merged, never broadcast
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
     repeated = comp.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").drop("count")
     if not repeated.head(1):
         return kept
