@@ -58,3 +58,37 @@ def test_consensus_path_and_rows(spark):
     assert by[10].text == by[11].text == "" and by[10].n_chars == 0
     assert by[12].text == "x" and by[None].text == TEXT
     assert hx.extract_text(df.limit(0)).count() == 0
+
+
+LONG = "<p>" + "Body of the story. " * 30 + "</p>"
+BODY = ("Body of the story. " * 30).strip()
+
+
+@pytest.mark.parametrize("inner,want", [
+    (f"<div class='title'><h1>Head</h1></div><div class='entry'>{LONG}</div>", f"Head\n{BODY}"),
+    (f"<h1>Head</h1><div class='lead'><p>A lead of some words here.</p></div><div class='entry'>{LONG}</div>",
+     f"Head\nA lead of some words here.\n{BODY}"),
+    (f"<div class='a'>{LONG}</div><div class='b'>{LONG}</div><div class='c'><p>The end.</p></div>", f"{BODY}\n{BODY}\nThe end."),
+    (f"<p>Before</p><table><tr><td>{BODY}</td><td>12</td></tr></table><p>After</p>", f"Before\n{BODY}\n12\nAfter"),
+    (f"Beside<section>{LONG}</section>", f"Beside\n{BODY}"),
+    (f"<div class='in'><div class='entry'>{LONG}</div></div><div class='by'>by me</div><div class='t'><h2>Head</h2></div>",
+     f"{BODY}\nby me\nHead"),
+])
+def test_parts_without_an_article_element(inner, want):
+    for html in (page(f"<div class='post'>{inner}</div>"), page(inner)):
+        p = hx.Page(html)
+        votes = p.votes()
+        assert p.text(None) == p.text(max(votes, key=lambda x: (votes[x], x))) == want
+
+
+def test_headline_beside_the_article_element():
+    assert hx.Page(page(f"<main><div class='t'><h1>Head</h1></div><article>{LONG}</article></main>")).text(None) == f"Head\n{BODY}"
+    assert hx.Page(page(f"<p>Site words.</p><article><h1>Head</h1>{LONG}</article>")).text(None) == f"Head\n{BODY}"
+
+
+def test_pages_without_a_lead_do_not_outvote_those_with_one(spark):
+    entry = f"<div class='entry'>{LONG}</div>"
+    rows = [(i, f"http://a.example/{i}", page(f"<div class='post'>{lead if i == 0 else ''}{entry}</div>"))
+            for i, lead in enumerate(["<div class='lead'><p>Some lead.</p></div>"] * 5)]
+    got = {r.page_id: r.text for r in hx.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: f"Some lead.\n{BODY}"} | dict.fromkeys(range(1, 5), BODY)

@@ -1,13 +1,18 @@
 """Main-text extraction by consensus host paths.
 
-Pass one scores the containers of every page and votes for their generalised
-paths (tag and class names, digits as ``#``); Spark sums the votes per host.
-Pass two extracts every page again with its host's winning path.  A container's
-vote is the share of the page's clean text that it holds beyond its largest
-child container, so the innermost container around the whole text wins; an
-``article`` or ``main`` element gets its share once more.  One page has at most
-one vote a path, and votes are whole numbers, so the winner does not depend on
-the order of rows.
+Pass one picks the generalised container path (tag and class names, digits as
+``#``) around the whole text of every page; Spark sums the votes per host.  Pass
+two extracts every page again with its host's winning path.  Containers of one
+path count together.  The pick starts at the deepest path that holds at least
+90% of the page's clean text outside links, and climbs to every path above that
+adds article text: a heading, text right beside the container, a sentence, or
+40 characters in all.  An ``article`` or ``main`` with at least half of the text
+is taken as the author's own mark: the pick starts there, and climbs only for a
+headline (``h1``) that it lacks, within a ``main`` or, if it has no heading at
+all, anywhere.  A page votes for its pick and for the paths above that hold the
+very same text, so pages without a lead do not outvote those with one.  A path
+has one vote a page, and votes are whole numbers, so the winner does not depend
+on the order of rows.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are known by element and by class, id or role name, and are left
@@ -51,6 +56,11 @@ NOISE = frozenset(
     "notice notices pagination popup promo promoted promotion related replies reply respond share sharing sidebar "
     "signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split())
 HEADER = frozenset("header site-header page-header topbar".split())
+#: Share of the text that a pick starts from (percent), length at which added text counts by itself.
+NEARLY_ALL = 90
+PART_CHARS = 40
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ENDS = (".", "!", "?", "\u2026", "\u3002", "\uff01", "\uff1f")
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
@@ -60,11 +70,11 @@ PARTS = re.compile(r"[^a-z]+")
 
 
 class Page:
-    """Containers ``(parent, tag, path)`` and clean blocks ``(container, text, link characters)`` of a page."""
+    """Containers ``(parent, tag, path)`` and clean blocks ``(container, text, link characters, heading)`` of a page."""
 
     def __init__(self, source: str) -> None:
         self.nodes: list[tuple[int, str, str]] = [(-1, "body", "body")]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, str]] = []
         self._read(source)
 
     @staticmethod
@@ -89,7 +99,8 @@ class Page:
             if held:
                 text = " ".join("".join(held).split())
                 if text:
-                    self.blocks.append((stack[-1][1], text, linked))
+                    heading = next((x[0] for x in reversed(stack) if x[0] in HEADINGS or x[0] in CONTAINER), "")
+                    self.blocks.append((stack[-1][1], text, linked, heading if heading in HEADINGS else ""))
                 held.clear()
             linked = 0
 
@@ -169,25 +180,86 @@ class Page:
             if stack[i][0] in ends:
                 close(i)
                 return
-            if stack[i][0] in BLOCK and stack[i][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if stack[i][0] in BLOCK and stack[i][0] != "p" and stack[i][0] not in HEADINGS:
                 return
 
+    def _paths(self) -> tuple[list[str], list[int], list[str], list[int], list[list[tuple]]]:
+        """Paths in order of their first container: (path, parent, tag, clean characters inside, own blocks)."""
+        at: dict[str, int] = {}
+        names, parents, tags = [], [], []
+        for parent, tag, path in self.nodes:
+            if path not in at:
+                at[path] = len(names)
+                names.append(path)
+                parents.append(at[self.nodes[parent][2]] if parent >= 0 else -1)
+                tags.append(tag)
+        total, own = [0] * len(names), [[] for _ in names]
+        for x in self.blocks:
+            k = at[self.nodes[x[0]][2]]
+            own[k].append(x)
+            total[k] += max(0, len(x[1]) - x[2])
+        for i in range(len(names) - 1, 0, -1):
+            total[parents[i]] += total[i]
+        return names, parents, tags, total, own
+
+    def picks(self) -> list[str]:
+        """The path around the page's whole text, then the paths above that hold the same; empty without clean text."""
+        names, parents, tags, total, own = self._paths()
+        if not total[0]:
+            return []
+        depth, below = [0] * len(names), [[] for _ in names]
+        for i in range(1, len(names)):
+            depth[i] = depth[parents[i]] + 1
+            below[parents[i]].append(i)
+
+        def deepest(inside: int, kinds: tuple[str, ...] = ()) -> int:
+            """The deepest path, of the given tags, with nearly all of the text of ``inside``."""
+            found, at = inside, inside
+            while True:
+                at = max(below[at], key=lambda i: total[i], default=-1)
+                if at < 0 or 100 * total[at] < NEARLY_ALL * total[inside]:
+                    return found
+                if not kinds or tags[at] in kinds:
+                    found = at
+
+        # the outermost mark with half of the text, then the deepest one with nearly all of that one's text
+        marks = [i for i in range(len(names)) if tags[i] in ("article", "main") and 2 * total[i] >= total[0]]
+        pick = (deepest(min(marks, key=lambda i: (depth[i], -total[i])), ("article", "main")) if marks else deepest(0))
+
+        def blocks(path: int, skip: int = -1) -> list[tuple[int, str, int, str]]:
+            todo, out = [path], []
+            while todo:
+                k = todo.pop()
+                if k != skip:
+                    out.extend(own[k])
+                    todo.extend(below[k])
+            return out
+
+        headings = {x[3] for x in blocks(pick)} - {""}
+        equal, added, same, at = [], [], True, pick
+        while parents[at] >= 0:
+            under, at = at, parents[at]
+            more = blocks(at, under)
+            same = same and not more
+            if same:
+                equal.append(at)
+                continue
+            added += [x for x in more if 2 * x[2] <= len(x[1])]
+            beside = [x for x in own[at] if 2 * x[2] <= len(x[1])]
+            climb = "h1" not in headings and any(x[3] == "h1" for x in added)
+            if marks:
+                climb = climb and (tags[at] in ("article", "main") or not headings)
+            else:
+                climb = (climb or bool(beside) or any(x[3] or x[1].endswith(ENDS) for x in added)
+                         or sum(len(x[1]) - x[2] for x in added) >= PART_CHARS)
+            if climb:
+                headings |= {x[3] for x in added} - {""}
+                pick, equal, added, same = at, [], [], True
+        return [names[i] for i in (pick, *equal)]
+
     def votes(self) -> dict[str, int]:
-        """Votes in millionths by path."""
-        total, child = [0] * len(self.nodes), [0] * len(self.nodes)
-        for node, block, linked in self.blocks:
-            total[node] += max(0, len(block) - linked)
-        for i in range(len(self.nodes) - 1, 0, -1):
-            parent = self.nodes[i][0]
-            total[parent] += total[i]
-            child[parent] = max(child[parent], total[i])
-        out: dict[str, int] = {}
-        if total[0]:
-            for i, (_, tag, path) in enumerate(self.nodes):
-                gain = total[i] - child[i] + (total[i] if tag in ("article", "main") else 0)
-                if gain > 0:
-                    out[path] = max(out.get(path, 0), 1_000_000 * gain // total[0])
-        return out
+        """Votes by path: one for the page's pick and for each path above with the same text."""
+        return dict.fromkeys(self.picks(), 1)
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers with ``path``, or else with the page's own best path."""
@@ -195,14 +267,13 @@ class Page:
             path = None
         if path is not None and (found := self._inside(path)):
             return found
-        votes = self.votes()
-        return self._inside(max(votes, key=lambda x: (votes[x], x))) if votes else self._inside("body")
+        return self._inside(next(iter(self.picks()), "body"))
 
     def _inside(self, path: str) -> str:
         chosen: list[bool] = []
         for parent, _, own in self.nodes:
             chosen.append(own == path or (parent >= 0 and chosen[parent]))
-        return "\n".join(text for node, text, _ in self.blocks if chosen[node])
+        return "\n".join(text for node, text, _, _ in self.blocks if chosen[node])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
