@@ -92,3 +92,30 @@ def test_pages_without_a_lead_do_not_outvote_those_with_one(spark):
             for i, lead in enumerate(["<div class='lead'><p>Some lead.</p></div>"] * 5)]
     got = {r.page_id: r.text for r in hx.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: f"Some lead.\n{BODY}"} | dict.fromkeys(range(1, 5), BODY)
+
+
+@pytest.mark.parametrize("html", [
+    page(f"<div class='content no-sidebar'>{ARTICLE}</div>"), page(f"<div id='content-sidebar-wrap'>{ARTICLE}</div>"),
+    page(f"<main class='has-sidebar'>{ARTICLE}</main>"), page(f"<article class='post comments-open'>{ARTICLE}</article>"),
+    page(f"<div class='with-widgets nav-open has-header'>{ARTICLE}</div>"), page(f"<main id='main-menu'>{ARTICLE}</main>"),
+    page(f"<article class='post sponsored-post share-top'>{ARTICLE}</article>"),
+    f"<html class='no-js cookies'><head><title>T</title></head><body class='sidebar'><div>{ARTICLE}</div></body></html>",
+    f"<html><head><title>T</title><meta charset='utf-8'><body>{ARTICLE}</body></html>",
+    f"<html><head><title>T</title><link rel='x'><div>{ARTICLE}</div></html>",
+    page(f"<div class='post'><header class='entry-header'><h1>Title &amp; more</h1></header>{ARTICLE[ARTICLE.index('<p>'):]}</div>"),
+    page(f"<div class='post'><div class='post-header'><h1>Title &amp; more</h1></div>{ARTICLE[ARTICLE.index('<p>'):]}</div>"),
+    page(f"<form id='aspnet'><div class='menu'>A menu</div><div>{ARTICLE}</div></form>"),
+    page(f"<nav>Home</nav><div class='notice'>{ARTICLE}</div>"), page(f"<nav>{ARTICLE}</nav>"),
+])
+def test_names_that_only_mention_a_noise_part(html):
+    assert hx.Page(html).text(None) == TEXT
+
+
+def test_text_in_a_head_without_an_end():
+    assert hx.Page("<head><title>T</title> Some <b>text</b>").text(None) == "Some text"
+
+
+@pytest.mark.parametrize("name", ["sidebar-2", "comment-list", "site-footer", "main-nav", "left-sidebar", "related-posts", "ad_slot_3",
+                                  "post-comments", "main-header", "page-header", "entry-footer", "share-buttons", "cookie-notice"])
+def test_known_forms_of_noise_names(name):
+    assert hx.Page(page(f"<div class='{name}'><p>Some other words, ending here.</p></div><div class='post'>{ARTICLE}</div>")).text(None) == TEXT

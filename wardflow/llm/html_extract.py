@@ -16,9 +16,16 @@ on the order of rows.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are known by element and by class, id or role name, and are left
-out of votes and text alike.  A block is the text between two block-level tags.
-
-Defined cases: a null page is empty; a page without clean text gives an empty
+out of votes and text alike.  A name counts as a whole (``sidebar``) or with
+neutral words and numbers (``sidebar-2``, ``comment-list``, ``site-footer``), not
+where it only tells of such a part (``no-sidebar``, ``comments-open``,
+``content-sidebar-wrap``); ``html``, ``body`` and ``main`` are never left out by a
+name, an ``article`` only by a whole one.  A block is the text between two
+block-level tags.  If nothing is left of a page, it is read again with forms,
+then without regard to names, then with every element but the head; such a page
+does not vote.
+
+Defined cases: a null page is empty; a page without any text gives an empty
 text; a page that lacks its host's path uses its own best path; a page without
 a host (null or odd url) votes with the others of that kind; equal votes go to
 the later path in string order; repeated rows vote and are returned row by row;
@@ -31,6 +38,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,7 +63,16 @@ NOISE = frozenset(
     "cookie cookies copyright discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination popup promo promoted promotion related replies reply respond share sharing sidebar "
     "signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split())
-HEADER = frozenset("header site-header page-header topbar".split())
+HEADER = frozenset("header topbar".split())
+#: Words that may stand before and after such a name, and those that make a header the article's own.
+BEFORE = frozenset("bottom desktop footer global google left main mobile page primary right secondary site sub top".split())
+OWN = frozenset("article entry post story".split())
+AFTER = frozenset(
+    "area articles bar block body bottom box button buttons count desktop form heading icon icons inner item items left "
+    "link links list main message mobile policy posts primary right secondary section slot stories text thread title top "
+    "trail unit".split())
+IN_HEAD = frozenset("base head link meta noscript script style template title".split())
+FORMS = frozenset("button dialog form".split())
 #: Share of the text that a pick starts from (percent), length at which added text counts by itself.
 NEARLY_ALL = 90
 PART_CHARS = 40
@@ -69,30 +86,57 @@ DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[^a-z]+")
 
 
+@lru_cache(65536)
+def _marks(name: str, kind: frozenset[str], before: frozenset[str]) -> bool:
+    """Whether a class, id or role name stands for a part of that kind."""
+    parts = [x for x in PARTS.split(name) if x]
+    at = [i for i, x in enumerate(parts) if x in kind]
+    return bool(at) and all(x in kind or (x in before if i < at[0] else x in AFTER) for i, x in enumerate(parts))
+
+
 class Page:
     """Containers ``(parent, tag, path)`` and clean blocks ``(container, text, link characters, heading)`` of a page."""
 
     def __init__(self, source: str) -> None:
-        self.nodes: list[tuple[int, str, str]] = [(-1, "body", "body")]
-        self.blocks: list[tuple[int, str, int, str]] = []
-        self._read(source)
+        for self.level in range(4):
+            self.nodes: list[tuple[int, str, str]] = [(-1, "body", "body")]
+            self.blocks: list[tuple[int, str, int, str]] = []
+            self._read(source)
+            if self.blocks or not source:
+                return
 
     @staticmethod
-    def _names(attributes: str) -> tuple[list[str], set[str]]:
-        """(class names, parts of class, id and role names), in lower case."""
-        classes, parts = [], set()
+    def _names(attributes: str) -> tuple[list[str], list[str]]:
+        """(class names, class, id and role names), in lower case."""
+        classes, names = [], []
         for kind, a, b, c in NAMES.findall(attributes):
-            value = (a or b or c).lower()
-            parts.update(PARTS.split(value))
-            parts.update(value.split())
+            value = (a or b or c).lower().split()
+            names.extend(value)
             if kind.lower() == "class":
-                classes.extend(value.split())
-        return classes, parts
+                classes.extend(value)
+        return classes, names
+
+    def _left_out(self, tag: str, names: list[str], article: bool) -> bool:
+        """Whether an element is no part of the text; ``article`` tells that it stands inside an article."""
+        if tag == "head":
+            return True
+        if tag in ("html", "body") or self.level == 3:
+            return False
+        if tag in DROPPED and not (self.level and tag in FORMS):
+            return True
+        if tag == "header" and not article and not any(OWN & set(PARTS.split(x)) for x in names):
+            return True
+        if tag == "main" or self.level == 2:
+            return False
+        if tag == "article":
+            return any(x.rstrip("-_0123456789") in NOISE for x in names)
+        return any(_marks(x, NOISE, BEFORE | OWN) or (not article and _marks(x, HEADER, BEFORE)) for x in names)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # (tag, container, left out)
         held: list[str] = []
         links = linked = 0
+        body = False
 
         def flush() -> None:
             nonlocal linked
@@ -113,6 +157,8 @@ class Page:
 
         def text(piece: str) -> None:
             nonlocal linked
+            if stack[-1][0] == "head" and piece.strip():
+                close(len(stack) - 1)
             if stack[-1][2] or not piece:
                 return
             if "&" in piece:
@@ -142,6 +188,8 @@ class Page:
                     if tag in BLOCK:
                         flush()
                 continue
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)  # its end tag may be omitted
             if tag in RAW:
                 stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = stop.end() if stop else end if tag in ("script", "style") else at
@@ -156,14 +204,12 @@ class Page:
                 self._imply(tag, stack, close)
                 flush()
             _, container, out = stack[-1]
+            if tag == "body" and not body:
+                body, out = True, False
             if not out:
-                classes, parts = self._names(attributes) if attributes else ([], set())
-                article = any(x[0] in ("article", "main") for x in stack)
-                out = (tag in DROPPED or bool(parts & NOISE)
-                       or (not article and (tag == "header" or bool(parts & HEADER))))
-                if tag == "body":
-                    out = False
-                elif tag in CONTAINER and not out:
+                classes, names = self._names(attributes) if attributes else ([], [])
+                out = self._left_out(tag, names, any(x[0] in ("article", "main") for x in stack))
+                if tag in CONTAINER and tag != "body" and not out:
                     label = ".".join([tag, *sorted({DIGITS.sub("#", x) for x in classes})])
                     self.nodes.append((container, tag, f"{self.nodes[container][2]}>{label}"))
                     container = len(self.nodes) - 1
@@ -259,7 +305,7 @@ class Page:
 
     def votes(self) -> dict[str, int]:
         """Votes by path: one for the page's pick and for each path above with the same text."""
-        return dict.fromkeys(self.picks(), 1)
+        return {} if self.level else dict.fromkeys(self.picks(), 1)
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers with ``path``, or else with the page's own best path."""
