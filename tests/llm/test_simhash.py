@@ -123,3 +123,15 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         simhash.simhash_components(df, max_bits=3)
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    """Every group keeps one row with an id, whatever other texts its ids have; and at most one row without."""
+    a, b, c, d, e = (prose(i, 80) for i in range(11, 16))
+    rows = [(5, a), (7, a), (8, a), (3, b), (5, b), (9, c), (9, d), (10, d), (2, e), (2, e.upper()),
+            (None, a), (None, a), (None, a.upper()), (None, prose(20, 80)), (None, prose(20, 80)), (4, None), (4, ""), (6, " ")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(with_clashes(docs(spark, rows))).collect()]
+    lower = sorted((str(i), (t or "").lower()) for i, t in kept)
+    want = [(5, a), (3, b), (9, c), (9, d), (2, e), (None, a), (None, prose(20, 80)), (4, "")]
+    assert lower == sorted((str(i), t.lower()) for i, t in want)
+    assert all(x in rows for x in kept)

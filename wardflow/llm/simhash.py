@@ -35,11 +35,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.session import write_table
 
+from .common import temp_name
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -105,19 +106,21 @@ def fingerprint(text: bytes | None, shingle_words: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one signed 64-bit fingerprint a row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = 3, row: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)``: one signed 64-bit fingerprint a row; with the long ``row``, ``(doc_id, th, fp)``."""
+
+    names = ["doc_id", "fp"] if row is None else ["doc_id", "th", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x.as_py(), shingle_words) for x in b.column(1)]
+            fps = [fingerprint(x.as_py(), shingle_words) for x in b.column(b.num_columns - 1)]
             yield pa.record_batch(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [*b.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=names
             )
 
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
-    ).mapInArrow(run, "doc_id long, fp long")
+    keys = [F.col(id_col).cast("long").alias("doc_id"), *([] if row is None else [row.alias("th")])]
+    return docs.select(*keys, F.col(text_col).cast("binary").alias("text")).mapInArrow(
+        run, ", ".join(f"{x} long" for x in names))
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +242,21 @@ def simhash_components(
 
     ``max_bits`` must be 2, the distance the keys and the ball words are built for.
     """
+    fps = _written_fingerprints(docs, id_col, text_col, shingle_words, max_bits)
+    by_fp = _group_minima(fps, {"component_id": F.col("doc_id")}, max_bits, max_run)
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _written_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int,
+                          row: Column | None = None) -> DataFrame:
     if max_bits != 2:
         raise ValueError("the Golay keys and ball words are built for two differing bits")
-    fps = write_table(fingerprints(docs, id_col, text_col, shingle_words))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    return write_table(fingerprints(docs, id_col, text_col, shingle_words, row))
+
+
+def _group_minima(fps: DataFrame, values: dict[str, Column], max_bits: int, max_run: int) -> DataFrame:
+    """``fp`` and, of each value, the smallest one over the rows of the fingerprint's component."""
+    nodes = fps.groupBy("fp").agg(*[F.min(v).alias(k) for k, v in values.items()])
     keyed = nodes.select("fp").mapInArrow(_key_rows, "key long, fp long")
     links = write_table(
         keyed.repartition("key").sortWithinPartitions("key", "fp")
@@ -252,26 +266,41 @@ def simhash_components(
     by_word = hot.groupBy("word").agg(F.min("a").alias("b"))
     edges = links.where("word is null").select("a", "b").union(hot.join(by_word, "word").select("a", "b"))
     groups = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    labelled = nodes.join(groups, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    labelled = nodes.join(groups, "fp", "left").select("fp", *values, F.coalesce("root", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(*[F.min(k).alias(k) for k in values])
+    return labelled.select("fp", "root").join(smallest, "root").select("fp", *values)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
              max_bits: int = 2) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; columns unchanged.
+    """``docs`` with one row of each component, that of the smallest id; columns unchanged.
 
-    Rows with a null id are kept.  Of rows that repeat a kept id, the one with
-    the smallest text stays.
+    Rows are told apart by id and text: of rows that share the smallest id, the
+    one with the smallest text hash stays, and of equal texts the one that is
+    smallest as JSON.  A row with a null id is not known to be the document of
+    any id, so one such row a component, chosen in the same way, stays as well.
     """
-    comp = write_table(simhash_components(docs, id_col, text_col, shingle_words, max_bits))
-    gone = comp.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    # one plan at every size: the ids that go are not bounded, so they are merged, never broadcast
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
-    repeated = comp.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").drop("count")
+    d, t = temp_name(docs, "doc"), temp_name(docs, "th")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    fps = _written_fingerprints(docs, id_col, text_col, shingle_words, max_bits, text_hash)
+    own = F.struct("doc_id", "th")
+    by_fp = _group_minima(fps, {"best": F.when(F.col("doc_id").isNotNull(), own), "best_null": F.when(
+        F.col("doc_id").isNull(), F.col("th"))}, max_bits, MAX_RUN)
+    stays = F.when(F.col("doc_id").isNull(), F.col("th") == F.col("best_null")).otherwise(own == F.col("best"))
+    rows = write_table(fps.join(by_fp, "fp").select(F.col("doc_id").alias(d), F.col("th").alias(t), stays.alias("stays")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(*names, text_hash.alias(f"{t}_own"))
+
+    def same(which: DataFrame) -> Column:
+        return F.col(f"`{id_col}`").cast("long").eqNullSafe(which[d]) & (F.col(f"{t}_own") == which[t])
+
+    # one plan at every size: the rows that go are not bounded, so they are merged, never broadcast
+    gone = rows.where("not stays").select(d, t).distinct().hint("merge")
+    kept = hashed.join(gone, same(gone), "left_anti")
+    repeated = rows.where("stays").groupBy(d, t).count().where("count > 1").drop("count")
     if not repeated.head(1):
-        return kept
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col), F.lit("")))
-    again = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(row.alias("__row")).select("__row.*")
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(again)
+        return kept.select(*names)
+    first = F.min_by(F.struct(*names), F.to_json(F.struct(*names)))
+    again = kept.join(repeated, same(repeated), "left_semi").groupBy(
+        F.col(f"`{id_col}`").cast("long"), f"{t}_own").agg(first.alias(d)).select(f"{d}.*")
+    return kept.join(repeated, same(repeated), "left_anti").select(*names).union(again)
