@@ -83,6 +83,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """An unused path under the shared checkpoint folder; the next ``cuts`` block to end deletes it."""
+    path = os.path.join(checkpoint_dir(spark), kind, uuid.uuid4().hex)
+    _written.append(path)
+    return path
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
@@ -93,15 +100,14 @@ def write_table(df: DataFrame) -> DataFrame:
     the files instead of recomputing the upstream joins.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
-    _written.append(path)
+    path = new_folder(spark, "tables")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 materialize = write_table
 
-#: Paths of the tables written so far that no ``cuts`` block has deleted.
+#: Paths handed out so far that no ``cuts`` block has deleted.
 _written: list[str] = []
 
 
