@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as qr
-from . import chat, decontaminate, html_extract, langid, packing, pu_quality, simhash, suffix_dedup, warc
+from . import (
+    chat, decontaminate, filter_audit, html_extract, langid, merkle, packing, pu_quality, simhash, suffix_dedup, warc,
+)
 from .common import read_table
 
 
@@ -172,6 +174,85 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+     100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+     regexp_matches(text, '[#$%&*|]'),
+     coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t,
+    len(list_filter(fails, lambda x: x)) AS k FROM f GROUP BY part, fails),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT ord, step, ord[step] AS own, ord[:step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+j AS (SELECT c.*, s.*, fails[own] AS bad, len(list_filter(earlier, lambda e: fails[e])) > 0 AS gone FROM c, s)
+SELECT part, array_to_string(list_transform(ord, lambda i: substr('ABCDE', i::INT, 1)), '') AS filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (bad AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (bad AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (bad AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(g) FILTER (bad AND NOT gone), 0)::BIGINT AS good_lost,
+  coalesce(sum(t) FILTER (bad AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(k, 1))) FILTER (bad), 0)::BIGINT AS shapley
+FROM j GROUP BY part, ord, step
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are tampered with: their text loses its line breaks."""
+    row = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), forged=F.when(odd, merkle.digest_of(*row)))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS forged
+  FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+    lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)), lambda c, b: list_reduce(
+      list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)), 4294967295::BIGINT) AS crc
+    FROM documents)),
+e AS (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM t),
+leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(forged) || ':' || forged, '-')) AS changed FROM e),
+docs AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY s) AS n FROM leaves),
+nodes AS (SELECT s, 0 AS lvl, i, n, leaf AS h FROM docs
+  UNION ALL SELECT s, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1
+    GROUP BY s, lvl, i // 3, n),
+subroots AS (SELECT s, h, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, s AS i, n, h FROM subroots
+  UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1
+    GROUP BY lvl, i // 3, n),
+runs AS (SELECT s, lvl, i // 3 AS p, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT lvl, i // 3 AS p, list(h ORDER BY i) AS hs FROM tops WHERE n > 1 GROUP BY ALL),
+up AS (SELECT doc_id, leaf, s, 0 AS lvl, i, n, changed AS now, '' AS sib FROM docs
+  UNION ALL SELECT u.doc_id, u.leaf, u.s, u.lvl + 1, u.i // 3, (u.n + 2) // 3,
+    sha256(array_to_string(hs[:u.i % 3], '') || u.now || array_to_string(hs[u.i % 3 + 2:], '')),
+    u.sib || array_to_string(hs[:u.i % 3], '') || array_to_string(hs[u.i % 3 + 2:], '')
+  FROM up u JOIN runs r ON r.s = u.s AND r.lvl = u.lvl AND r.p = u.i // 3 WHERE u.n > 1),
+over_sources AS (SELECT u.doc_id, u.leaf, r.h AS subroot, 0 AS lvl, u.s AS i, r.n, u.now, u.sib
+    FROM up u JOIN subroots r USING (s) WHERE u.n = 1
+  UNION ALL SELECT u.doc_id, u.leaf, u.subroot, u.lvl + 1, u.i // 3, (u.n + 2) // 3,
+    sha256(array_to_string(hs[:u.i % 3], '') || u.now || array_to_string(hs[u.i % 3 + 2:], '')),
+    u.sib || array_to_string(hs[:u.i % 3], '') || array_to_string(hs[u.i % 3 + 2:], '')
+  FROM over_sources u JOIN top_runs r ON r.lvl = u.lvl AND r.p = u.i // 3 WHERE u.n > 1)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(sib) AS proof_sha256, now AS folded_root, now = root.h AS verified
+FROM over_sources, (SELECT h FROM tops WHERE n = 1) root WHERE n = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -183,6 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 
@@ -191,4 +274,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_chat": OP6_SQL, "op2_decontaminate": OP2_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op1_warc": OP1_SQL, "op6_chat": OP6_SQL, "op2_decontaminate": OP2_SQL, "op10_quality_rules": _op10_sql(),
+            "op12_filter_audit": OP12_SQL, "op13_merkle": OP13_SQL}
