@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as qr
 from . import (
-    chat, decontaminate, filter_audit, html_extract, langid, merkle, packing, pu_quality, simhash, suffix_dedup, warc,
+    chat, decontaminate, filter_audit, html_extract, langid, merkle, packing, pu_quality, secret_scan, simhash, suffix_dedup,
+    warc,
 )
 from .common import read_table
 
@@ -174,6 +175,57 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner is a source, and a document a repository of it."""
+    rows = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long")
+    return rows.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secret_scan.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_list(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_example", "n_live")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+p(kind, re) AS (VALUES
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]{24,}'), (3, '[A-Za-z0-9][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9]')),
+m AS (
+  SELECT r, doc_id, source, 0 AS kind, regexp_extract_all(t, (SELECT re FROM p WHERE kind = 0)) AS ms,
+    string_split_regex(t, (SELECT re FROM p WHERE kind = 0)) AS gaps FROM d
+  UNION ALL SELECT r, doc_id, source, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT r, doc_id, source, 2, regexp_extract_all(t, '[0-9a-f]{24,}'), string_split_regex(t, '[0-9a-f]{24,}') FROM d
+  UNION ALL SELECT r, doc_id, source, 3, regexp_extract_all(t, (SELECT re FROM p WHERE kind = 3)),
+    string_split_regex(t, (SELECT re FROM p WHERE kind = 3)) FROM d),
+f AS (SELECT r, doc_id, source, kind, ms[i] AS span,
+    list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0)),
+v AS (SELECT *, (a + length(span))::BIGINT AS z,
+    CASE WHEN kind = 0 THEN regexp_extract(span, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE span END AS val FROM f),
+k AS (SELECT *, length(val) >= 12 AND len(list_distinct(string_split(val, ''))) >= 8 AND regexp_matches(val, '[0-9]')
+      AND regexp_matches(val, '[A-Za-z]') AS live,
+    length(val) >= 20 AND len(list_distinct(string_split(val, ''))) >= 12 AND regexp_matches(val, '[0-9]')
+      AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AS strong
+  FROM v WHERE kind = 2 OR kind = 3 OR (kind = 0 AND length(val) >= 6) OR (kind = 1 AND length(span) >= 20)),
+c AS (SELECT * FROM k WHERE kind < 3 UNION ALL SELECT * FROM k x WHERE kind = 3 AND live
+    AND NOT EXISTS (SELECT 1 FROM k b WHERE b.r = x.r AND b.kind < 3 AND b.a < x.z AND x.a < b.z)),
+o AS (SELECT val, count(DISTINCT coalesce('+' || source, '-')) AS owners, count(DISTINCT (source, doc_id)) AS repos,
+    bool_or(kind < 3) AS known FROM c GROUP BY val),
+g AS (SELECT c.*, owners >= 3 OR repos >= 100 AS example, owners = 1 AND owners < 3 AND repos < 100 AND live AS own,
+    known FROM c JOIN o USING (val)),
+h AS (SELECT *, list_extract(['assign', 'access', 'hex', 'owned'], kind + 1) || ':' || a::BIGINT || ':' || z AS said,
+    kind < 3 OR (own AND (strong OR known)) AS shown FROM g),
+s AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+    string_agg(said, ',' ORDER BY a, kind) FILTER (shown) AS spans,
+    count(*) FILTER (example) AS n_example, count(*) FILTER (own) AS n_live FROM h GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example,
+  coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN s USING (r)
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
 
@@ -264,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secrets": op11_secrets,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }
@@ -275,4 +328,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_warc": OP1_SQL, "op6_chat": OP6_SQL, "op2_decontaminate": OP2_SQL, "op10_quality_rules": _op10_sql(),
-            "op12_filter_audit": OP12_SQL, "op13_merkle": OP13_SQL}
+            "op11_secrets": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_merkle": OP13_SQL}
