@@ -6,8 +6,8 @@ remainder.  What is packed is the multiset of piece lengths, a table of at most
 programme over the multiset finds the set that fills the window closest to
 capacity, backtracking gives how often each length is taken, and the pattern is
 used as often as the counts allow.  The pieces themselves never meet in one
-task: each learns its rank among the pieces of its length from per-task counts
-and looks up its place in the pattern table (at most some entries a length).
+task: the pieces that one task cut meet the task's first rank of each length (at
+most ``window`` rows) and look up their places in the pattern table.
 
 Defined cases: a null or empty text is one piece with the end id alone; a
 document longer than the window is cut at multiples of it; repeated rows and
@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,28 @@ END_ID = 1
 CACHE_WORDS = 400_000
 
 
+class WordCache(dict):
+    """Token ids (little-endian uint32 bytes) of white-space words; a missing word is encoded."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, through a cache of words.
 
     The tokenizer never joins across white space, so the ids of a text are those
-    of its words; it also ends a run of letters at an ASCII mark, so a word may
-    be cut there.  A text is lower-cased (ASCII letters, as the tokenizer does)
-    unless it may hold a special token or a combining mark after a capital.  New
-    words of Latin-1 letters go straight to the tokenizer's merge model, in its
-    byte alphabet; all others through the whole tokenizer.
+    of its words, which are looked up as they stand.  A new word is lower-cased
+    (ASCII letters, as the tokenizer does) and cut where a run of letters meets an
+    ASCII mark, since the tokenizer ends a run there; a word that may hold a
+    special token, or a combining mark after a capital, stays whole.  Parts of
+    Latin-1 letters go straight to the tokenizer's merge model, in its byte
+    alphabet; all others through the whole tokenizer.
     """
 
     after_letter = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[!-/:-@\[-`{-~])")
@@ -55,7 +71,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache, self.parts = WordCache(self.word_ids), WordCache(self.part_ids)
         # the byte alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -63,46 +79,59 @@ class WordEncoder:
 
     def words(self, text: bytes) -> list[bytes]:
         """The text cut into words that can be looked up one by one."""
-        if b"<|" in text or self.capital_mark.search(text):
-            return text.split()
-        return self.after_letter.sub(rb"\1 ", text.lower()).split()
+        return text.split()
+
+    def word_ids(self, word: bytes) -> bytes:
+        if b"<|" in word or self.capital_mark.search(word):
+            return self.part_ids(word)
+        parts = self.after_letter.sub(rb"\1 ", word.lower()).split()
+        return b"".join(map(self.parts.__getitem__, parts))
+
+    def part_ids(self, part: bytes) -> bytes:
+        text = part.decode()
+        if text.isalpha() and max(text) < "\u0100":
+            if not part.isascii():
+                text = text.lower().encode().decode("latin-1").translate(self.alphabet)
+            elif not part.islower():
+                text = text.lower()
+            ids = [t.id for t in self.tokenizer.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[bytes]) -> None:
-        """Make sure that every word is in the cache."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        merge, others = self.tokenizer.model.tokenize, []
-        for w in words.difference(self.cache):
-            text = w.decode()
-            if text.isalpha() and max(text) < "\u0100":
-                if not w.isascii():
-                    text = text.lower().encode().decode("latin-1").translate(self.alphabet)
-                elif not w.islower():
-                    text = text.lower()
-                ids = [t.id for t in merge(text)]
-                self.cache[w] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                others.append(w)
-        for at in range(0, len(others), 1024):
-            part = others[at:at + 1024]
-            done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
-
-
-def _pieces(tokenizer, window: int, end_id: int):
+        """Make sure that every word is in the cache; a full cache is emptied first."""
+        self.trim()
+        for w in words:
+            self.cache[w]
+
+    def trim(self) -> None:
+        for cache in (self.cache, self.parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+
+
+def worker_encoder(key: str, tokenizer) -> WordEncoder:
+    """The encoder of this worker process, kept from task to task with its cache."""
+    held = sys.modules.setdefault("_held_word_encoder", ModuleType("_held_word_encoder"))
+    if getattr(held, "key", None) != key:
+        held.key, held.encoder = key, WordEncoder(tokenizer.value)
+    return held.encoder
+
+
+def _pieces(key: str, tokenizer, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer.value)
-        task, seen = TaskContext.get().partitionId(), Counter()
+        encoder = worker_encoder(key, tokenizer)
+        ids_of, task, seen = encoder.cache.__getitem__, TaskContext.get().partitionId(), Counter()
         for b in batches:
-            docs, ids = b.column(0), b.column(1)
+            docs, texts = b.column(0), b.column(1)
             for at in range(0, b.num_rows, 64):
-                split = [encoder.words(x.as_py() or b"") for x in ids.slice(at, 64)]
-                encoder.learn(set().union(*split))
+                encoder.trim()
                 rows = []
-                for i, words in enumerate(split):
-                    buffer = b"".join(map(encoder.cache.__getitem__, words)) + end
+                for i, text in enumerate(texts.slice(at, 64).to_pylist()):
+                    buffer = b"".join(map(ids_of, (text or b"").split())) + end
                     total = len(buffer) // 4
                     for start in range(0, total, window):
                         length = min(window, total - start)
@@ -178,18 +207,21 @@ def _lookup(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _place(table: np.ndarray):
+def _place(table: np.ndarray, window: int):
     keys = table[:, 0] << 47 | table[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
-            row = table[np.searchsorted(keys, length << 47 | rank, side="right") - 1]
-            nth = rank - row[:, 1]
-            yield pa.record_batch(
-                [*b.columns[:5], pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * length)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+    def run(pieces: pa.Table, offsets: pa.Table) -> pa.Table:
+        """Places of one task's pieces; ``offsets`` has the rank of its first piece of each length."""
+        first = np.zeros(window + 1, np.int64)
+        first[offsets["length"].to_numpy()] = offsets["first"].to_numpy()
+        length = pieces["length"].to_numpy()
+        rank = first[length] + pieces["rank"].to_numpy()
+        row = table[np.searchsorted(keys, length << 47 | rank, side="right") - 1]
+        nth = rank - row[:, 1]
+        return pa.table(
+            [*(pieces[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")),
+             pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * length)],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -198,17 +230,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
          window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, one row a piece."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    key, tokenizer = sha256(text.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(text)
     names = "start long, length long, ids_crc32 long, doc_tokens long"
     pieces = write_table(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_pieces(tokenizer, window, end_id), f"doc_id long, {names}, task long, rank long")
+        .mapInArrow(_pieces(key, tokenizer, window, end_id), f"doc_id long, {names}, task long, rank long")
     )
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = write_table(per_task.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
     counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = _lookup(plan_patterns(counts, window))
-    ranked = pieces.join(offsets.select("length", "task", "first"), ["length", "task"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(_place(table), f"doc_id long, {names}, sequence_id long, offset long")
+    return pieces.groupBy("task").cogroup(offsets.select("task", "length", "first").groupBy("task")).applyInArrow(
+        _place(table, window), f"doc_id long, {names}, sequence_id long, offset long")
