@@ -30,15 +30,20 @@ text; a page that lacks its host's path uses its own best path; a page without
 a host (null or odd url) votes with the others of that kind; equal votes go to
 the later path in string order; repeated rows vote and are returned row by row;
 an empty table gives an empty result; a tag that the page's end cuts off is
-dropped; other columns are not read.
+dropped; a quote that does not follow ``=`` is an ordinary character of its tag; in
+a path, what is above a container is a hash where it is over 240 characters long;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,10 +81,14 @@ FORMS = frozenset("button dialog form".split())
 #: Share of the text that a pick starts from (percent), length at which added text counts by itself.
 NEARLY_ALL = 90
 PART_CHARS = 40
+#: A path above a container is written as its hash if it is longer than this.
+LONG_PATH = 240
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ENDS = (".", "!", "?", "\u2026", "\u3002", "\uff01", "\uff1f")
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+# a quote opens a value only after "="; a tag whose value never ends is read up to its first ">"
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"""
+                 r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>"""
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
@@ -94,17 +103,45 @@ def _marks(name: str, kind: frozenset[str], before: frozenset[str]) -> bool:
     return bool(at) and all(x in kind or (x in before if i < at[0] else x in AFTER) for i, x in enumerate(parts))
 
 
+class Element(NamedTuple):
+    """An open element, with what it takes over from those around it."""
+
+    tag: str
+    container: int
+    left_out: bool
+    article: bool  # inside an article or main, or one itself
+    heading: str  # the heading around its text, up to the container
+    block: int  # place on the stack of the innermost block that is no heading
+
+
 class Page:
-    """Containers ``(parent, tag, path)`` and clean blocks ``(container, text, link characters, heading)`` of a page."""
+    """Containers ``(parent, tag, path number)`` and clean blocks ``(container, text, link characters, heading)`` of a page.
+
+    Reading takes time and memory in proportion to the page, however deep or badly
+    closed its elements are.
+    """
 
     def __init__(self, source: str) -> None:
         for self.level in range(4):
-            self.nodes: list[tuple[int, str, str]] = [(-1, "body", "body")]
+            self.nodes: list[tuple[int, str, int]] = [(-1, "body", 0)]
+            self.paths: list[str] = ["body"]
+            self._path_of: dict[tuple[int, str], int] = {}
             self.blocks: list[tuple[int, str, int, str]] = []
             self._read(source)
             if self.blocks or not source:
                 return
 
+    def _path(self, above: int, label: str) -> int:
+        """Number of the path that ``label`` continues."""
+        at = self._path_of.get((above, label))
+        if at is None:
+            at = self._path_of[above, label] = len(self.paths)
+            upper = self.paths[above]
+            if len(upper) > LONG_PATH:
+                upper = "~" + blake2b(upper.encode("utf-8", "replace"), digest_size=16).hexdigest()
+            self.paths.append(f"{upper}>{label}")
+        return at
+
     @staticmethod
     def _names(attributes: str) -> tuple[list[str], list[str]]:
         """(class names, class, id and role names), in lower case."""
@@ -133,7 +170,9 @@ class Page:
         return any(_marks(x, NOISE, BEFORE | OWN) or (not article and _marks(x, HEADER, BEFORE)) for x in names)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # (tag, container, left out)
+        stack = [Element("", 0, False, False, "", 0)]
+        open_tags: Counter[str] = Counter()
+        unended: set[str] = set()  # raw elements without an end in the rest of the page
         held: list[str] = []
         links = linked = 0
         body = False
@@ -143,23 +182,24 @@ class Page:
             if held:
                 text = " ".join("".join(held).split())
                 if text:
-                    heading = next((x[0] for x in reversed(stack) if x[0] in HEADINGS or x[0] in CONTAINER), "")
-                    self.blocks.append((stack[-1][1], text, linked, heading if heading in HEADINGS else ""))
+                    self.blocks.append((stack[-1].container, text, linked, stack[-1].heading))
                 held.clear()
             linked = 0
 
         def close(at: int) -> None:
             nonlocal links
-            if any(x[0] in BLOCK for x in stack[at:]):
+            if any(x.tag in BLOCK for x in stack[at:]):
                 flush()
-            links -= sum(x[0] == "a" for x in stack[at:])
+            for x in stack[at:]:
+                open_tags[x.tag] -= 1
+                links -= x.tag == "a"
             del stack[at:]
 
         def text(piece: str) -> None:
             nonlocal linked
-            if stack[-1][0] == "head" and piece.strip():
+            if stack[-1].tag == "head" and piece.strip():
                 close(len(stack) - 1)
-            if stack[-1][2] or not piece:
+            if stack[-1].left_out or not piece:
                 return
             if "&" in piece:
                 piece = html_lib.unescape(piece)
@@ -180,22 +220,26 @@ class Page:
                 continue
             tag = tag.lower()
             if slash:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                else:
-                    if tag in BLOCK:
-                        flush()
+                if open_tags[tag]:
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    close(i)
+                elif tag in BLOCK:
+                    flush()
                 continue
-            if stack[-1][0] == "head" and tag not in IN_HEAD:
+            if stack[-1].tag == "head" and tag not in IN_HEAD:
                 close(len(stack) - 1)  # its end tag may be omitted
             if tag in RAW:
-                stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                stop = None
+                if tag not in unended:
+                    stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                    if stop is None:
+                        unended.add(tag)
                 at = stop.end() if stop else end if tag in ("script", "style") else at
                 continue
             if tag in VOID:
-                if tag == "br" and not stack[-1][2]:
+                if tag == "br" and not stack[-1].left_out:
                     held.append(" ")
                 elif tag in BLOCK:
                     flush()
@@ -203,58 +247,58 @@ class Page:
             if tag in BLOCK:
                 self._imply(tag, stack, close)
                 flush()
-            _, container, out = stack[-1]
+            _, container, out, article, heading, block = stack[-1]
             if tag == "body" and not body:
                 body, out = True, False
             if not out:
                 classes, names = self._names(attributes) if attributes else ([], [])
-                out = self._left_out(tag, names, any(x[0] in ("article", "main") for x in stack))
+                out = self._left_out(tag, names, article)
                 if tag in CONTAINER and tag != "body" and not out:
                     label = ".".join([tag, *sorted({DIGITS.sub("#", x) for x in classes})])
-                    self.nodes.append((container, tag, f"{self.nodes[container][2]}>{label}"))
+                    self.nodes.append((container, tag, self._path(self.nodes[container][2], label)))
                     container = len(self.nodes) - 1
             if not attributes.endswith("/") or tag in BLOCK:
-                stack.append((tag, container, out))
+                if tag in HEADINGS:
+                    heading = tag
+                elif tag in CONTAINER:
+                    heading = ""
+                if tag in BLOCK and tag not in HEADINGS:
+                    block = len(stack)
+                stack.append(Element(tag, container, out, article or tag in ("article", "main"), heading, block))
+                open_tags[tag] += 1
                 links += tag == "a"
         flush()
 
     @staticmethod
-    def _imply(tag: str, stack: list[tuple[str, int, bool]], close) -> None:
+    def _imply(tag: str, stack: list[Element], close) -> None:
         """End what a block start tag ends by itself: an open paragraph, or a sibling item."""
-        ends = {"p", *CLOSED_BY.get(tag, "").split()}
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in ends:
-                close(i)
-                return
-            if stack[i][0] in BLOCK and stack[i][0] != "p" and stack[i][0] not in HEADINGS:
-                return
-
-    def _paths(self) -> tuple[list[str], list[int], list[str], list[int], list[list[tuple]]]:
-        """Paths in order of their first container: (path, parent, tag, clean characters inside, own blocks)."""
-        at: dict[str, int] = {}
-        names, parents, tags = [], [], []
-        for parent, tag, path in self.nodes:
-            if path not in at:
-                at[path] = len(names)
-                names.append(path)
-                parents.append(at[self.nodes[parent][2]] if parent >= 0 else -1)
+        at = stack[-1].block
+        if at and (stack[at].tag == "p" or stack[at].tag in CLOSED_BY.get(tag, "").split()):
+            close(at)
+
+    def _paths(self) -> tuple[list[int], list[str], list[int], list[list[tuple]]]:
+        """By path number, in order of the first containers: parent, tag, clean characters inside, own blocks."""
+        parents, tags = [-1], ["body"]
+        for parent, tag, path in self.nodes[1:]:
+            if path == len(parents):
+                parents.append(self.nodes[parent][2])
                 tags.append(tag)
-        total, own = [0] * len(names), [[] for _ in names]
+        total, own = [0] * len(parents), [[] for _ in parents]
         for x in self.blocks:
-            k = at[self.nodes[x[0]][2]]
+            k = self.nodes[x[0]][2]
             own[k].append(x)
             total[k] += max(0, len(x[1]) - x[2])
-        for i in range(len(names) - 1, 0, -1):
+        for i in range(len(parents) - 1, 0, -1):
             total[parents[i]] += total[i]
-        return names, parents, tags, total, own
+        return parents, tags, total, own
 
     def picks(self) -> list[str]:
         """The path around the page's whole text, then the paths above that hold the same; empty without clean text."""
-        names, parents, tags, total, own = self._paths()
+        parents, tags, total, own = self._paths()
         if not total[0]:
             return []
-        depth, below = [0] * len(names), [[] for _ in names]
-        for i in range(1, len(names)):
+        depth, below = [0] * len(parents), [[] for _ in parents]
+        for i in range(1, len(parents)):
             depth[i] = depth[parents[i]] + 1
             below[parents[i]].append(i)
 
@@ -269,7 +313,7 @@ class Page:
                     found = at
 
         # the outermost mark with half of the text, then the deepest one with nearly all of that one's text
-        marks = [i for i in range(len(names)) if tags[i] in ("article", "main") and 2 * total[i] >= total[0]]
+        marks = [i for i in range(len(parents)) if tags[i] in ("article", "main") and 2 * total[i] >= total[0]]
         pick = (deepest(min(marks, key=lambda i: (depth[i], -total[i])), ("article", "main")) if marks else deepest(0))
 
         def blocks(path: int, skip: int = -1) -> list[tuple[int, str, int, str]]:
@@ -301,7 +345,7 @@ class Page:
             if climb:
                 headings |= {x[3] for x in added} - {""}
                 pick, equal, added, same = at, [], [], True
-        return [names[i] for i in (pick, *equal)]
+        return [self.paths[i] for i in (pick, *equal)]
 
     def votes(self) -> dict[str, int]:
         """Votes by path: one for the page's pick and for each path above with the same text."""
@@ -309,16 +353,15 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers with ``path``, or else with the page's own best path."""
-        if not any(x[2] == path for x in self.nodes):
-            path = None
-        if path is not None and (found := self._inside(path)):
+        if path in self.paths and (found := self._inside(path)):
             return found
         return self._inside(next(iter(self.picks()), "body"))
 
     def _inside(self, path: str) -> str:
+        number = self.paths.index(path)
         chosen: list[bool] = []
         for parent, _, own in self.nodes:
-            chosen.append(own == path or (parent >= 0 and chosen[parent]))
+            chosen.append(own == number or (parent >= 0 and chosen[parent]))
         return "\n".join(text for node, text, _, _ in self.blocks if chosen[node])
 
 
