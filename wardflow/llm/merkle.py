@@ -207,11 +207,12 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, source_col: st
     such a leaf is folded up its path instead of the original.
     """
     spark = docs.sparkSession
-    leaves = docs.select(
+    # written first: the sort below samples its input before it reads it
+    leaves = write_table(docs.select(
         F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"),
         digest_of(*[F.col(c) for c in columns]).alias("digest"),
         (F.lit(None).cast("binary") if forged is None else forged).alias("forged"),
-        F.monotonically_increasing_id().alias("nth"))
+        F.monotonically_increasing_id().alias("nth")))
     order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("nth")]
     leaves = row_numbers(leaves, order, out="row").drop("nth")
     sources = write_table(leaves.groupBy("source").agg(F.min("row").alias("tree"), F.count(F.lit(1)).alias("n")))
