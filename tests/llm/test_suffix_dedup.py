@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardflow.llm import suffix_dedup as sd
 
@@ -100,3 +101,35 @@ def test_text_output_keeps_whole_characters_and_rows(spark):
     assert all(r.text is None or r.n_chars == len(r.text) for r in rows)
     assert any(r.text == "own" for r in rows) and any(r.text is None for r in rows)
     assert sd.drop_passages(df.limit(0), min_len=60).count() == 0
+
+
+def test_columns_with_the_operators_names_keep_their_values(spark):
+    a = prose(1, 50)
+    df = docs(spark, [a + " x", "y " + a, "own", None])
+    for i, c in enumerate([*sd.RESULT, "doc", "th", "spans", "start", "h"]):
+        df = df.withColumn(c, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    out = sd.drop_passages(df, min_len=60)
+    assert out.columns == df.columns
+    before = {r.doc_id: r.asDict() for r in df.collect()}
+    for r in out.collect():
+        want, got = before[r.doc_id], r.asDict()
+        assert {k: v for k, v in got.items() if k not in ("text", "n_chars")} == {
+            k: v for k, v in want.items() if k not in ("text", "n_chars")}
+        assert (got["text"] != want["text"]) == (r.doc_id < 2)
+
+
+def test_repeated_rows_do_not_make_a_large_group(spark, monkeypatch):
+    """300 equal rows of three documents reach the scan at most once a task, and only once a group."""
+    core = prose(9, 30)
+    texts = [(i % 3, prose(100 + i % 3, 20) + core + prose(200 + i % 3, 20)) for i in range(300)]
+    df = docs(spark, texts).repartition(4)
+    rows = sd.remove_repeats(df, min_len=60).collect()
+    assert len(rows) == 300 and all(r.n_removed == r.n_bytes for r in rows)
+    found = sd.repeat_groups(docs(spark, texts[:3]).union(docs(spark, texts[:1])), min_len=60).collect()
+    keys = [tuple(g) for g in found if g.part > 0]
+    assert len(keys) == len(set(keys))
+    source = sd._source(df, "doc_id", "text")
+    wanted = source.select("doc", "th", "body").distinct().select("doc", "th").collect()
+    rows = source.withColumn("wanted", F.expr("array(named_struct('h', 1L, 'at', 256L))")).mapInArrow(
+        sd._regions(60), "h long, left binary, right binary, doc long, th long, anchor long").collect()
+    assert len(wanted) == 3 and len(rows) <= 3 * 4

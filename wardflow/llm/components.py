@@ -2,7 +2,10 @@
 
 Every round is two aggregations and two joins over the edges; the edge list is
 written to the shared folder after each round, so lineage stays short and a
-lost executor rereads files.  Only two numbers a round reach the driver.
+lost executor rereads files.  The smallest neighbours are written before they are
+joined back, so that both sides of the join are plain exchanges and the partition
+of a hub, which may hold most edges, can be split.  Only two numbers a round reach
+the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ MAX_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = write_table(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 

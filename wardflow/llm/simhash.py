@@ -267,7 +267,8 @@ def _group_minima(fps: DataFrame, values: dict[str, Column], max_bits: int, max_
     edges = links.where("word is null").select("a", "b").union(hot.join(by_word, "word").select("a", "b"))
     groups = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     labelled = nodes.join(groups, "fp", "left").select("fp", *values, F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(*[F.min(k).alias(k) for k in values])
+    # written, so that the partition of a giant component can be split in the join
+    smallest = write_table(labelled.groupBy("root").agg(*[F.min(k).alias(k) for k in values]))
     return labelled.select("fp", "root").join(smallest, "root").select("fp", *values)
 
 

@@ -228,14 +228,17 @@ def _scan(min_len: int, spans_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_rows: list[tuple] = []
+        places: set[tuple] = set()  # (doc, th, anchor): repeated rows of other tasks are passed over
         for b in batches:
             out: list[tuple] = []
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if run_rows and run_rows[-1][0] != row[0]:
                     if len(run_rows) > 1:
                         out.extend(groups(run_rows))
-                    run_rows = []
-                run_rows.append(row)
+                    run_rows, places = [], set()
+                if row[3:] not in places:
+                    places.add(row[3:])
+                    run_rows.append(row)
             if out:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
         out = list(groups(run_rows)) if len(run_rows) > 1 else []
@@ -246,13 +249,21 @@ def _scan(min_len: int, spans_only: bool):
 
 
 def _regions(min_len: int):
-    """Documents with their wanted anchors -> rows (h, left reversed, right, doc, th, anchor)."""
+    """Documents with their wanted anchors -> rows (h, left reversed, right, doc, th, anchor).
+
+    Of repeated rows (equal id and text) a task reads only the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
             rows = []
             for doc, th, body, wanted in zip(*[b.column(i) for i in range(4)], strict=True):
-                doc, th, text = doc.as_py(), th.as_py(), body.as_py()
+                doc, th = doc.as_py(), th.as_py()
+                if (doc, th) in seen:
+                    continue
+                seen.add((doc, th))
+                text = body.as_py()
                 for x in wanted.as_py():
                     anchor, lo, span = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
                     rows.append((x["h"], text[anchor - lo:anchor][::-1],
@@ -397,6 +408,26 @@ def _cut(text_at: int, n_cols: int, schema_names: list[str]):
     return run
 
 
+RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "kept_text": "string"}
+
+
+def _cut_rows(docs: DataFrame, id_col: str, text_col: str, min_len: int, max_group: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` plus the columns of ``RESULT``, under names that ``docs`` does not use; those names."""
+    groups = _groups(_source(docs, id_col, text_col), min_len, max_group, spans_only=True)
+    d, t, spans = (temp_name(docs, x) for x in ("doc", "th", "spans"))
+    by_row = groups.groupBy(F.col("doc").alias(d), F.col("th").alias(t)).agg(
+        F.collect_set(F.struct("start", "length")).alias(spans))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    names = docs.columns
+    joined = docs.join(
+        by_row, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left"
+    ).select(*[F.col(f"`{c}`") for c in names], spans)
+    added = {x: temp_name(docs, x) for x in RESULT}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields),
+                        *(f"`{added[x]}` {kind}" for x, kind in RESULT.items())])
+    return joined.mapInArrow(_cut(names.index(text_col), len(names), [*names, *added.values()]), schema), added
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
                    max_group: int = MAX_GROUP) -> DataFrame:
     """``docs`` plus ``n_bytes, n_removed, n_spans`` (long), ``kept`` (binary) and ``kept_text``.
@@ -406,33 +437,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (null if nothing was removed).  Columns of ``docs`` with these names are
     replaced.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
-    docs = docs.drop(*added)
-    groups = _groups(_source(docs, id_col, text_col), min_len, max_group, spans_only=True)
-    d, t, spans = (temp_name(docs, x) for x in ("doc", "th", "spans"))
-    by_row = groups.groupBy(F.col("doc").alias(d), F.col("th").alias(t)).agg(
-        F.collect_set(F.struct("start", "length")).alias(spans))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = docs.columns
-    joined = docs.join(
-        by_row, F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left"
-    ).select(*[F.col(f"`{c}`") for c in names], spans)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(
-        _cut(names.index(text_col), len(names), [*names, *added]),
-        f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string",
-    )
+    docs = docs.drop(*RESULT)
+    cut, added = _cut_rows(docs, id_col, text_col, min_len, max_group)
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{name}`").alias(x) for x, name in added.items()])
 
 
-def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
+                  max_group: int = MAX_GROUP) -> DataFrame:
     """``docs`` with the repeated passages cut out of the text; every row and column stays.
 
     A character that is only partly covered stays whole.  A column ``n_chars``
-    is brought up to date.
+    is brought up to date; all other columns keep their values, whatever their names.
     """
-    cut = remove_repeats(docs, id_col, text_col, min_len)
-    changed = F.col("n_removed") > 0
-    out = cut.withColumn(text_col, F.when(changed, F.col("kept_text")).otherwise(F.col(text_col)))
+    cut, added = _cut_rows(docs, id_col, text_col, min_len, max_group)
+    changed, text = F.col(f"`{added['n_removed']}`") > 0, F.col(f"`{added['kept_text']}`")
+    new = {text_col: F.when(changed, text).otherwise(F.col(f"`{text_col}`"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
