@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 from itertools import permutations
 from math import ceil
@@ -46,6 +47,15 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Entries that a task merges before it passes them on.
 MERGE_ROWS = 50_000
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk, one bound on the memory of all stores of an executor, and no store kept open between batches.
+STATE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.unloadOnCommit": "true",
+}
 #: Rows of the table for each state entry.
 ENTRY_ROWS = 512
 
@@ -164,6 +174,19 @@ def _retract(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """The state settings that a query takes over when it starts; what was set before comes back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4, id_col: str = "doc_id",
              text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """``(part, mask, good, toxic, n)`` over all files of the parquet table at ``path``, in ``batches`` micro-batches."""
@@ -196,14 +219,9 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4
         part.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
             f"{out}/epoch={epoch}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _state_settings(spark):
         deltas.writeStream.outputMode("update").option("checkpointLocation", new_folder(spark, "audit_state")) \
             .trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
     epochs = spark.read.schema(f"{DELTAS}, epoch long").parquet(out)
     return epochs.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n != 0")
 
