@@ -1,33 +1,30 @@
 """SMOTE oversampling (E11) as a Spark job.
 
 Every class is raised to the majority count with synthetic rows
-``x + gap * (neighbour - x)``.  Exact k-nearest neighbours would compare
-all pairs inside a class, so neighbours are taken along a seeded random
-projection instead (a locality-preserving 1-D order):
-
-1. rows are standardized and projected on a seeded random direction;
-2. distinct projection values get a dense rank per class from the
-   distributed prefix-sum helper (no class-wide window);
-3. each rank keeps one representative row, and every row is joined to the
-   representatives at the k nearest ranks r+1, r-1, r+2, ... (equi-join on
-   class and rank): at most k partners per row, whatever the class size or
-   duplication (a row with no partner is repeated as it is);
-4. a row makes ``floor(need / n) (+1 for the first need mod n rows in hash
-   order)`` synthetic rows, so per-class totals are exact; the partner and
-   the gap are drawn from ``xxhash64`` of (row id, draw, seed).
-
-Counts equal the original's; rows differ (neighbours are approximate).
+``x + gap * (neighbour - x)``:
+
+1. minority rows are standardized and every row gets its k nearest rows of
+   the same class from ``operators.neighbors`` (rank windows of several
+   projections, verified by real distance, refined over neighbours of
+   neighbours; exact where a class fits one window);
+2. a row makes ``floor(need / n) (+1 for the first need mod n rows in hash
+   order)`` synthetic rows, so per-class totals are exact; the neighbour and
+   the gap are drawn from ``xxhash64`` of (row id, draw, seed), and the drawn
+   neighbour's values are joined by its id;
+3. a row without a neighbour (the only one of its class) is repeated as it is.
+
+NULL features count as the mean for distances and stay NULL in synthetic rows.
+Counts equal the original's; the draws differ.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.prefix import totals_before
-from wardflow.session import cut_lineage
+from wardflow.operators.neighbors import nearest_rows
+from wardflow.session import cut_lineage, write_table
 
 
 def _unit(h):
@@ -49,50 +46,37 @@ def smote(df: DataFrame, features: list[str], label: str, k: int = 5, seed: int
     stats = base.agg(*[F.avg(f).alias(f"_m_{f}") for f in features],
                      *[F.coalesce(F.nullif(F.stddev_samp(f), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}")
                        for f in features])
-    rnd = random.Random(seed)
-    w = [rnd.gauss(0.0, 1.0) for _ in features]
-    proj = None
-    for f, wi in zip(features, w):
-        term = F.coalesce((F.col(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}"), F.lit(0.0)) * F.lit(wi)
-        proj = term if proj is None else proj + term
-
-    minority = base.join(need, label).crossJoin(F.broadcast(stats)).withColumn("_p", proj) \
-        .withColumn("_x", F.array(*[F.col(f) for f in features])) \
-        .select(label, "_rid", "_p", "_x", "_n", "_need")
-
-    # dense rank of projection values per class (distributed prefix sums)
-    reps = minority.groupBy(label, "_p").agg(F.min_by("_x", "_rid").alias("_rx")).withColumn("_one", F.lit(1))
-    reps = totals_before(reps, [label], "_p", ["_one"]).select(label, "_p", "_rx",
-                                                                 F.col("_one_before").alias("_rank"))
-    ranked = minority.join(reps.select(label, "_p", "_rank"), [label, "_p"])
-
-    offsets = [(i // 2 + 1) * (1 if i % 2 == 0 else -1) for i in range(k)]  # +1, -1, +2, ... : k partners
-    partners = (
-        ranked.select(label, "_rid", "_rank", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
-        .withColumn("_prank", F.col("_rank") + F.col("_o"))
-        .join(reps.select(label, F.col("_rank").alias("_prank"), "_rx"), [label, "_prank"])
-        .groupBy(label, "_rid").agg(F.collect_list("_rx").alias("_nbrs"))  # <= k per row
-    )
+    minority = write_table(
+        base.join(need, label).crossJoin(F.broadcast(stats))
+        .withColumn("_x", F.array(*[F.col(f) for f in features]))
+        .withColumn("_z", F.array(*[F.coalesce((F.col(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}"), F.lit(0.0))
+                                    for f in features]))
+        .select(label, "_rid", "_x", "_z", "_n", "_need"))
+    partners = nearest_rows(minority.select(F.col(label).alias("grp"), F.col("_rid").alias("id"), F.col("_z").alias("x")),
+                            k, seed=seed).select(F.col("id").alias("_rid"), F.col("near.id").alias("_nbrs"))
 
     # exact synthetic counts per class: base share + one extra for the first (need mod n) rows
     h = F.xxhash64("_rid", F.lit(seed))
-    hashed = ranked.withColumn("_h", h)
+    hashed = minority.withColumn("_h", h)
     order = totals_before(hashed.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_c")), [label], "_h", ["_c"])
     per_row = (
         hashed.join(order.select(label, "_h", "_c_before"), [label, "_h"])
         .withColumn("_m", (F.floor(F.col("_need") / F.col("_n"))
                            + F.when(F.col("_c_before") < F.col("_need") % F.col("_n"), 1).otherwise(0)).cast("int"))
         .where(F.col("_m") > 0)
-        .join(partners, [label, "_rid"], "left")
+        .join(partners, "_rid", "left")
     )
-    synth = (
+    drawn = (
         per_row.select(label, "_rid", "_x", "_nbrs", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_j"))
-        .withColumn("_pick", F.when(F.size("_nbrs") > 0,
-                                    F.element_at("_nbrs", (F.pmod(F.xxhash64("_rid", "_j", F.lit(seed)),
-                                                                  F.size("_nbrs")) + 1).cast("int")))
-                    .otherwise(F.col("_x")))
+        .withColumn("_pick", F.when(F.size("_nbrs") > 0, F.element_at("_nbrs", (
+            F.pmod(F.xxhash64("_rid", "_j", F.lit(seed)), F.size("_nbrs")) + 1).cast("int"))))
         .withColumn("_gap", _unit(F.xxhash64("_rid", "_j", F.lit(seed + 1))))
-        .withColumn("_new", F.zip_with("_x", "_pick", lambda a, b: a + F.col("_gap") * (b - a)))
+    )
+    values = minority.select(F.col("_rid").alias("_pick"), F.col("_x").alias("_y"))
+    # rows without a neighbour keep a key of their own, so that they do not meet in one task
+    synth = (
+        drawn.withColumn("_pick", F.coalesce("_pick", -F.col("_rid") - 1)).join(values, "_pick", "left")
+        .withColumn("_new", F.zip_with("_x", F.coalesce("_y", "_x"), lambda a, b: a + F.col("_gap") * (b - a)))
     )
     synth_rows = synth.select(*[F.col("_new")[i].alias(f) for i, f in enumerate(features)], label,
                               F.lit(True).alias("synthetic"))
