@@ -216,27 +216,38 @@ def score_requests(model, req_features: DataFrame, classes: list[str], hash_fiel
 
 
 def score_with_centroids(model: DataFrame, req_features: DataFrame, features: list[str], classes: list[str],
-                         hash_fields: list[str], version: str | None = None, clock: Column | None = None) -> DataFrame:
-    """M6 by the baseline centroid model (a 1-row frame): the same response rows."""
+                         hash_fields: list[str], version: str | None = None, clock: Column | None = None,
+                         required: list[str] = ()) -> DataFrame:
+    """M6 by the baseline centroid model (a 1-row frame): the same response rows.
+
+    A request without a required field is answered too: no class, confidence or
+    probabilities, and ``errors`` holds a code ``missing_<field>`` for each.
+    """
     from wardflow.operators.models import centroid_predict
 
     with_hash = req_features.withColumn("input_hash", input_hash(req_features, hash_fields))
     scored = centroid_predict(with_hash, model, features, classes).withColumnRenamed("prediction", "predicted_class")
     names = F.array(*[F.lit(c) for c in classes])
-    return _responses(scored.withColumn("probabilities", F.map_from_arrays(
-        names, F.transform("probs", lambda p: F.round(p, 4)))), version, clock)
+    scored = scored.withColumn("probabilities", F.map_from_arrays(names, F.transform("probs", lambda p: F.round(p, 4))))
+    codes = F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in required]).cast("array<string>")
+    scored = scored.withColumn("errors", F.filter(codes, lambda x: x.isNotNull()))
+    for c in ("predicted_class", "confidence", "probabilities"):
+        scored = scored.withColumn(c, F.when(F.size("errors") == 0, F.col(c)))
+    return _responses(scored, version, clock)
 
 
 def _responses(scored: DataFrame, version: str | None, clock: Column | None) -> DataFrame:
     ver = F.lit(version) if version else model_version()
     return scored.select(
         "visit_id", "predicted_class", "confidence", "probabilities",
-        ver.alias("model_version"), iso_timestamp(clock).alias("timestamp"), "input_hash")
+        ver.alias("model_version"), iso_timestamp(clock).alias("timestamp"), "input_hash",
+        *[c for c in scored.columns if c == "errors"])
 
 
 def rejection_action_rows(scored: DataFrame) -> DataFrame:
-    """rejection risk (percent of the Rejected probability) -> action text."""
+    """rejection risk (percent of the Rejected probability) -> action text; NULL for a rejected request."""
     from wardflow.functions.scalar import rejection_action
 
     risk = F.round(F.col("probabilities").getItem(K.REJECTED_CLASS) * 100.0, 1)
-    return scored.withColumn("rejection_risk", risk).withColumn("recommended_action", rejection_action(risk))
+    return scored.withColumn("rejection_risk", risk).withColumn(
+        "recommended_action", F.when(risk.isNotNull(), rejection_action(risk)))

@@ -21,9 +21,8 @@ from wardflow.operators import reports as R
 from wardflow.operators import scoring as S
 from wardflow.sources import logs as L
 from wardflow.functions.scalar import decode, map_lookup
-from wardflow.session import materialize
-from wardflow.sources.tables import Tables, from_testdata
-from wardflow.sources.tables import merged_frame
+from wardflow.session import materialize, new_folder
+from wardflow.sources.tables import HEAVY_ROWS, Tables, from_testdata, merged_frame
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +35,7 @@ def merged_table(t: Tables, columns: list[str] | None = None):
     Queries of one pass take the lazy ``merged_frame``, so their columns and
     filters reach the scans of the source tables.
     """
-    m = merged_frame(t)
+    m = merged_frame(t, HEAVY_ROWS)
     return materialize(m.select(*columns) if columns else m)
 
 
@@ -340,29 +339,31 @@ def _m8(t: Tables):
 
 
 def _log_dir(t: Tables, name: str) -> str:
-    from wardflow.session import checkpoint_dir
+    return new_folder(t.spark, name)
 
-    return L.unique_path(checkpoint_dir(t.spark), name)
+
+#: What a claim request must carry to be scored; others are answered with a rejection.
+REQUIRED_FIELDS = ["billed_amount", "length_of_stay_hours"]
 
 
 def _baseline_responses(t: Tables):
-    """Every row scored by the baseline claim model, which SQL can replay."""
+    """Every row answered: scored by the baseline claim model, which SQL can replay, or rejected with codes."""
     from pyspark.sql import functions as F
 
     tr, _ = _claim_split(t)
     model = materialize(M.centroid_fit(tr, CLAIM_CENTROID_FEATURES, "claim_status", K.CLAIM_CLASSES))
     req = merged_table(t)
     feats = S.scoring_features(req, K.testdata_encoding_maps(), E.rejection_rates_from_data(req))
-    feats = feats.where(F.col("billed_amount").isNotNull() & F.col("length_of_stay_hours").isNotNull())
     return S.score_with_centroids(model, feats, CLAIM_CENTROID_FEATURES, K.CLAIM_CLASSES, HASH_FIELDS, version="v1",
-                                  clock=F.col("visit_date").cast("timestamp"))
+                                  clock=F.col("visit_date").cast("timestamp"), required=REQUIRED_FIELDS)
 
 
 def _m6_baseline(t: Tables):
     from pyspark.sql import functions as F
 
     return _baseline_responses(t).select(
-        "visit_id", "predicted_class", "confidence", F.col("probabilities")[K.REJECTED_CLASS].alias("rejected_probability"))
+        "visit_id", "predicted_class", "confidence", F.col("probabilities")[K.REJECTED_CLASS].alias("rejected_probability"),
+        F.concat_ws(",", "errors").alias("errors"))
 
 
 def _a15(t: Tables):
@@ -387,13 +388,11 @@ def _w5(t: Tables):
 def _t2(t: Tables):
     from wardflow.streaming.scoring_stream import class_mix
 
-    events = t.spark.read.parquet(_events_path(t))
-    return class_mix(events, "ts", "event_type", "1 day")
+    return class_mix(_events(t), "ts", "event_type", "1 day")
 
 
-def _events_path(t: Tables) -> str:
-    files = t.visits.inputFiles()
-    return files[0].rsplit("/", 1)[0] + "/events.parquet"
+def _events(t: Tables) -> DataFrame:
+    return t.spark.read.parquet(f"{t.folder}/events.parquet")
 
 
 def _d5(t: Tables):
@@ -595,7 +594,7 @@ def _d6(t: Tables):
 for _name, _fn in [
     ("s3_hospital_master", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).hospital_master(t)),
     ("s4_visits_patients", lambda t: __import__("wardflow.sources.tables", fromlist=["x"]).visits_patients(t)),
-    ("j2_merged_frame", merged_frame),
+    ("j2_merged_frame", lambda t: merged_frame(t, HEAVY_ROWS)),
     ("s1_csv_kpi_snapshot", lambda t: R.r11_kpi_snapshot(_csv_tables(t))),
     ("s5_sql_fin02", _s5),
     ("s9_feature_schema_json", _s9),

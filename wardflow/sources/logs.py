@@ -7,12 +7,13 @@ rewriting one shared file; readers always pass a declared schema.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Name of requests without a prediction in the summaries.
+REJECTED = "rejected_request"
+
 PREDICTION_LOG_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("model", T.StringType()),
@@ -95,11 +96,13 @@ def load_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------------ S13
 def append_audit_predictions(responses: DataFrame, model_name: str, path: str,
                              logged_by: str = "wardflow") -> None:
-    """S13 log_prediction for a batch (confidence rounded to 4)."""
+    """S13 log_prediction for a batch (confidence rounded to 4); a rejected request is an event of its own kind."""
+    errors = F.concat_ws(",", "errors") if "errors" in responses.columns else F.lit("")
     responses.select(
-        "timestamp", F.lit("prediction").alias("event_type"), F.lit(model_name).alias("model"),
+        "timestamp", F.when(errors == "", "prediction").otherwise(REJECTED).alias("event_type"),
+        F.lit(model_name).alias("model"),
         F.col("visit_id").cast("long"), F.col("predicted_class").alias("prediction"),
-        F.round("confidence", 4).alias("confidence"), F.lit("").alias("detail"),
+        F.round("confidence", 4).alias("confidence"), errors.alias("detail"),
         F.lit(logged_by).alias("logged_by"),
     ).write.mode("append").json(path)
 
@@ -156,11 +159,14 @@ def read_service_log(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- A15, A16, W5
 def prediction_log_summary(log: DataFrame, class_col: str = "predicted_class") -> DataFrame:
-    """Totals by model and by class plus the time range, as (kind, key, n) rows."""
+    """Totals by model and by class plus the time range, as (kind, key, n) rows.
+
+    Requests that were rejected stand in the log without a class: their key is ``rejected_request``.
+    """
     by_model = log.groupBy("model").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("by_model").alias("kind"), F.col("model").alias("key"), "n")
     by_cls = log.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("by_prediction").alias("kind"), F.col(class_col).alias("key"), "n")
+        F.lit("by_prediction").alias("kind"), F.coalesce(F.col(class_col), F.lit(REJECTED)).alias("key"), "n")
     tot = log.agg(F.count(F.lit(1)).alias("n"),
                   F.concat_ws(" -> ", F.min("timestamp"), F.max("timestamp")).alias("key")).select(
         F.lit("total").alias("kind"), "key", "n")
@@ -181,9 +187,10 @@ def audit_log_summary(log: DataFrame) -> DataFrame:
 
 
 def prediction_monitoring(service_log: DataFrame) -> DataFrame:
-    """Total requests, distinct endpoints, last model version (by time)."""
+    """Predictions, rejected requests, distinct endpoints, last model version (by time)."""
     return service_log.agg(
-        F.count(F.lit(1)).alias("total_predictions"),
+        F.count("prediction").alias("total_predictions"),
+        F.count_if(F.col("prediction").isNull()).alias("rejected_requests"),
         F.count_distinct("endpoint").alias("endpoints"),
         F.max_by("model_version", "timestamp").alias("last_model_version"))
 
@@ -198,9 +205,3 @@ def recent_rows(log: DataFrame, n: int = 10, cap: int = 100) -> DataFrame:
     total = log.agg(F.count(F.lit(1)).alias("total_logged"))
     last = log.orderBy(F.desc("timestamp"), F.desc("visit_id"), "predicted_class", F.desc("input_hash")).limit(k)
     return last.crossJoin(F.broadcast(total)).withColumn("returned", F.least(F.col("total_logged"), F.lit(k)))
-
-
-def unique_path(base: str, name: str) -> str:
-    import uuid
-
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

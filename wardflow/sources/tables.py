@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardflow.session import write_table
+
 PATIENTS_SCHEMA = T.StructType([
     T.StructField("patient_id", T.LongType(), False),
     T.StructField("age", T.IntegerType(), False),
@@ -70,6 +72,7 @@ class Tables:
     patients: DataFrame
     visits: DataFrame
     billing: DataFrame
+    folder: str | None = None  # where the tables were read from, if from one folder
 
     @property
     def spark(self) -> SparkSession:
@@ -175,6 +178,7 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         patients=patients_from_tpch(rd("customer"), rd("nation")),
         visits=visits_from_tpch(rd("orders")),
         billing=billing_from_tpch(rd("lineitem")),
+        folder=sf_dir.rstrip("/"),
     )
 
 
@@ -193,13 +197,47 @@ def visits_patients(t: Tables) -> DataFrame:
     return t.visits.join(t.patients, "patient_id", "inner").select(*VISITS_PATIENTS_COLUMNS)
 
 
-def merged_frame(t: Tables) -> DataFrame:
-    """Bill-grain analysis frame: visits LEFT JOIN patients LEFT JOIN billing."""
-    return (
-        t.visits.join(t.patients, "patient_id", "left")
-        .join(t.billing, "visit_id", "left")
-        .select(*MASTER_COLUMNS)
-    )
+#: Rows of one key that a single task may hold in ``split_left_join``.
+HEAVY_ROWS = 1_000_000
+
+
+def split_left_join(left: DataFrame, right: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``left.join(right, key, "left")`` where a key may hold any share of the right side.
+
+    AQE cannot split the right side of a left outer join.  One aggregate finds
+    the keys with more than ``heavy_rows`` right rows (at most one key for so
+    many rows, so their table is small).  Their right rows are dealt over
+    salts, their left rows repeated once a salt; they all have a partner, so
+    that part is an inner join.  All other rows, unmatched left rows among
+    them, are joined as usual.  Rows with a NULL key have no partner.
+    """
+    heavy = write_table(
+        right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_heavy")).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > heavy_rows)
+        .select("_heavy", F.ceil(F.col("_n") / F.lit(heavy_rows)).cast("int").alias("_salts")))
+    if not heavy.head(1):
+        return left.join(right, key, "left")
+
+    def rest(df: DataFrame) -> DataFrame:
+        return df.join(heavy, df[key] == heavy["_heavy"], "left_anti")
+
+    def hot(df: DataFrame, salt) -> DataFrame:
+        return df.join(heavy, df[key] == heavy["_heavy"]).withColumn("_salt", salt).drop("_heavy", "_salts")
+
+    repeated = hot(left, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    dealt = hot(right, F.floor(F.rand(11) * F.col("_salts")).cast("int"))
+    return rest(left).join(rest(right), key, "left").unionByName(repeated.join(dealt, [key, "_salt"]).drop("_salt"))
+
+
+def merged_frame(t: Tables, heavy_rows: int | None = None) -> DataFrame:
+    """Bill-grain analysis frame: visits LEFT JOIN patients LEFT JOIN billing.
+
+    With ``heavy_rows`` the bills of a visit that has more of them are split over tasks.
+    """
+    visits = t.visits.join(t.patients, "patient_id", "left")
+    if heavy_rows is None:
+        return visits.join(t.billing, "visit_id", "left").select(*MASTER_COLUMNS)
+    return split_left_join(visits, t.billing, "visit_id", heavy_rows).select(*MASTER_COLUMNS)
 
 
 # ------------------------------------------------------------------ S2, S5, S6
