@@ -52,7 +52,8 @@ _STORE = "spark.sql.streaming.stateStore"
 STATE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STORE}.rocksdb.writeBufferSizeMB": "8",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.unloadOnCommit": "true",
 }
@@ -207,7 +208,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4
         .mapInArrow(_masks, ROWS))
     # rows without an id meet no label: they are dealt by their text
     near = F.coalesce("doc_id", F.xxhash64("text_key")) == F.col("labelled")
-    labelled = rows.join(marked, near & F.col("doc_id").isNotNull(), "left").select(
+    # merged at every size: labels grow with the documents, and a task then runs one Python step, not two
+    labelled = rows.join(marked.hint("merge"), near & F.col("doc_id").isNotNull(), "left").select(
         "text_key", "doc_id", "part", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"),
         F.coalesce("toxic", F.lit(False)).alias("toxic"))
     deltas = (
