@@ -40,6 +40,15 @@ END_ID = 1
 CACHE_WORDS = 400_000
 
 
+#: Lead bytes from U+0300 on: combining marks and other scripts.
+_BEYOND = bytes(range(0xCC, 0xF5))
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
+def packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCache(dict):
     """Token ids (little-endian uint32 bytes) of white-space words; a missing word is encoded."""
 
@@ -71,6 +80,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merge = self.tokenizer.model.tokenize
         self.cache, self.parts = WordCache(self.word_ids), WordCache(self.part_ids)
         # the byte alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,26 +88,31 @@ class WordEncoder:
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
     def words(self, text: bytes) -> list[bytes]:
-        """The text cut into words that can be looked up one by one."""
-        return text.split()
+        """The text cut into words that can be looked up one by one; in lower case where that is safe for all of it."""
+        if b"<|" in text or len(text.translate(None, _BEYOND)) < len(text):
+            return text.split()
+        return text.lower().split()
 
     def word_ids(self, word: bytes) -> bytes:
+        low = word.lower()
+        if low.isalpha():  # ASCII letters only
+            return self.parts[low]
+        if low[:-1].isalpha() and low[-1] < 0x80:  # letters and one mark
+            return self.parts[low[:-1]] + self.parts[low[-1:]]
         if b"<|" in word or self.capital_mark.search(word):
             return self.part_ids(word)
-        parts = self.after_letter.sub(rb"\1 ", word.lower()).split()
-        return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, self.after_letter.sub(rb"\1 ", low).split()))
 
     def part_ids(self, part: bytes) -> bytes:
+        if part.isalpha():
+            return self.merged_ids(part.lower().decode())
         text = part.decode()
         if text.isalpha() and max(text) < "\u0100":
-            if not part.isascii():
-                text = text.lower().encode().decode("latin-1").translate(self.alphabet)
-            elif not part.islower():
-                text = text.lower()
-            ids = [t.id for t in self.tokenizer.model.tokenize(text)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return self.merged_ids(text.lower().encode().decode("latin-1").translate(self.alphabet))
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merged_ids(self, text: str) -> bytes:
+        return packed([t.id for t in self.merge(text)])
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that every word is in the cache; a full cache is emptied first."""
@@ -124,14 +139,14 @@ def _pieces(key: str, tokenizer, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, tokenizer)
-        ids_of, task, seen = encoder.cache.__getitem__, TaskContext.get().partitionId(), Counter()
+        words, ids_of, task, seen = encoder.words, encoder.cache.__getitem__, TaskContext.get().partitionId(), Counter()
         for b in batches:
             docs, texts = b.column(0), b.column(1)
             for at in range(0, b.num_rows, 64):
                 encoder.trim()
                 rows = []
                 for i, text in enumerate(texts.slice(at, 64).to_pylist()):
-                    buffer = b"".join(map(ids_of, (text or b"").split())) + end
+                    buffer = b"".join(map(ids_of, words(text or b""))) + end
                     total = len(buffer) // 4
                     for start in range(0, total, window):
                         length = min(window, total - start)
