@@ -6,8 +6,8 @@ escapes (surrogate pairs beyond the basic plane), and the shortest float text th
 reads back as the same number.
 
 A float's shortest text: the engine's own text of a double has enough digits but
-not always the fewest, so its digits are rounded to 1, 2, ... places and the first
-that reads back as the same double is taken.
+not always the fewest, so its digits are rounded to fewer places and the first
+text that reads back as the same double is taken.
 """
 
 from __future__ import annotations
@@ -43,45 +43,52 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(chars, escaped), "")).otherwise(text), F.lit('"'))
 
 
-def _shortest(digits: Column, point: Column, x: Column) -> Column:
-    """(digits, point) of the fewest digits with ``0.digits * 10^point == x``."""
-    n, whole = F.length(digits), digits.cast("long")
+def _shortest(number: Column, x: Column) -> Column:
+    """(digits, point) of the fewest digits with ``0.digits * 10^point == x``; ``number`` has enough of them."""
+    digits, point = number["digits"], number["point"]
     powers = F.array(*[F.lit(10**i).cast("long") for i in range(18)])
+    div = lambda a, b: F.call_function("div", a, b)  # noqa: E731  whole numbers: doubles would lose digits
 
     def rounded(m: Column) -> Column:
-        unit = F.get(powers, n - m)
-        div = lambda a, b: F.call_function("div", a, b)  # noqa: E731  whole numbers: doubles would lose digits
-        text = div(whole + div(unit, F.lit(2).cast("long")), unit).cast("string")
-        return F.struct(text.alias("digits"), (point + F.length(text) - m).cast("int").alias("point"), m.alias("places"))
-
-    tries = F.transform(F.sequence(F.lit(1), n), rounded)
+        unit = F.get(powers, F.length(digits) - m)
+        text = div(digits.cast("long") + div(unit, F.lit(2).cast("long")), unit).cast("string")
+        return F.struct(text.alias("digits"), (point + F.length(text) - m).cast("int").alias("point"))
+
+    # two texts of up to 15 digits are never the same normal double, so such a text is the shortest one; a longer one
+    # may only be cut to 15, or grow from there
+    normal = x >= F.lit(2.2250738585072014e-308)
+    tries = F.transform(F.sequence(F.when(normal, 15).otherwise(1), F.length(digits)), rounded)
     same = F.filter(tries, lambda t: F.concat(
         t["digits"], F.lit("E"), (t["point"] - F.length(t["digits"])).cast("string")).cast("double") == x)
-    return _let(F.element_at(same, 1), lambda t: F.struct(
+    best = _let(F.element_at(same, 1), lambda t: F.struct(
         F.regexp_replace(t["digits"], "0+$", "").alias("digits"), t["point"].alias("point")))
+    return F.when((F.length(digits) <= 15) & normal, number).otherwise(best)
 
 
 def json_float(value: Column) -> Column:
     """A float as Python writes it; NaN counts as null, infinities are ``Infinity``."""
     value = value.cast("double")
 
-    def written(text: Column) -> Column:
-        number = r"^-?(\d+)\.(\d+)(?:E(-?\d+))?$"
-        left, right = F.regexp_extract(text, number, 1), F.regexp_extract(text, number, 2)
-        power = F.coalesce(F.nullif(F.regexp_extract(text, number, 3), F.lit("")).cast("int"), F.lit(0))
-        every = F.concat(left, right)
-        cut = F.regexp_replace(every, "^0+", "")
-        point = F.length(left) + power - (F.length(every) - F.length(cut))
-        return _let(_shortest(F.regexp_replace(cut, "0+$", ""), point, F.abs(value)), form)
+    def parts(text: Column) -> Column:
+        """Of ``12.50E3``: its digits, and the places before the point and the power."""
+        number = F.split(F.ltrim(text, F.lit("-")), "[.E]")
+        left, right = F.get(number, F.lit(0)), F.get(number, F.lit(1))
+        return F.struct(F.concat(left, right).alias("every"),
+                        (F.length(left) + F.coalesce(F.get(number, F.lit(2)).cast("int"), F.lit(0))).alias("before"))
+
+    def significant(p: Column) -> Column:
+        cut = F.ltrim(p["every"], F.lit("0"))
+        return F.struct(F.rtrim(cut, F.lit("0")).alias("digits"),
+                        (p["before"] - F.length(p["every"]) + F.length(cut)).cast("int").alias("point"))
 
     def form(short: Column) -> Column:
         digits, point = short["digits"], short["point"]
         size = F.length(digits)
         power = point - 1
-        places = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-        wide = F.when(F.abs(power) > 99, F.concat(F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string")))
+        sign = F.when(power < 0, "-").otherwise("+")
+        places = F.when(F.abs(power) > 99, F.abs(power).cast("string")).otherwise(F.lpad(F.abs(power).cast("string"), 2, "0"))
         raised = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(size > 1, F.concat(
-            F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), F.coalesce(wide, places))
+            F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), sign, places)
         return (F.when((point <= -4) | (point > 16), raised)
                 .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
                 .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size), F.lit(".0")))
@@ -90,8 +97,10 @@ def json_float(value: Column) -> Column:
     text = value.cast("string")
     sign = F.when(text.startswith("-"), "-").otherwise("")
     infinite = F.abs(value) == F.lit(float("inf"))
+    # each step is bound before the next one uses it several times
+    written = _let(_let(_let(_let(text, parts), significant), lambda n: _shortest(n, F.abs(value))), form)
     return (F.when(value.isNull() | F.isnan(value), "null").when(infinite, F.concat(sign, F.lit("Infinity")))
-            .when(value == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, _let(text, written))))
+            .when(value == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, written)))
 
 
 def json_value(value: Column, kind: T.DataType) -> Column:

@@ -22,6 +22,8 @@ parameter frames cross-joined (broadcast) to the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,24 @@ CAP_COLUMNS = {
 }
 
 
+#: Columns of the merged frame that each derived column of variant U is made of; others are made of themselves.
+FEATURE_INPUTS = {
+    "visit_frequency": ["patient_id", "visit_id"],
+    "avg_los_per_patient": ["patient_id", "length_of_stay_hours"],
+    "provider_rejection_rate": ["insurance_provider", "claim_status"],
+    "approval_ratio": ["approved_amount", "billed_amount", "claim_status"],
+    "days_since_registration": ["visit_date", "registration_date"],
+    "visit_month": ["visit_date"], "visit_dayofweek": ["visit_date"], "visit_quarter": ["visit_date"],
+    **{dst: [src] for src, dst in CAP_COLUMNS.items()},
+}
+
+
+def inputs_of(columns: list[str]) -> list[str]:
+    """The columns of the merged frame that the model-table columns need."""
+    out = [x for c in columns for x in FEATURE_INPUTS.get(c, [c.removesuffix("_encoded")])]
+    return list(dict.fromkeys(out))
+
+
 # ------------------------------------------------------------------ W1 / E1
 def patient_aggregates(df: DataFrame, count_col: str = "visit_frequency",
                        avg_col: str = "avg_los_per_patient", distinct_visits: bool = False) -> DataFrame:
@@ -111,63 +131,76 @@ def provider_rejection_rate(df: DataFrame, rates: dict | DataFrame | None = None
 
 
 # --------------------------------------------------------------------- E2
-def feature_parameters(df: DataFrame) -> DataFrame:
-    """1-row frame of every data-derived scalar variant U needs, by one exact-quantile job.
+def feature_parameters(df: DataFrame, wanted: set[str] | None = None) -> DataFrame | None:
+    """1-row frame of every data-derived scalar that the wanted features need, by one exact-quantile job.
 
-    IQR fences of the three capped columns and the median approval ratio of
+    IQR fences of the capped columns and the median approval ratio of
     Pending bills (0.5 when there is none) come from a long (feature, value)
-    frame of the *input* rows.
+    frame of the *input* rows.  None if no wanted feature needs one.
     """
+    caps = [src for src, dst in CAP_COLUMNS.items() if wanted is None or dst in wanted]
     ratio = F.try_divide(F.col("approved_amount"), F.col("billed_amount"))
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in CAP_COLUMNS]).unpivot(
-        [], list(CAP_COLUMNS), "feature", "value").unionByName(
-        df.where(F.col("claim_status") == "Pending").select(
+    with_ratio = wanted is None or "approval_ratio" in wanted
+    pieces = []
+    if caps:
+        pieces.append(df.select(*[F.col(c).cast("double").alias(c) for c in caps]).unpivot([], caps, "feature", "value"))
+    if with_ratio:
+        pieces.append(df.where(F.col("claim_status") == "Pending").select(
             F.lit("pending_ratio").alias("feature"), ratio.alias("value")))
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    if not pieces:
+        return None
+    q = exact_quantiles(reduce(DataFrame.unionByName, pieces), ["feature"], "value", [0.25, 0.5, 0.75])
     iqr = F.col("q2") - F.col("q0")
     q = q.select("feature", F.greatest(F.lit(0.0), F.col("q0") - 1.5 * iqr).alias("lower"),
                  (F.col("q2") + 1.5 * iqr).alias("upper"), F.col("q1").alias("median"))
-    feats = list(CAP_COLUMNS) + ["pending_ratio"]
-    wide = q.groupBy().pivot("feature", feats).agg(
+    wide = q.groupBy().pivot("feature", caps + ["pending_ratio"] * with_ratio).agg(
         F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("median").alias("median"))
     return wide.select(
-        *[F.col(f"{c}_{s}") for c in CAP_COLUMNS for s in ("lower", "upper")],
-        F.coalesce(F.col("pending_ratio_median"), F.lit(0.5)).alias("_pm"),
+        *[F.col(f"{c}_{s}") for c in caps for s in ("lower", "upper")],
+        *[F.coalesce(F.col("pending_ratio_median"), F.lit(0.5)).alias("_pm")] * with_ratio,
     )
 
 
-def engineer_features(df: DataFrame, rates: dict | DataFrame | None = None) -> DataFrame:
-    """The eleven variant-U features on the merged frame.
+def engineer_features(df: DataFrame, rates: dict | DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+    """The eleven variant-U features on the merged frame, or ``only`` some of them.
 
     Every parameter (patient aggregates, insurer rates, fences, Pending
     median) is computed from ``df`` itself, so the upstream plan is not
-    re-run inside each parameter job.
+    re-run inside each parameter job; parameters that no wanted feature
+    needs are not computed.
     """
-    params = feature_parameters(df)
-    out = patient_aggregates(df)
-    out = provider_rejection_rate(out, rates if rates is not None else rejection_rates_from_data(df))
-    out = out.crossJoin(F.broadcast(params))
-    raw = F.try_divide(F.col("approved_amount"), F.col("billed_amount"))
-    status = F.col("claim_status")
-    out = out.withColumn(
-        "approval_ratio",
-        F.when(raw.isNull() & (status == "Rejected"), F.lit(0.0))
-        .when(raw.isNull() & (status == "Pending"), F.col("_pm"))
-        .when(raw.isNull() & (status == "Paid"), F.lit(1.0))
-        .otherwise(raw),
-    )
+    wanted = None if only is None else set(only)
+    want = lambda *names: wanted is None or bool(wanted & set(names))
+    params = feature_parameters(df, wanted)
+    out = patient_aggregates(df) if want("visit_frequency", "avg_los_per_patient") else df
+    if want("provider_rejection_rate"):
+        out = provider_rejection_rate(out, rates if rates is not None else rejection_rates_from_data(df))
+    if params is not None:
+        out = out.crossJoin(F.broadcast(params))
+    if want("approval_ratio"):
+        raw = F.try_divide(F.col("approved_amount"), F.col("billed_amount"))
+        status = F.col("claim_status")
+        out = out.withColumn(
+            "approval_ratio",
+            F.when(raw.isNull() & (status == "Rejected"), F.lit(0.0))
+            .when(raw.isNull() & (status == "Pending"), F.col("_pm"))
+            .when(raw.isNull() & (status == "Paid"), F.lit(1.0))
+            .otherwise(raw),
+        )
     for src, dst in CAP_COLUMNS.items():
-        out = out.withColumn(dst, clip(F.col(src), F.col(f"{src}_lower"), F.col(f"{src}_upper")))
-    out = out.withColumn("payment_days_capped", F.coalesce(F.col("payment_days_capped"), F.lit(0.0)))
+        if want(dst):
+            capped = clip(F.col(src), F.col(f"{src}_lower"), F.col(f"{src}_upper"))
+            out = out.withColumn(dst, F.coalesce(capped, F.lit(0.0)) if src == "payment_days" else capped)
     out = out.drop("_pm", *[f"{c}_{s}" for c in CAP_COLUMNS for s in ("lower", "upper")])
-    return (
-        out.withColumn(
+    if want("days_since_registration"):
+        out = out.withColumn(
             "days_since_registration",
             clip(F.datediff("visit_date", "registration_date").cast("double"), lower=0.0).cast("int"))
-        .withColumn("visit_month", F.month("visit_date"))
-        .withColumn("visit_dayofweek", weekday_monday0(F.col("visit_date")))
-        .withColumn("visit_quarter", F.quarter("visit_date"))
-    )
+    for name, value in (("visit_month", F.month("visit_date")), ("visit_dayofweek", weekday_monday0(F.col("visit_date"))),
+                        ("visit_quarter", F.quarter("visit_date"))):
+        if want(name):
+            out = out.withColumn(name, value)
+    return out
 
 
 # ---------------------------------------------------------------- E5 - E7
@@ -201,11 +234,14 @@ def encode_alphabetical(df: DataFrame, columns: list[str] = tuple(K.CATEGORY_FIE
 
 
 def build_model_table(df: DataFrame, maps: dict | None = None,
-                      rates: dict | DataFrame | None = None) -> DataFrame:
-    """E2 -> E5 -> the 30 model columns that exist (P10)."""
+                      rates: dict | DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """E2 -> E5 -> the 30 model columns that exist (P10), or only the given ones.
+
+    For some columns, ``df`` needs no more than ``inputs_of`` them.
+    """
     maps = maps or K.testdata_encoding_maps()
-    out = encode_fixed(engineer_features(df, rates), maps)
-    return out.select(*[c for c in K.MODEL_TABLE_COLUMNS if c in out.columns])
+    out = encode_fixed(engineer_features(df, rates, columns), maps)
+    return out.select(*[c for c in columns or K.MODEL_TABLE_COLUMNS if c in out.columns])
 
 
 # --------------------------------------------------------------------- E8

@@ -51,6 +51,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove_last(spark: SparkSession, path: str) -> None:
+    """Delete the file with the largest number as its name, such as a stream's last commit mark."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().isdigit()]
+    if files:
+        fs.delete(max(files, key=lambda f: int(f.getName())), False)
+
+
 # ------------------------------------------------------------------ S7, S8, S9
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV sink (overwrite)."""
