@@ -13,8 +13,8 @@ No negative label is read.
 
 One pass over the corpus turns each whole text into some thirty shape features
 (a table the size of the ids); their mean and spread come from all rows.  The
-scorer is fitted on at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows (in
-expectation), chosen by a hash of the id.
+scorer is fitted on at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, the first
+in the order of a hash.
 
 Defined cases: null and empty texts have the features of an empty text and are
 scored like any other; without a positive or an unlabelled training row every
@@ -187,8 +187,12 @@ def scale(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, size: int, total: int) -> np.ndarray:
-    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    found = rows.where(share * total < size).select("doc_id", "x").toPandas().sort_values("doc_id", kind="stable")
+    """At most ``size`` rows, the first in the order of a hash of id and features."""
+    place = F.xxhash64("doc_id", "x")
+    share = F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))
+    # the share keeps the top-k small; the limit holds however often a row is repeated
+    found = rows.where(share * total < 2 * size).select(place.alias("place"), "doc_id", "x").orderBy(
+        "place", "doc_id", "x").limit(size).toPandas()
     return np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
 
 
@@ -201,8 +205,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ).mapInArrow(_measure, "doc_id long, held_out boolean, x array<double>"))
     stats = table.select([F.col("x")[i].alias(n) for i, n in enumerate(FEATURES)]).agg(
         *[f(n).alias(f"{k}_{n}") for n in FEATURES for k, f in (("m", F.mean), ("s", F.stddev_pop))]).first()
-    mean = np.array([stats[f"m_{n}"] or 0.0 for n in FEATURES])
-    spread = np.maximum(np.array([stats[f"s_{n}"] or 0.0 for n in FEATURES]), 1e-6)
+    # rounded: the last digits of a distributed sum depend on the order of its parts
+    mean = np.array([round(stats[f"m_{n}"] or 0.0, 9) for n in FEATURES])
+    spread = np.maximum(np.array([round(stats[f"s_{n}"] or 0.0, 9) for n in FEATURES]), 1e-6)
     train = table.where("not held_out and doc_id is not null")
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     positive = train.join(trusted, "doc_id", "left_semi")
