@@ -85,3 +85,50 @@ def test_empty_table(spark):
     path = warc.archive_folder(spark)
     warc.write_captures(frame(spark).limit(0), path)
     assert warc.assemble(warc.read_records(spark, path)).count() == 0
+
+
+FIELDS = ("record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, "
+          "record_date string, payload binary, payload_bytes long, payload_digest string, warc_fields string")
+
+
+def make(i, kind, to):
+    return i, kind, to, None, "u", "d", b"b", 1, "x", "f"
+
+
+def test_links_over_several_hops_and_double_links(spark):
+    records = spark.createDataFrame([
+        make("r1", "response", "q1 m1"), make("q1", "request", None), make("m1", "metadata", None),  # both named by the response
+        make("r2", "response", None), make("m2", "metadata", "m3"), make("m3", "metadata", "q2"), make("q2", "request", "r2"),  # three hops
+        make("m4", "metadata", "gone r2"),  # two targets, one of them a capture
+        make("q5", "request", "m5"), make("m5", "metadata", "q5"),  # a loop without a response
+        make("q6", "request", "lost"), make("m6", "metadata", "lost"), make(None, "metadata", "r2")], FIELDS)
+    records = records.withColumn("anchor", F.lit("x")).withColumn("to", F.lit("x"))
+    got = {r.capture_id: (r.response.record_id, sorted(x.block is not None for x in r.requests),
+                          sorted(x.record_id for x in r.metadata if x.record_id)) for r in warc.assemble(records).collect()}
+    assert got == {"r1": ("r1", [True], ["m1"]), "r2": ("r2", [True], ["m2", "m3", "m4"]), "m5": (None, [True], ["m5"]),
+                   "lost": (None, [True], ["m6"]), None: (None, [], [])}
+
+
+def test_repeated_headers_and_cut_archives():
+    record = (b"WARC/1.1\r\nWARC-Record-ID: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Concurrent-To: <c>\r\n"
+              b"Content-Length: 3\r\n\r\nxyz\r\n\r\n")
+    whole = list(warc.parse_records(record * 3))
+    assert len(whole) == 3 and whole[0] == ({"warc-record-id": "<a>", "warc-concurrent-to": "<b> <c>", "content-length": "3"}, b"xyz")
+    import gzip
+
+    members = gzip.compress(record) + gzip.compress(record * 2)
+    assert list(warc.parse_records(members)) == whole
+    assert list(warc.parse_records(members[:-12]))[:1] == whole[:1]
+    assert list(warc.parse_records(record[:30])) == [] and list(warc.parse_records(b"")) == []
+
+
+def test_one_large_page_does_not_size_the_files_of_the_others(spark):
+    path = warc.archive_folder(spark)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://a.example/").alias("url"), F.concat(
+        F.col("id").cast("string"), F.when(F.col("id") == 150, F.repeat(F.lit("large "), 1_700_000)).otherwise("small")).alias("html"))
+    warc.write_captures(pages.coalesce(1), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").count()
+    records = warc.read_records(spark, path)
+    assert files <= 5 and records.count() == 900  # at most one a task, and the large page's
+    sizes = {r.payload_bytes for r in records.where("record_type = 'response'").select("payload_bytes").collect()}
+    assert max(sizes) == 10_200_003

@@ -2,10 +2,13 @@
 
 Writing is one projection into Spark's text sink (a record is header, block and
 the separator the sink adds), gzip-compressed, with as many rows a file as keep
-a file's content under ``MAX_FILE_BYTES``.  Reading parses whole archive files
-and joins the records of a capture through ``WARC-Concurrent-To``: a response or
-revisit anchors its capture, other records reach it directly, from the anchor's
-own link, or over one other record.
+a file's content under ``MAX_FILE_BYTES``; pages far above the usual size get files
+of their own, so they do not decide on the files of all others.  Reading streams
+through an archive record by record (the compressed file is held, one unpacked
+record and a batch of some MB; a file of over 2 GB cannot be read) and joins the
+records of a capture through all its ``WARC-Concurrent-To`` links: a response or
+revisit anchors its capture, other records reach it by a link either way, or over
+any number of other records, by the components of the links.
 
 Defined cases: a null payload is empty; equal payloads share one response, the
 row with the smallest page id (unknown ids last, then the first stored row), and
@@ -20,8 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
-import uuid
+import io
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.session import checkpoint_dir, write_table
+from wardflow.session import new_folder, write_table
+
+from .components import connected_components
 
 MAX_FILE_BYTES = 64 << 20
 MAX_FILE_ROWS = 4000
+#: A page above this size gets a file of its own.
+OUTSIZED_BYTES = MAX_FILE_BYTES // 64
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PRINCIPAL = ("response", "revisit", "resource")
 
@@ -69,8 +75,9 @@ def write_captures(
         F.first("n").alias("size"), F.min_by("url", F.struct(F.col("id").isNull(), "id", "serial")).alias("origin_url"))
     origin = write_table(origin.select(
         "digest", "size", "origin_url", F.col("first.id").alias("origin_id"), F.col("first.serial").alias("origin")))
-    largest = rows.agg(F.max("n")).first()[0] or 1
-    per_file = max(1, min(MAX_FILE_ROWS, MAX_FILE_BYTES // (largest + 2048)))
+    sizes = rows.agg(F.max("n").alias("all"), F.max(F.when(F.col("n") <= OUTSIZED_BYTES, F.col("n"))).alias("usual")).first()
+    usual = sizes["usual"] or 0
+    per_file = max(1, min(MAX_FILE_ROWS, MAX_FILE_BYTES // (usual + 2048)))
 
     def name(kind: str, page: str = "id", serial: str = "serial") -> Column:
         return F.concat(F.lit("<urn:capture:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"),
@@ -101,42 +108,67 @@ def write_captures(
         ("WARC-Type", "metadata"), ("WARC-Record-ID", name("metadata")), ("WARC-Date", day), ("WARC-Target-URI", url),
         ("WARC-Concurrent-To", name("response")), ("Content-Type", "application/warc-fields"),
     ], F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")))
-    (
-        rows.select(F.concat_ws("\r\n\r\n", request, main, metadata).alias("value"))
-        .write.option("compression", "gzip").option("lineSep", "\r\n\r\n")
-        .option("maxRecordsPerFile", per_file).text(path)
-    )
+    parts = [(rows.where(F.col("n") <= usual), per_file)]
+    if (sizes["all"] or 0) > usual:
+        parts.append((rows.where(F.col("n") > usual), 1))
+    for part, limit in parts:
+        part.select(F.concat_ws("\r\n\r\n", request, main, metadata).alias("value")).write.mode("append").option(
+            "compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", limit).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
+    """Lower-cased header fields; of repeated ones the first, but all values of ``warc-concurrent-to``, by a blank."""
     out: dict[str, str] = {}
     for line in head.decode("utf-8", "replace").split("\r\n"):
         key, sep, value = line.partition(":")
-        if sep:
-            out.setdefault(key.strip().lower(), value.strip())
+        key, value = key.strip().lower(), value.strip()
+        if sep and key == "warc-concurrent-to" and key in out:
+            out[key] += f" {value}"
+        elif sep:
+            out.setdefault(key, value)
     return out
 
 
-def _unzip(data: bytes) -> bytes:
-    parts = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        parts.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(parts) if parts else data
+class Unzipped(io.RawIOBase):
+    """The content of gzip members that follow each other, unpacked as it is read; a cut-off end ends it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.packed, self.at, self.member, self.held = memoryview(data), 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not self.held and self.at < len(self.packed):
+            if self.member is None:
+                if self.packed[self.at:self.at + 2] != b"\x1f\x8b":
+                    return 0
+                self.member = zlib.decompressobj(31)
+            part = self.packed[self.at:self.at + (1 << 16)]
+            self.held = self.member.decompress(part)
+            self.at += len(part) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+        n = min(len(target), len(self.held))
+        target[:n], self.held = self.held[:n], self.held[n:]
+        return n
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-cased header fields, block) of each record of one archive, compressed or not."""
-    data, at = _unzip(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    """(lower-cased header fields, block) of each record of one archive, compressed or not, one at a time."""
+    stream = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(Unzipped(data), 1 << 20)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = []
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        if not line:
             return
-        fields = _fields(data[data.index(b"\r\n", at) + 2: end + 2])
-        size = int(fields.get("content-length") or 0)
-        yield fields, data[end + 4: end + 4 + size]
-        at = end + 4 + size
+        fields = _fields(b"".join(head))
+        yield fields, stream.read(int(fields.get("content-length") or 0))
 
 
 _RECORD = ("record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, "
@@ -193,22 +225,47 @@ def without_payloads(records: DataFrame) -> DataFrame:
     return write_table(records.withColumn("payload", F.when(~F.col("record_type").isin(*PRINCIPAL), F.col("payload"))))
 
 
+def _anchors(records: DataFrame, main: Column) -> DataFrame:
+    """``(record_id, anchor)`` of the records that links join to a capture.
+
+    Links to a response, or from one, decide directly.  Where none does, the
+    links that are left are followed as a graph: its component's smallest
+    response is the anchor, without one the smallest id that is no record, or
+    the smallest record.
+    """
+    thin = write_table(records.where("record_id is not null").select(
+        "record_id", F.coalesce(main, F.lit(False)).alias("principal"), "concurrent_to"))
+    links = thin.select("record_id", "principal", F.explode(F.split("concurrent_to", " ")).alias("to"))
+    captures = thin.where("principal").select("record_id").distinct()
+    to_capture = links.where("not principal").join(captures.toDF("to"), "to").select("record_id", F.col("to").alias("anchor"))
+    from_capture = links.where("principal").select(F.col("to").alias("record_id"), F.col("record_id").alias("anchor"))
+    direct = write_table(to_capture.union(from_capture).groupBy("record_id").agg(F.min("anchor").alias("anchor")))
+    left = write_table(links.where("not principal").join(direct, "record_id", "left_anti").select("record_id", "to"))
+    if not left.head(1):
+        return direct
+    reached = direct.join(left.select(F.col("to").alias("record_id")).distinct(), "record_id", "left_semi")
+    edges = left.union(reached.select("record_id", F.col("anchor").alias("to")))
+    groups = connected_components(edges.select(F.xxhash64("record_id").alias("a"), F.xxhash64("to").alias("b")))
+    names = edges.select("record_id").union(edges.select("to")).distinct()
+    kind = thin.groupBy("record_id").agg(F.max("principal").alias("principal"))
+    rank = F.when(F.col("principal"), 0).when(F.col("principal").isNull(), 1).otherwise(2)
+    ranked = names.join(kind, "record_id", "left").withColumn("node", F.xxhash64("record_id")).join(groups, "node")
+    best = write_table(ranked.groupBy("component").agg(F.min(F.struct(rank.alias("rank"), "record_id")).alias("best")))
+    found = ranked.join(best, "component").select("record_id", F.col("best.record_id").alias("anchor"))
+    return direct.union(found.join(left.select("record_id").distinct(), "record_id", "left_semi"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: ``capture_id``, ``response``, and the arrays ``requests`` and ``metadata``.
 
     ``response.record_id`` is null where no response, revisit or resource record
-    was found.
+    was found.  Columns beside those of ``read_records`` are not read.
     """
+    records = records.select(*[x.split()[0] for x in _RECORD.split(", ")])
     main = F.col("record_type").isin(*PRINCIPAL)
     others = records.where(~main | F.col("record_type").isNull())
-    links = others.select(F.col("record_id").alias("id"), F.col("concurrent_to").alias("to")).union(
-        records.where(main).select("concurrent_to", "record_id")).where("id is not null and to is not null")
-    links = links.groupBy("id").agg(F.min("to").alias("to"))
-    hop = links.alias("a").join(links.select(F.col("id").alias("via"), F.col("to").alias("end")).alias("b"),
-                                F.expr("a.to = b.via"), "left")
-    anchors = hop.select(F.col("id").alias("record_id"), F.coalesce("end", "to").alias("anchor"))
     keyed = records.where(main).withColumn("anchor", F.col("record_id")).unionByName(
-        others.join(anchors, "record_id", "left").withColumn("anchor", F.coalesce("anchor", "record_id")))
+        others.join(_anchors(records, main), "record_id", "left").withColumn("anchor", F.coalesce("anchor", "record_id")))
     one = lambda c: F.first(F.when(main, F.col(c)), ignorenulls=True).alias(c)
     picked = ("record_id", "record_type", "refers_to", "target_uri", "record_date", "payload", "payload_bytes",
               "payload_digest")
@@ -225,4 +282,4 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for an archive in the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "warc", uuid.uuid4().hex)
+    return new_folder(spark, "warc")
