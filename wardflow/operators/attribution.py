@@ -6,8 +6,11 @@ seeded feature permutations, the d+1 coalitions along the permutation
 value = training mean) are exploded into rows and scored together by the
 fitted pipeline's ``transform``.  The marginal contribution of the feature
 added at each step is the probability change; averaging over permutations
-gives a sampled Shapley value per (row, feature, class).  It approximates,
-and does not equal, exact tree SHAP.
+gives a sampled Shapley value per (row, feature, class).  Permutations come in
+antithetic pairs (one and its reverse); the spread of the pair means gives the
+standard error of every value, and with ``max_error`` more rounds of pairs are
+drawn until no value's error is above it.  For a linear score every permutation
+gives the exact value.  In general it approximates exact tree SHAP.
 
 Rows are chosen by hash order (``orderBy(hash).limit(n)``): the limit is
 the sampling feature of this operator, and it is deterministic.
@@ -19,44 +22,68 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardflow.session import write_table
+
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Deterministic sample of ``n`` rows by hash of the key (a sampling operator)."""
     return df.withColumn("_sh", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_sh", key).limit(n).drop("_sh")
 
 
-def shapley_values(model, rows: DataFrame, background: DataFrame, features: list[str], classes: list[str],
-                   key: str, n_perm: int = 8, seed: int = 42) -> DataFrame:
-    """(key, feature, class_name, shap, base_value) for every given row."""
+def _pair_means(score, rows: DataFrame, features: list[str], key: str, first: int, n_pairs: int, seed: int) -> DataFrame:
+    """(key, _fi, _ci, delta, base): contributions averaged over each pair of permutations."""
     d = len(features)
-    bg = background.agg(*[F.avg(F.col(f).cast("double")).alias(f"_bg_{f}") for f in features])
-    perms = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).crossJoin(F.broadcast(bg)) \
-        .withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    perms = rows.withColumn("_pair", F.explode(F.sequence(F.lit(first), F.lit(first + n_pairs - 1)))) \
+        .withColumn("_back", F.explode(F.array(F.lit(False), F.lit(True))))
     order = F.transform(
-        F.array_sort(F.array(*[F.struct(F.xxhash64(F.col(key), "_p", F.lit(i), F.lit(seed)).alias("h"),
+        F.array_sort(F.array(*[F.struct(F.xxhash64(F.col(key), "_pair", F.lit(i), F.lit(seed)).alias("h"),
                                         F.lit(i).alias("i")) for i in range(d)])),
         lambda s: s["i"])
-    perms = perms.withColumn("_perm", order).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    perms = perms.withColumn("_perm", F.when(F.col("_back"), F.reverse(order)).otherwise(order)) \
+        .withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(d))))
     coal = perms
     for i, f in enumerate(features):
         pos = F.array_position("_perm", F.lit(i)) - 1
         coal = coal.withColumn(f, F.when(pos < F.col("_m"), F.col(f)).otherwise(F.col(f"_bg_{f}")))
-    scored = model.transform(coal.drop(*[f"_bg_{f}" for f in features])) \
-        .select(key, "_p", "_m", "_perm", vector_to_array("probability").alias("_prob"))
-    w = Window.partitionBy(key, "_p").orderBy("_m")  # d + 1 rows per window
-    steps = scored.withColumn("_prev", F.lag("_prob").over(w)).where(F.col("_m") > 0) \
-        .withColumn("_fi", F.element_at("_perm", F.col("_m")))
-    base = scored.where(F.col("_m") == 0).groupBy(key).agg(
-        F.array(*[F.avg(F.col("_prob")[c]) for c in range(len(classes))]).alias("_base"))
-    contrib = steps.select(key, "_fi", F.posexplode(F.zip_with("_prob", "_prev", lambda a, b: a - b))
-                           .alias("_ci", "_delta"))
-    shap = contrib.groupBy(key, "_fi", "_ci").agg(F.avg("_delta").alias("shap"))
+    scored = score(coal.drop(*[f"_bg_{f}" for f in features])).select(key, "_pair", "_back", "_m", "_perm", "_prob")
+    w = Window.partitionBy(key, "_pair", "_back").orderBy("_m")  # d + 1 rows per window
+    steps = scored.withColumn("_prev", F.lag("_prob").over(w)).withColumn("_none", F.first("_prob").over(w)) \
+        .where(F.col("_m") > 0).withColumn("_fi", F.element_at("_perm", F.col("_m")))
+    each = steps.select(key, "_pair", "_fi", "_none", F.posexplode(F.zip_with("_prob", "_prev", lambda a, b: a - b))
+                        .alias("_ci", "_delta"))
+    return each.groupBy(key, "_pair", "_fi", "_ci").agg(
+        F.avg("_delta").alias("delta"), F.first(F.element_at("_none", F.col("_ci") + 1)).alias("base"))
+
+
+def shapley_values(model, rows: DataFrame, background: DataFrame, features: list[str], classes: list[str],
+                   key: str, n_perm: int = 8, seed: int = 42, score=None, max_error: float | None = None,
+                   max_rounds: int = 8) -> DataFrame:
+    """(key, feature, class_name, shap, base_value, std_error) for every given row; ``key`` is unique.
+
+    ``score`` adds the array column ``_prob`` (one number a class) to feature
+    rows; without it the pipeline ``model`` does.  The values of a row and class
+    sum to its score less the base value, the score of the background.
+    """
+    if score is None:
+        score = lambda df: model.transform(df).withColumn("_prob", vector_to_array("probability"))
+    bg = background.agg(*[F.avg(F.col(f).cast("double")).alias(f"_bg_{f}") for f in features])
+    given = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).crossJoin(F.broadcast(bg))
+    pairs, drawn = max(1, n_perm // 2), None
+    found = None
+    for at in range(max_rounds if max_error is not None else 1):
+        now = write_table(_pair_means(score, given, features, key, at * pairs, pairs, seed))
+        drawn = now if drawn is None else drawn.unionByName(now)
+        found = drawn.groupBy(key, "_fi", "_ci").agg(
+            F.avg("delta").alias("shap"), F.first("base").alias("base_value"),
+            (F.stddev_samp("delta") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+        worst = found.agg(F.max("std_error")).first()[0] if max_error is not None else None
+        if worst is not None and worst <= max_error:
+            break
     names = F.array(*[F.lit(f) for f in features])
     cls = F.array(*[F.lit(c) for c in classes])
-    return shap.join(base, key).select(
+    return found.select(
         key, F.element_at(names, F.col("_fi") + 1).alias("feature"),
-        F.element_at(cls, F.col("_ci") + 1).alias("class_name"), "shap",
-        F.element_at("_base", F.col("_ci") + 1).alias("base_value"))
+        F.element_at(cls, F.col("_ci") + 1).alias("class_name"), "shap", "base_value", "std_error")
 
 
 def v8_mean_abs_attribution(shap: DataFrame) -> DataFrame:

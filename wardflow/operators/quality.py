@@ -223,24 +223,27 @@ def q10_range_violations(df: DataFrame, ranges: dict | None = None) -> DataFrame
     return wide.unpivot([], cols, "column_name", "violation_count")
 
 
-def category_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct (column_name, value) pairs of several string columns (one shuffle)."""
+def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of each (column_name, value) pair of several string columns (one shuffle)."""
     cols = [c for c in columns if c in df.columns]
     return (
         df.select(*cols).unpivot([], cols, "column_name", "value")
         .where(F.col("value").isNotNull())
-        .distinct()
+        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
     )
 
 
-def q10_unseen_categories(df: DataFrame, maps: dict | None = None) -> DataFrame:
-    """validate_dataframe, part 3 / W8: category values absent from the maps."""
-    maps = maps or K.testdata_encoding_maps()
+def unseen_counts(df: DataFrame, maps: dict) -> DataFrame:
+    """(column_name, value, n_rows) of the category values absent from the maps."""
     known = df.sparkSession.createDataFrame(
         [(c, v) for c, m in maps.items() for v in m], "column_name string, value string"
     )
-    seen = category_values(df, list(maps))
-    return seen.join(F.broadcast(known), ["column_name", "value"], "left_anti").select(
+    return category_counts(df, list(maps)).join(F.broadcast(known), ["column_name", "value"], "left_anti")
+
+
+def q10_unseen_categories(df: DataFrame, maps: dict | None = None) -> DataFrame:
+    """validate_dataframe, part 3 / W8: category values absent from the maps."""
+    return unseen_counts(df, maps or K.testdata_encoding_maps()).select(
         "column_name", F.col("value").alias("unseen_value"))
 
 
@@ -265,7 +268,8 @@ def q12_validate_input_schema(new_df: DataFrame, schema_df: DataFrame, maps: dic
 
     Rows: (feature, check_name, status, n_values, pct, detail) with check_name
     in MISSING / NULLS / RANGE / OK / UNSEEN_CATEGORY and status OK / WARN /
-    ERROR; ``detail`` lists the values of an unseen category in text order.
+    ERROR.  An unseen category value is a row of its own: ``detail`` is the
+    value and ``n_values`` the rows that hold it.
     The schema is a small per-feature frame (bounded by the number of
     features), joined by broadcast.
     """
@@ -298,14 +302,9 @@ def q12_validate_input_schema(new_df: DataFrame, schema_df: DataFrame, maps: dic
     ok = stats.where((F.col("_out") == 0) & (F.col("_null_pct") <= 10)).select(
         "feature", F.lit("OK").alias("check_name"), F.lit("OK").alias("status"),
         F.lit(0).cast("bigint").alias("n_values"), F.lit(0.0).alias("pct"))
-    unseen = (
-        q10_unseen_categories(new_df, {k: v for k, v in maps.items() if k in K.CATEGORY_FIELDS})
-        .groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("n_values"),
-            F.array_join(F.sort_array(F.collect_list("unseen_value")), ", ").alias("detail"))
-        .select(F.col("column_name").alias("feature"), F.lit("UNSEEN_CATEGORY").alias("check_name"),
-                F.lit("ERROR").alias("status"), "n_values", F.lit(None).cast("double").alias("pct"), "detail")
-    )
+    unseen = unseen_counts(new_df, {k: v for k, v in maps.items() if k in K.CATEGORY_FIELDS}).select(
+        F.col("column_name").alias("feature"), F.lit("UNSEEN_CATEGORY").alias("check_name"), F.lit("ERROR").alias("status"),
+        F.col("n_rows").alias("n_values"), F.lit(None).cast("double").alias("pct"), F.col("value").alias("detail"))
     out = nulls.unionByName(rng).unionByName(ok).unionByName(unseen, allowMissingColumns=True)
     if missing:
         out = out.unionByName(spark.createDataFrame(

@@ -532,6 +532,33 @@ def _v8(t: Tables):
         X.shapley_values(model, rows, tr, K.MODEL_FEATURES_U, K.CLAIM_CLASSES, "row_key"))
 
 
+def _v8_linear(t: Tables):
+    """V8 on a score whose Shapley values are known: the sum of the features in standard deviations.
+
+    One row a feature: the mean absolute value, the largest standard error, and the largest gap between the sum
+    of a row's values and its score less the base value.
+    """
+    from pyspark.sql import functions as F
+
+    from wardflow.operators import attribution as X
+
+    feats = CLAIM_CENTROID_FEATURES
+    tr, te = E.time_split(materialize(_model_table(t, ["visit_date", *feats]).dropna()), "visit_date", TESTDATA_SPLIT_DATE)
+    spread = tr.agg(*[F.stddev_samp(f).alias(f) for f in feats]).first()  # one number a feature
+    total = sum((F.col(f) / F.lit(spread[f]) for f in feats), F.lit(0.0))
+    rows = te.select(*[F.col(f).cast("double").alias(f) for f in feats]).distinct().withColumn("row_key", F.xxhash64(*feats))
+    rows = materialize(rows.dropDuplicates(["row_key"]))
+    values = materialize(X.shapley_values(
+        None, rows, tr, feats, ["score"], "row_key", n_perm=4, score=lambda df: df.withColumn("_prob", F.array(total)),
+        max_error=1e-6, max_rounds=2))
+    gap = values.groupBy("row_key").agg(F.sum("shap").alias("told"), F.first("base_value").alias("base")).join(
+        rows.select("row_key", total.alias("score")), "row_key").agg(
+        F.max(F.abs(F.col("told") - (F.col("score") - F.col("base")))).alias("gap"))
+    return values.groupBy("feature").agg(
+        F.round(F.avg(F.abs("shap")), 6).alias("mean_abs_shap"), F.round(F.max("std_error"), 6).alias("max_error"),
+        F.count(F.lit(1)).alias("n_rows")).crossJoin(F.broadcast(gap.select(F.round("gap", 6).alias("additivity_gap"))))
+
+
 def _v9(t: Tables):
     """Attribution of one row, the one with the smallest key."""
     from pyspark.sql import functions as F
@@ -556,7 +583,7 @@ def _d7(t: Tables):
     return D.d4_prediction_drift(risk, D.d7_bootstrap(risk, "row_name", seed=42), K.RISK_CLASSES, pred_col="code")
 
 
-for _name, _fn in [("e11_smote_class_counts", _e11), ("v8_attribution_claim", _v8),
+for _name, _fn in [("e11_smote_class_counts", _e11), ("v8_attribution_claim", _v8), ("v8_linear_attribution", _v8_linear),
                    ("v9_explain_one_claim", _v9), ("d7_bootstrap_prediction_drift", _d7)]:
     register(_name, _fn)
 
