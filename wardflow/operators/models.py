@@ -21,7 +21,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.scalar import argmax_label, map_lookup
@@ -203,6 +203,38 @@ def feature_importances(model: PipelineModel, features: list[str], top: int | No
     return out.limit(top) if top else out
 
 
+def permutation_importances(rows: DataFrame, features: list[str], label: str, key: Column, predict_rows,
+                            tie_columns: list[str], seed: int = 42) -> DataFrame:
+    """M7 / W4 for any model: accuracy lost when one feature's values are dealt out anew, ranked.
+
+    ``predict_rows`` adds ``prediction``.  The deal is a permutation that can be
+    replayed: rows are numbered by the MD5 of their key (ties by
+    ``tie_columns``), donors by that of the key and the feature, and the values
+    change hands by equal number.  Both orders are range-partitioned sorts; no
+    window holds the table.
+    """
+    from wardflow.functions.prefix import row_numbers
+    from wardflow.session import write_table
+
+    def numbered(df: DataFrame, salt: str) -> DataFrame:
+        place = F.md5(F.concat_ws(":", F.col("_key"), F.lit(salt), F.lit(str(seed))))
+        return row_numbers(df.withColumn("_h", place), ["_h", *tie_columns], "_at").drop("_h")
+
+    base = write_table(numbered(rows.select(label, *dict.fromkeys([*features, *tie_columns]), key.alias("_key")), "row"))
+    hit = F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")
+    out = predict_rows(base).agg(hit).select(F.lit("").alias("feature"), "accuracy")
+    for f in features:
+        donors = numbered(base.drop("_at"), f).select("_at", F.col(f).alias("_given"))
+        dealt = base.join(donors, "_at").withColumn(f, F.col("_given")).drop("_given")
+        out = out.unionByName(predict_rows(dealt).agg(hit).select(F.lit(f).alias("feature"), "accuracy"))
+    found = write_table(out)  # a row a feature
+    full = found.where("feature = ''").select(F.col("accuracy").alias("_full"))
+    drops = found.where("feature != ''").crossJoin(F.broadcast(full)).select(
+        "feature", F.round(F.col("_full") - F.col("accuracy"), 6).alias("importance"))
+    ranked = Window.orderBy(F.desc("importance"), "feature")  # a row a feature
+    return drops.withColumn("rank", F.row_number().over(ranked))
+
+
 def model_comparison(metric_rows: DataFrame) -> DataFrame:
     """M9: rows (model, accuracy, macro_f1, ...) plus the winner by macro F1."""
     best = metric_rows.agg(F.max_by("model", "macro_f1").alias("winner"))

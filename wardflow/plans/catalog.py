@@ -302,6 +302,21 @@ def _m7(t: Tables):
     return M.feature_importances(model, K.MODEL_FEATURES_U)
 
 
+def _m7_permuted(t: Tables):
+    """Permutation importances of the baseline claim model on the new rows."""
+    from pyspark.sql import functions as F
+
+    feats, label = CLAIM_CENTROID_FEATURES, "claim_status"
+    base = merged_table(t, ["visit_id", "bill_id", *E.inputs_of(["visit_date", label, *feats])])
+    # the keys go through the feature projection as they are
+    rows = E.engineer_features(base, only=feats).select("visit_id", "bill_id", "visit_date", label, *feats)
+    tr, te = E.time_split(materialize(rows.where(F.col(label).isNotNull())), "visit_date", TESTDATA_SPLIT_DATE)
+    model = materialize(M.centroid_fit(tr, feats, label, K.CLAIM_CLASSES))
+    return M.permutation_importances(
+        te, feats, label, F.concat_ws("-", "visit_id", "bill_id"),
+        lambda df: M.centroid_predict(df, model, feats, K.CLAIM_CLASSES), feats)
+
+
 def _m9(t: Tables):
     from pyspark.sql import functions as F
 
@@ -502,6 +517,7 @@ for _name, _fn in [
     ("m6_score_test_visits", _m6),
     ("m6_score_baseline", _m6_baseline),
     ("m7_feature_importances", _m7),
+    ("m7_permutation_importances", _m7_permuted),
     ("m8_leakage_ablation", _m8),
     ("m9_model_comparison", _m9),
     ("a15_prediction_log_summary", _a15),
