@@ -153,3 +153,28 @@ def test_hot_patient_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_psi_scans_each_feature_alone(spark, monkeypatch):
+    rows = [(float(i % 7), float(i), None if i % 5 else float(i)) for i in range(200)]
+    old = spark.createDataFrame(rows, "a double, b double, c double")
+    new = spark.createDataFrame([(x + 1, y * 2, z) for x, y, z in rows], old.schema)
+    plans, write = [], D.write_table
+    monkeypatch.setattr(D, "write_table", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    for variant in ("utils", "notebook"):
+        got = {r.feature: r.psi for r in D.psi_table(old, new, ["a", "b", "c"], variant).collect()}
+        for at, f in enumerate("abc"):
+            e = [r[at] for r in rows if r[at] is not None]
+            a = [r[f] for r in new.collect() if r[f] is not None]
+            edges = np.quantile(e, np.linspace(0, 1, 11))
+            edges = np.unique(edges) if variant == "utils" else edges
+            n = len(edges) - 1
+            bins = lambda xs: np.array([sum(
+                lo <= x and (x < hi or (variant == "utils" and i == n - 1 and x == hi)) for x in xs)
+                for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))], float)
+            if variant == "utils":
+                p, q = ((bins(xs) + 1e-4) / (len(xs) + 1e-4 * n) for xs in (e, a))
+            else:
+                p, q = (np.maximum(bins(xs) / len(xs), 1e-4) for xs in (e, a))
+            assert abs(got[f] - ((q - p) * np.log(q / p)).sum()) < (1e-9 if variant == "utils" else 1e-4)
+    assert all("Generate" not in p for p in plans)

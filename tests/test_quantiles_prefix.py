@@ -104,3 +104,14 @@ def test_quantile_rounds_carry_no_values(spark):
         Q.write_table = write
     assert abs(r.q0 - 1.37 * 29999 / 2) < 1e-9
     assert all(d.count() <= 600 for d in seen)
+
+
+def test_neighbouring_doubles_lose_no_round(spark, monkeypatch):
+    from wardflow.functions import quantiles as Q
+
+    near = [0.95, float(np.nextafter(0.95, 1)), float(np.nextafter(0.95, 0))]
+    xs = [near[i % 3] for i in range(90)] + [i / 10 for i in range(10)]
+    df = spark.createDataFrame([(1, x) for x in xs], "k int, v double")
+    monkeypatch.setattr(Q, "MAX_ROUNDS", 2)  # one round to the clump, one to tell its values apart
+    r = exact_quantiles(df, ["k"], "v", [0.25, 0.5, 0.75], max_window_rows=20).first()
+    assert np.allclose([r.q0, r.q1, r.q2], np.quantile(xs, [0.25, 0.5, 0.75]), rtol=0, atol=0)
