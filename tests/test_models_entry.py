@@ -66,3 +66,27 @@ def test_oracles_small_scale(spark):
 
     res = compare(spark, "/root/testdata/sf0.001", ["r", "q1_", "q4_", "q9_"], verbose=False)
     assert res and all(v[0] != "MISMATCH" for v in res.values()), res
+
+
+def test_merged_frame_is_written_once_a_query(spark, monkeypatch):
+    from fixtures import hand_tables
+
+    from wardflow.plans import catalog as C
+
+    made, write = [], C.merged_table
+    monkeypatch.setattr(C, "merged_table", lambda *a, **k: made.append(a) or write(*a, **k))
+    t = hand_tables(spark)
+    for plan in (C._baseline_responses, C._d5, C._d6, C._s15):
+        made.clear()
+        plan(t)
+        assert len(made) == 1, plan
+
+
+def test_centroid_scores_compile(spark):
+    df = _toy(spark)
+    model = M.centroid_fit(df, ["x1", "x2"], "y", ["hi", "lo", "mid"])
+    out = M.centroid_predict(df.unionByName(df.limit(1).withColumn("x1", F.lit(None).cast("double"))), model, ["x1", "x2"],
+                             ["hi", "lo", "mid"])
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.columns == ["x1", "x2", "y", "probs", "prediction", "confidence"]
+    assert out.where("x1 is null").first().probs == [None] * 3
