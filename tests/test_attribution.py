@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardflow.operators.attribution import shapley_values
+from wardflow.operators.attribution import _pair_means, shapley_values
 
 FEATURES = ["a", "b", "c"]
 
@@ -69,3 +69,12 @@ def test_rounds_go_on_until_the_error_is_small(spark):
     error = lambda df: df.agg(F.avg("std_error")).first()[0]
     assert error(many) < error(one)
     assert shapley_values(None, rows.limit(0), back, FEATURES, ["product", "sum"], "key", **options).count() == 0
+
+
+def test_coalitions_are_not_exchanged(spark):
+    rows = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(20)], "k long, a double, b double")
+    score = lambda df: df.withColumn("_prob", F.array(F.col("a") + F.col("b")))
+    given = rows.crossJoin(rows.agg(F.avg("a").alias("_bg_a"), F.avg("b").alias("_bg_b")))
+    found = _pair_means(score, given, ["a", "b"], "k", 0, 2, 42)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
