@@ -48,3 +48,39 @@ def test_absent_class_unknown_labels_and_empty_table(spark):
     assert model.predict(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="no row"):
         fit_boosting(df.where("y = 'q'"), ["x"], "y", CLASSES)
+
+
+def test_a_level_of_all_classes_is_one_pass(spark):
+    """Jobs of a round: a pass a level, the write and the loss; not a tree a class with passes of its own."""
+    train = frame(spark, 300, 3).cache()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"boost-{rounds}", "boosting")
+        try:
+            fit_boosting(train, ["x0", "x1", "x2"], "y", CLASSES, rounds=rounds, max_depth=3)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"boost-{rounds}"))
+
+    assert jobs(3) - jobs(1) <= 2 * 12
+
+
+def test_cuts_are_those_of_largest_gain(spark):
+    """The first tree against a search of all cuts; unknown values go right."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 6, size=(200, 3)).astype(float)
+    y = np.where(x[:, 1] + rng.normal(size=200) > 3, "a", "b")
+    x[:20, 1] = np.nan
+    rows = [(*(None if np.isnan(v) else float(v) for v in r), str(k)) for r, k in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, y string")
+    model = fit_boosting(df, ["x0", "x1", "x2"], "y", ["a", "b"], rounds=1, max_depth=1)
+    up = (y == "a") - (y == "a").mean()
+    gains = {}
+    for f in range(3):
+        for v in range(5):
+            left = x[:, f] <= v
+            gains[f, float(v)] = up[left].sum() ** 2 / left.sum() + up[~left].sum() ** 2 / (~left).sum()
+    tree = model.trees[0][0]
+    assert (tree.feature[1], tree.threshold[1]) == max(gains, key=gains.get)
+    assert model.predict(df).where("predicted_class is null or confidence is null").count() == 0
