@@ -89,3 +89,27 @@ def test_synthetic_rows_lie_between_a_row_and_a_true_neighbour(spark):
     lone = out.where("synthetic and y = 'alone'").select("a").distinct().collect()
     assert [r.a for r in lone] == [9.0]
     assert out.where(F.col("a").isNull()).count() == 0
+
+
+def test_refinement_exchanges_edges_not_pairs(spark):
+    """The lists of a row's neighbours come as one row an edge and hold no candidate beyond the row's last neighbour."""
+    from wardflow.operators.neighbors import _second
+
+    rng, n, keep = np.random.default_rng(5), 120, 4
+    x = rng.normal(size=(n, 3))
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    lists = {i: sorted((float(far[i, j]), int(j)) for j in rng.choice([j for j in range(n) if j != i], keep, replace=False))
+             for i in range(n)}
+    lists[0] = lists[0][:2]  # a short list has room for any candidate
+    best = spark.createDataFrame([(i, v) for i, v in lists.items()], "id long, near array<struct<distance: double, id: long>>")
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, x array<double>")
+    rows = _second(best, vectors, keep, 3).collect()
+    assert len(rows) <= sum(map(len, lists.values()))
+    got: dict[int, set] = {}
+    for r in rows:
+        got.setdefault(r.id, set()).update(e.id for e in r.near)
+        assert all(e.distance == pytest.approx(far[r.id, e.id]) for e in r.near)
+    for a in range(n):
+        second = {c for _, b in lists[a] for _, c in lists[b]} - {a}
+        worst = lists[a][-1][0] if len(lists[a]) >= keep else np.inf
+        assert got.get(a, set()) == {c for c in second if far[a, c] <= worst + 1e-12}
