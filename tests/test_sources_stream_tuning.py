@@ -108,3 +108,22 @@ def test_cuts_are_deleted_with_their_block(spark):
         assert kept.count() == 5
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_packed_feed_and_logs(spark, scratch):
+    """A gzip-packed feed is read, and the logs of the stream are packed too."""
+    from wardflow.streaming.scoring_stream import stream_summary
+
+    feed, log = os.path.join(scratch, "feed"), os.path.join(scratch, "log")
+    df = _claims(spark, 40).drop("claim_status")
+    df.coalesce(1).write.option("compression", "gzip").option("maxRecordsPerFile", 10).json(feed)
+    t1_score_request_stream(
+        spark, feed, None, K.CLAIM_CLASSES, K.HOSPITAL_ENCODING_MAPS, CLAIM_FEED_BOUNDS, [], log, os.path.join(scratch, "ck"),
+        files_per_batch=2, scorer=lambda rows: rows.withColumn("predicted_class", F.lit("Paid")).withColumn(
+            "confidence", F.lit(1.0))).awaitTermination(180)
+    for kind in ("predictions", "quarantine"):
+        assert sorted(os.listdir(f"{log}/{kind}")) == ["epoch=0", "epoch=1"]
+        parts = [f for _, _, names in os.walk(f"{log}/{kind}") for f in names if f.startswith("part-")]
+        assert parts and all(f.endswith(".json.gz") for f in parts)
+    rows = stream_summary(spark, log).where("outcome != 'error'").collect()
+    assert sum(r.n for r in rows) == 40
