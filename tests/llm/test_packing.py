@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from wardflow.llm import packing as pk
@@ -32,6 +33,43 @@ def test_word_encoder_equals_the_tokenizer():
         assert b"".join(enc.cache[w] for w in ws) == ids(t)[:-1].tobytes(), t
 
 
+def test_one_cache_holds_words_and_their_parts():
+    with open(PATH, encoding="utf-8") as f:
+        enc = pk.WordEncoder(f.read())
+    enc.learn({b"river", b"river,", b"it's", b"River"})
+    assert set(enc.cache) == {b"river", b"river,", b",", b"it's", b"it", b"'s", b"River"}
+    assert not [x for x in vars(enc).values() if isinstance(x, dict) and x is not enc.cache and x is not enc.alphabet]
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    """However wide the rows are, few of them are held at once; the session's own setting stays."""
+    from wardflow.session import arrow_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    seen, pieces = [], pk._pieces
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(key)))
+        return pieces(*args)
+
+    pk._pieces = watched
+    try:
+        pk.pack(spark.range(1200).selectExpr("id as doc_id", "'a b' as text"), PATH)
+    finally:
+        pk._pieces = pieces
+    assert seen == [pk.BATCH_TEXTS] and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows, b.nbytes])], ["n"])
+
+    wide = spark.range(0, 1200, 1, 1).selectExpr("repeat('x', 100000) as text")
+    with arrow_batches(spark, pk.BATCH_TEXTS, pk.BATCH_BYTES):
+        found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(found[::2]) == 1200 and max(found[1::2]) < 2 * 4 * 2**20
+
+
 def test_best_fill_is_optimal():
     r = random.Random(1)
     for _ in range(60):

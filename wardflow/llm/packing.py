@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.session import write_table
+from wardflow.session import arrow_batches, write_table
 
 WINDOW = 2048
 END_ID = 1
 #: Bound of a worker's word cache (entries); a full cache is emptied.
 CACHE_WORDS = 400_000
+#: Texts, and bytes, that a worker is sent at once.
+BATCH_TEXTS, BATCH_BYTES = 500, "4m"
 #: Lead bytes from U+0300 on: combining marks and other scripts.
 _BEYOND = bytes(range(0xCC, 0xF5))
 
@@ -78,7 +80,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.merge = self.tokenizer.model.tokenize
-        self.cache, self.parts = WordCache(self.word_ids), WordCache(self.part_ids)
+        self.cache = WordCache(self.word_ids)  # of words and of the parts that they are cut into
         # the byte alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -93,12 +95,13 @@ class WordEncoder:
     def word_ids(self, word: bytes) -> bytes:
         low = word.lower()
         if low.isalpha():  # ASCII letters only
-            return self.parts[low]
+            return self.part_ids(low) if low == word else self.cache[low]
         if low[:-1].isalpha() and low[-1] < 0x80:  # letters and one mark
-            return self.parts[low[:-1]] + self.parts[low[-1:]]
+            return self.cache[low[:-1]] + self.cache[low[-1:]]
         if b"<|" in word or self.capital_mark.search(word):
             return self.part_ids(word)
-        return b"".join(map(self.parts.__getitem__, self.after_letter.sub(rb"\1 ", low).split()))
+        parts = self.after_letter.sub(rb"\1 ", low).split()
+        return self.part_ids(low) if len(parts) == 1 else b"".join(map(self.cache.__getitem__, parts))
 
     def part_ids(self, part: bytes) -> bytes:
         if part.isalpha():
@@ -118,9 +121,8 @@ class WordEncoder:
             self.cache[w]
 
     def trim(self) -> None:
-        for cache in (self.cache, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
 
 
 def worker_encoder(key: str, tokenizer) -> WordEncoder:
@@ -245,10 +247,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         text = f.read()
     key, tokenizer = sha256(text.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(text)
     names = "start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = write_table(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_pieces(key, tokenizer, window, end_id), f"doc_id long, {names}, task long, rank long")
-    )
+    with arrow_batches(docs.sparkSession, BATCH_TEXTS, BATCH_BYTES):
+        pieces = write_table(
+            docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+            .mapInArrow(_pieces(key, tokenizer, window, end_id), f"doc_id long, {names}, task long, rank long")
+        )
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = write_table(per_task.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
