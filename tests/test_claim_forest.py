@@ -120,3 +120,17 @@ def test_claim_model_is_grown_over_binned_blocks(spark, monkeypatch):
     monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda *a, **k: pytest.fail("rows with their draws are cached"))
     model, tr, te = C._claim_rf(hand_tables(spark))
     assert isinstance(model, W.Forest) and model.params["numTrees"] == 3
+
+
+def test_attribution_takes_every_row(spark, monkeypatch):
+    """More rows than the former sample of 300, some of them equal."""
+    small_model(monkeypatch)
+    seen, values = [], X.shapley_values
+    monkeypatch.setattr(X, "shapley_values", lambda m, rows, *a, **k: seen.append(rows.count()) or values(m, rows, *a, **k))
+    train = frame(spark, 400, 8)
+    rows = train.withColumn("row_key", F.xxhash64(*COLUMNS)).unionByName(train.limit(20).withColumn("row_key", F.lit(7).cast("long")))
+    (model,) = M.train_forests(train, [COLUMNS], "y", CLASSES)
+    monkeypatch.setattr(C, "_claim_rf", lambda t, keyed: (model, train, rows))
+    monkeypatch.setattr(C.K, "MODEL_FEATURES_U", COLUMNS)
+    monkeypatch.setattr(C.K, "CLAIM_CLASSES", CLASSES)
+    assert C._v8(None).count() == 9 and seen == [420]
