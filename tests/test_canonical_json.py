@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from wardflow.functions.canonical_json import canonical_json, json_float, json_string
+from wardflow.functions.canonical_json import _plain, canonical_json, json_float, json_string
 
 
 def test_float_text_is_the_shortest(spark):
@@ -46,3 +46,17 @@ def test_no_python_worker(spark):
     df = spark.createDataFrame([(1, "a", 0.5)], "a int, b string, c double")
     plan = df.select(input_hash(df, ["a", "b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_plain_decimals_take_the_engine_s_text(spark):
+    """Every count of digits around the limit of 15, both signs, and the ends of the plain range."""
+    rng = random.Random(8)
+    values = [0.001, 0.002, 0.0020000000000000005, 0.0009999999999999999, 9999999.0, 9999999.999999998, 1e7, 2.0, 1.1, 120.0, 0.1 + 0.2, 173665.47 / 5000]
+    for digits in range(1, 18):
+        values += [float(f"{rng.randrange(10 ** (digits - 1), 10 ** digits)}e-{rng.randrange(max(0, digits - 7), digits + 3)}") for _ in range(60)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", json_float(F.col("x")).alias("text"), _plain(F.col("x")).alias("plain")).collect()
+    assert [r["text"] for r in got] == [json.dumps(r["x"]) for r in got]
+    told = {r["x"]: r["plain"] for r in got}
+    assert told[173665.47 / 5000] and told[-120.0] and not told[1e7] and not told[0.1 + 0.2]
