@@ -107,3 +107,21 @@ def test_unknown_values_labels_and_empty_tables(spark):
     assert M.predict(model, df.limit(0), CLASSES).count() == 0
     with pytest.raises(ValueError, match="no row"):
         W.fit_forests(df.where("y = 'q'"), [["x"]], "y", CLASSES)
+
+
+def test_cells_are_the_same_in_small_pieces(spark, monkeypatch):
+    """A task's rows are added up piece by piece; the draws are those of the 16-bit table."""
+    train = frame(spark, 9000, 4, parts=2).selectExpr("*", "ascii(y) - 97 as _y")
+    blocks = W._blocks(train, COLUMNS, [np.linspace(-2, 2, 31) for _ in COLUMNS], 3).repartition(2).cache()
+    upper, slot, picked = np.zeros((2, 1), np.int16), np.zeros((2, 1), int), [np.array([[0, 3]], np.int16)] * 2
+
+    def cells():
+        rows = W._cells(blocks, 2, 5, 0, 4, 3, upper, np.full((2, 1), 255, np.uint8), slot, picked).collect()
+        return sorted((r["tree"], r["size"], bytes(r["cells"])) for r in rows)
+
+    whole = cells()
+    monkeypatch.setattr(W, "LEAST", 1)
+    monkeypatch.setattr(W, "MOST", 1)
+    assert cells() == whole
+    number = np.random.default_rng([5, 7, 1]).integers(0, 1 << 16, 4000, np.uint16)
+    assert (W._draws(5, 7, 1, 4000) == W._POISSON[number]).all()
