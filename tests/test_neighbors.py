@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardflow.operators.neighbors import nearest_rows
+from wardflow.operators import smote as S
+from wardflow.operators.neighbors import nearest_of, nearest_rows
 from wardflow.operators.smote import smote
 
 
@@ -113,3 +114,58 @@ def test_refinement_exchanges_edges_not_pairs(spark):
         second = {c for _, b in lists[a] for _, c in lists[b]} - {a}
         worst = lists[a][-1][0] if len(lists[a]) >= keep else np.inf
         assert got.get(a, set()) == {c for c in second if far[a, c] <= worst + 1e-12}
+
+
+def test_neighbours_of_some_rows_are_exact(spark):
+    """Wanted rows against all rows of their group, in several tasks and batches, with repeated rows."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2500, 5)), rng.normal(size=(60, 5))
+    a[100:140] = a[0]
+    every = frame(spark, {"a": list(enumerate(a)), "b": [(5000 + i, x) for i, x in enumerate(b)], "c": [(9000, [0.0] * 5)]}).repartition(3)
+    wanted = every.where("id % 7 = 0 or id = 9000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+    try:
+        got = lists(nearest_of(wanted, every, k=5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {r["id"] for r in wanted.collect()} and got[9000] == []
+    for base, x in ((0, a), (5000, b)):
+        order, far = brute(x, 5)
+        for i in got:
+            if base <= i < base + len(x):
+                assert np.allclose([d for _, d in got[i]], far[i - base])
+                assert i not in (105, 112) or [j for j, _ in got[i]] == [0, 100, 101, 102, 103]
+    assert lists(nearest_of(wanted.limit(0), every)) == {}
+    assert lists(nearest_of(wanted.where("id = 9000"), every.limit(0))) == {9000: []}
+
+
+def test_only_rows_that_make_a_synthetic_row_are_searched(spark, monkeypatch):
+    """Classes of nearly one size: 1,000 and 990 rows, so ten rows need neighbours."""
+    rng = np.random.default_rng(7)
+    rows = [("ab"[i >= 1000], *map(float, rng.normal(size=3))) for i in range(1990)]
+    df = spark.createDataFrame(rows, "y string, a double, b double, c double")
+    asked, find = [], S.nearest_of
+    monkeypatch.setattr(S, "nearest_of", lambda wanted, *a, **k: asked.append(wanted.count()) or find(wanted, *a, **k))
+    out = smote(df, ["a", "b", "c"], "y")
+    assert asked == [10] and out.where("synthetic").count() == 10
+    new = [[r.a, r.b, r.c] for r in out.where("synthetic").collect()]
+    monkeypatch.setattr(S, "FEW", 0)  # all rows of the class are searched
+    wide = smote(df, ["a", "b", "c"], "y", k=5)
+    assert len(asked) == 1 and wide.where("synthetic").count() == 10 and wide.count() == 2000
+    old = [[r.a, r.b, r.c] for r in wide.where("synthetic").collect()]
+    assert np.allclose(sorted(new), sorted(old))  # 990 rows fit one window, so both are exact
+
+
+def test_rows_in_hash_order_make_one_more(spark):
+    """7 rows of 40 make 3 synthetic rows, the others 2; also where the bound holds too few rows."""
+    base = spark.range(40).selectExpr("'few' as y", "id as _rid", "87L as _need", "40L as _n", "xxhash64(id) as _h")
+    need = spark.createDataFrame([("few", 40, 87)], "y string, _n long, _need long")
+    for df in (base, base.withColumn("_h", F.lit(2**62) + F.col("_h") % 1000)):
+        got = {r["_rid"]: r["_m"] for r in S._drawing_rows(df, need, "y").collect()}
+        first = sorted((r["_h"], r["_rid"]) for r in df.collect())[:7]
+        assert sum(got.values()) == 87 and {i for i, m in got.items() if m == 3} == {i for _, i in first} and len(got) == 40
+    many = spark.range(4000).selectExpr("'few' as y", "id as _rid", "7L as _need", "4000L as _n", "xxhash64(id) as _h")
+    need = spark.createDataFrame([("few", 4000, 7)], "y string, _n long, _need long")
+    for df in (many, many.withColumn("_h", F.lit(2**62) + F.col("_rid"))):
+        first = sorted((r["_h"], r["_rid"]) for r in df.collect())[:7]
+        assert {r["_rid"]: r["_m"] for r in S._drawing_rows(df, need, "y").collect()} == {i: 1 for _, i in first}
